@@ -150,7 +150,14 @@ class Words:
         if n:
             self.at[-1] = len(starts)
         self.hash = _hash_span(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        self.starts, self.ends = starts, ends
+        self.starts, self.ends, self.low = starts, ends, low
+
+    def stems(self, n: int, longer: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``n`` bytes of the words of at least ``longer`` bytes, and those words' places."""
+        long = np.flatnonzero(self.ends - self.starts >= longer)
+        if not len(long):
+            return np.zeros(0, np.uint64), long
+        return _hash_span(self.low, self.starts[long], self.starts[long] + n), long
 
 
 def chunks(texts: pa.Array, span: int = _SPAN):

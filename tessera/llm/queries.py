@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP9_SQL, op9_source_mixing
+from .pii import op3_pii_deobfuscation
 from .sharding import op7_feistel_sharding
+from .toxicity import op10_ordinal_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii_deobfuscation": op3_pii_deobfuscation,
         "op7_feistel_sharding": op7_feistel_sharding,
         "op9_source_mixing": op9_source_mixing,
+        "op10_ordinal_toxicity": op10_ordinal_toxicity,
     }
 
 
