@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP9_SQL, op9_source_mixing
 from .pii import op3_pii_deobfuscation
+from .rendering import op6_layout_rendering
 from .sharding import op7_feistel_sharding
 from .toxicity import op10_ordinal_toxicity
+from .urls import op1_url_gbt_filter
+from .warc import op8_warc_round_trip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_gbt_filter": op1_url_gbt_filter,
         "op3_pii_deobfuscation": op3_pii_deobfuscation,
+        "op6_layout_rendering": op6_layout_rendering,
         "op7_feistel_sharding": op7_feistel_sharding,
+        "op8_warc_round_trip": op8_warc_round_trip,
         "op9_source_mixing": op9_source_mixing,
         "op10_ordinal_toxicity": op10_ordinal_toxicity,
     }
