@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op2_cgk_decontamination
 from .mixing import OP9_SQL, op9_source_mixing
+from .neardup import op4_tensored_minhash
 from .pii import op3_pii_deobfuscation
 from .rendering import op6_layout_rendering
 from .sharding import op7_feistel_sharding
 from .toxicity import op10_ordinal_toxicity
 from .urls import op1_url_gbt_filter
+from .vectors import op5_rotation_codes
 from .warc import op8_warc_round_trip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_gbt_filter": op1_url_gbt_filter,
+        "op2_cgk_decontamination": op2_cgk_decontamination,
         "op3_pii_deobfuscation": op3_pii_deobfuscation,
+        "op4_tensored_minhash": op4_tensored_minhash,
+        "op5_rotation_codes": op5_rotation_codes,
         "op6_layout_rendering": op6_layout_rendering,
         "op7_feistel_sharding": op7_feistel_sharding,
         "op8_warc_round_trip": op8_warc_round_trip,
