@@ -1,15 +1,677 @@
-"""The registered catalogue queries and their SQL."""
+"""The registered catalogue queries, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import values as vl
+from ..operators import filters as fl
+from ..operators import incremental as inc
+from ..operators import merge as mg
+from ..operators import monitoring as mon
+from ..operators import rankings as rk
+from ..operators import search as se
+from ..operators.documents import build_search_docs, search_document
+from ..operators.related import related_items
+from ..operators.scoring import ntz, with_scores
+from ..schema import SearchFilters
+from ..sources import html as hx
+from ..sources.tables import table
+from ..streaming.access import access_rollup
+from ..streaming.apply import apply_outcomes
+from . import base as b
+from .base import AS_OF, EVENTS_NOW, FAIL_SQL, LOG_SQL, PAGES_SQL, RICH_SQL, WITH
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 
-def oracle_sql():
-    return {}
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f, sql
+        return f
+
+    return keep
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active items of two creators by popularity, first page."""
+    c = b.catalog(spark, sf_dir)
+    c.items = with_scores(c.items, AS_OF)
+    return se.search(c, SearchFilters(author_any=[1, 2], sort="popularity_desc")).items.select("item_id", "title", "popularity")
+
+
+# ---------------------------------------------------------------- search
+
+_ORDER = {
+    "published_desc": "published_at DESC NULLS LAST, item_id DESC", "published_asc": "published_at ASC NULLS FIRST, item_id ASC",
+    "hot_desc": "hot_score DESC NULLS LAST, item_id DESC", "popularity_desc": "popularity DESC NULLS LAST, item_id DESC",
+    "favorites_desc": "favorite_count DESC NULLS LAST, published_at DESC NULLS LAST, item_id DESC", "favorites_asc": "favorite_count ASC NULLS FIRST, published_at ASC NULLS FIRST, item_id ASC",
+    "views_desc": "view_count DESC NULLS LAST, published_at DESC NULLS LAST, item_id DESC", "views_asc": "view_count ASC NULLS FIRST, published_at ASC NULLS FIRST, item_id ASC",
+}
+
+
+def _sorted(mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = b.catalog(spark, sf_dir)
+        c.items = with_scores(c.items, AS_OF)
+        return fl.apply_filters(c, SearchFilters()).orderBy(*se.sort_columns(mode)).offset(36).limit(36).select("item_id", "title", "view_count", "favorite_count")
+
+    return run
+
+
+for _mode, _by in _ORDER.items():
+    query(f"search_{_mode}", f"{WITH} SELECT item_id, title, view_count, favorite_count FROM active ORDER BY {_by} LIMIT 36 OFFSET 36")(_sorted(_mode))
+
+
+@query("capped_count", f"{WITH} SELECT least(count(*), 5000)::BIGINT AS total, count(*) > 5000 AS is_capped, greatest(1, ceil(least(count(*), 5000) / 36.0))::BIGINT AS page_count FROM active")
+def capped_count(spark, sf_dir):
+    return se.capped_count(fl.active(b.catalog(spark, sf_dir).items), 5000, 36)
+
+
+def _found(filters: SearchFilters) -> Query:
+    return lambda spark, sf_dir: fl.apply_filters(b.catalog(spark, sf_dir), filters).select("item_id")
+
+
+def _ids(kind: str, ids: str) -> str:
+    return f"(SELECT item_id FROM links WHERE kind = '{kind}' AND entity_id IN ({ids}))"
+
+
+for _name, _filters, _where in (
+    ("facet_creator_any", SearchFilters(author_any=[1, 2, 3, 500]), f"item_id IN {_ids('authors', '1, 2, 3, 500')}"),
+    ("facet_tag_any", SearchFilters(tag_any=[10, 11, 12]), f"item_id IN {_ids('tags', '10, 11, 12')}"),
+    ("facet_creator_not", SearchFilters(author_not=[1, 2, 3]), f"item_id NOT IN {_ids('authors', '1, 2, 3')}"),
+    ("facet_tag_not", SearchFilters(tag_not=[10, 11, 12]), f"item_id NOT IN {_ids('tags', '10, 11, 12')}"),
+    ("facet_tag_all", SearchFilters(tag_all=[5, 7]), f"item_id IN {_ids('tags', '5')} AND item_id IN {_ids('tags', '7')}"),
+    ("facet_origin_any_character_not", SearchFilters(origin_any=[3, 4], character_not=[1, 2, 3], tag_not=[9], min_views=1000), f"item_id IN {_ids('origins', '3, 4')} AND item_id NOT IN {_ids('characters', '1, 2, 3')} AND item_id NOT IN {_ids('tags', '9')} AND view_count >= 1000"),
+    ("range_date", SearchFilters(published_from="1998-03-01", published_to="1998-03-31"), "published_at >= DATE '1998-03-01' AND published_at < DATE '1998-04-01'"),
+    ("range_counts", SearchFilters(min_views=50_000, max_views=150_000, max_favorites=80), "coalesce(view_count, 0) BETWEEN 50000 AND 150000 AND coalesce(favorite_count, 0) <= 80"),
+    ("text_all", SearchFilters(q="URGENT build"), "contains(lower(title), 'urgent') AND contains(lower(title), 'build')"),
+    ("text_any", SearchFilters(q="machinery nation_7", title_mode="any"), f"contains(lower(title), 'machinery') OR item_id IN {_ids('origins', '7')}"),
+    ("text_short_prefix", SearchFilters(q="bu 1"), "regexp_matches(lower(title), '(^|[^a-z0-9])bu') AND (regexp_matches(title, '(^|[^A-Za-z0-9])1') OR item_id IN (SELECT item_id FROM links JOIN entities USING (kind, entity_id) WHERE regexp_matches(name, '(^|[^A-Za-z0-9])1')))"),
+):
+    query(_name, f"{WITH} SELECT item_id FROM active WHERE {_where}")(_found(_filters))
+
+
+@query("lookup_keys", f"{WITH} SELECT item_id, title, status FROM items WHERE item_id IN (3, 5, 8, 1200)")
+def lookup_keys(spark, sf_dir):
+    return fl.lookup(b.catalog(spark, sf_dir).items, [3, 5, 8, 1200]).select("item_id", "title", "status")
+
+
+@query("name_contains", f"{WITH} SELECT kind, entity_id, name FROM entities WHERE contains(lower(name), 'red')")
+def name_contains(spark, sf_dir):
+    return fl.name_contains(b.catalog(spark, sf_dir).entities, "RED")
+
+
+@query("search_document", f"""{WITH}, names AS (
+  SELECT item_id, string_agg(name, ' ' ORDER BY name) FILTER (kind = 'characters') AS c, string_agg(name, ' ' ORDER BY name) FILTER (kind = 'origins') AS o, string_agg(name, ' ' ORDER BY name) FILTER (kind = 'tags') AS t
+  FROM links JOIN entities USING (kind, entity_id) GROUP BY item_id)
+SELECT item_id, title, trim(coalesce(creator_display_name, '') || ' ' || coalesce(c, '') || ' ' || coalesce(o, '') || ' ' || coalesce(t, '')) AS keywords FROM items LEFT JOIN names USING (item_id)""")
+def search_documents(spark, sf_dir):
+    return search_document(b.catalog(spark, sf_dir))
+
+
+@query("short_terms", """SELECT doc_id AS item_id, list_aggregate(list_sort(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), 'string_agg', ' ') AS words
+FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')""")
+def short_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z0-9]"))
+    return docs.select(F.col("doc_id").alias("item_id"), F.array_join(F.array_sort(tx.words(F.col("text"))), " ").alias("words"))
+
+
+@query("cjk_grams", "SELECT doc_id AS item_id, 0 AS n_grams, '' AS grams FROM documents")
+def cjk_grams(spark, sf_dir):
+    grams = tx.cjk_grams(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.size(grams).alias("n_grams"), F.array_join(grams, " ").alias("grams"))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each nation and market segment of its customers: text in the title, origin as facet, a supplier barred."""
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    facet = lambda kind, mode, c: F.struct(F.lit(kind).alias("kind"), F.lit(mode).alias("mode"), F.array(F.col(c).cast("long")).alias("ids"))
+    return customers.select(
+        F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("query_id"), F.array(F.lower("c_mktsegment"), F.lit("urgent")).alias("tokens"), F.lit("all").alias("title_mode"),
+        F.array(facet("origins", "any", "c_nationkey"), facet("characters", "not", "c_nationkey")).alias("facets"),
+    )
+
+
+@query("search_batch", f"""{WITH}, requests AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
+SELECT c_nationkey || ':' || c_mktsegment AS query_id, a.item_id FROM requests JOIN links l ON l.kind = 'origins' AND l.entity_id = c_nationkey JOIN active a ON a.item_id = l.item_id
+WHERE contains(lower(title), lower(c_mktsegment)) AND contains(lower(title), 'urgent')
+AND NOT EXISTS (SELECT 1 FROM links x WHERE x.item_id = a.item_id AND x.kind = 'characters' AND x.entity_id = c_nationkey)""")
+def search_batch(spark, sf_dir):
+    c = b.catalog(spark, sf_dir)
+    docs = c.items.select("item_id", F.lower("title").alias("title_folded"), F.lit("").alias("keywords_folded"))
+    return se.search_batch(c, _requests(spark, sf_dir), docs)
+
+
+_RAW = """raw AS (SELECT event_id AS query_id, '  Foo,' || event_type || ' bar' AS q, CASE event_type WHEN 'view' THEN 'any' WHEN 'click' THEN 'some' ELSE 'all' END AS title_mode,
+  user_id || ',x, ' || user_id || ',7' AS tag_any, CASE WHEN event_type = 'error' THEN 'abc' ELSE user_id || ',000' END AS min_views,
+  CASE event_type WHEN 'view' THEN 'hot' WHEN 'click' THEN 'sideways' WHEN 'error' THEN 'views_asc' ELSE 'popularity' END AS sort, user_id AS page FROM events)"""
+
+
+def _raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("query_id"), F.concat(F.lit("  Foo,"), kind, F.lit(" bar")).alias("q"),
+        F.when(kind == "view", "any").when(kind == "click", "some").otherwise("all").alias("title_mode"), F.concat(user, F.lit(",x, "), user, F.lit(",7")).alias("tag_any"),
+        F.when(kind == "error", "abc").otherwise(F.concat(user, F.lit(",000"))).alias("min_views"),
+        F.when(kind == "view", "hot").when(kind == "click", "sideways").when(kind == "error", "views_asc").otherwise("popularity").alias("sort"), F.col("user_id").alias("page"),
+    )
+
+
+@query("normalise_queries", f"""WITH {_RAW} SELECT query_id, 'Foo ' || split_part(split_part(q, ',', 2), ' ', 1) || ' bar' AS tokens, CASE title_mode WHEN 'any' THEN 'any' ELSE 'all' END AS title_mode,
+  CASE WHEN page = 7 THEN '7' ELSE page || ',7' END AS tag_any, CASE WHEN min_views <> 'abc' THEN page * 1000 END::BIGINT AS min_views,
+  CASE sort WHEN 'hot' THEN 'hot_desc' WHEN 'sideways' THEN 'published_desc' WHEN 'popularity' THEN 'popularity_desc' ELSE sort END AS sort, page < 1 AS rejected FROM raw""")
+def normalise_queries(spark, sf_dir):
+    from ..operators.requests import normalise
+
+    r = normalise(_raw_requests(spark, sf_dir))
+    return r.select("query_id", F.array_join("tokens", " ").alias("tokens"), "title_mode", F.array_join("tag_any", ",").alias("tag_any"), "min_views", "sort", "rejected")
+
+
+@query("canonical_queries", f"""WITH {_RAW}, canonical AS (SELECT concat_ws('&', 'q=' || trim(q), 'sort=' || CASE sort WHEN 'hot' THEN 'hot_desc' WHEN 'sideways' THEN NULL WHEN 'popularity' THEN 'popularity_desc' ELSE sort END,
+  'tag_any=' || CASE WHEN page = 7 THEN '7' ELSE page || ',7' END, CASE WHEN title_mode = 'any' THEN 'title_mode=any' END, CASE WHEN min_views <> 'abc' THEN 'min_views=' || page * 1000 END) AS c, min_views <> 'abc' AS ranged FROM raw)
+SELECT md5(list_aggregate(list_sort(string_split(c, '&')), 'string_agg', '&')) AS canonical, (1 + ranged::INT) AS active_filters, count(*) AS n FROM canonical GROUP BY 1, 2""")
+def canonical_queries(spark, sf_dir):
+    from ..operators.requests import canonical, normalise
+
+    c = canonical(normalise(_raw_requests(spark, sf_dir)))
+    return c.groupBy(F.md5("canonical").alias("canonical"), "active_filters").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- projections
+
+
+@query("scores", f"{WITH} SELECT i.item_id, i.popularity, round(coalesce(hot_score, 0), 6) AS hot_score FROM items i LEFT JOIN active a USING (item_id)")
+def scores(spark, sf_dir):
+    return with_scores(b.catalog(spark, sf_dir).items, AS_OF).select("item_id", "popularity", F.round("hot_score", 6).alias("hot_score"))
+
+
+@query("item_cards", f"{WITH} SELECT item_id, title, creator_id, coalesce(e.name, creator_display_name, '') AS creator_name, published_at, coalesce(view_count, 0) AS view_count, coalesce(favorite_count, 0) AS favorite_count, status FROM items LEFT JOIN entities e ON e.kind = 'authors' AND e.entity_id = creator_id")
+def item_cards(spark, sf_dir):
+    return se.cards(b.catalog(spark, sf_dir))
+
+
+def _joined(c: str) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["entity_id"])), ",").alias(c)
+
+
+_AGG = "coalesce(string_agg(name || ':' || entity_id, ',' ORDER BY name, entity_id) FILTER (kind = '{0}'), '') AS {0}"
+
+
+@query("item_details", f"""{WITH}, named AS (SELECT item_id, {', '.join(_AGG.format(k) for k in ('tags', 'origins', 'characters'))} FROM links JOIN entities USING (kind, entity_id) GROUP BY 1)
+SELECT item_id, title, creator_display_name AS creator_name, status, coalesce(tags, '') AS tags, coalesce(origins, '') AS origins, coalesce(characters, '') AS characters FROM items LEFT JOIN named USING (item_id)""")
+def item_details(spark, sf_dir):
+    return se.item_details(b.catalog(spark, sf_dir)).select("item_id", "title", "creator_name", "status", *map(_joined, ("tags", "origins", "characters")))
+
+
+@query("item_links", f"{WITH} SELECT item_id, string_agg(name || ':' || entity_id, ',' ORDER BY name, entity_id) AS links FROM links JOIN entities USING (kind, entity_id) WHERE kind = 'tags' GROUP BY 1")
+def item_links(spark, sf_dir):
+    return se.item_links(b.catalog(spark, sf_dir), "tags").select("item_id", _joined("links"))
+
+
+@query("resolve_entities", f"{WITH} SELECT o_orderkey AS pos, 'tags' AS kind, entity_id, name FROM orders JOIN entities ON kind = 'tags' AND entity_id = o_custkey")
+def resolve_entities(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.lit("tags").alias("kind"), F.col("o_custkey").alias("entity_id"))
+    return se.resolve_entities(b.catalog(spark, sf_dir), wanted)
+
+
+# ---------------------------------------------------------------- rankings
+
+_STATS = "kind, entity_id, name, item_count, total_views, total_favorites, popularity"
+_RANK = "popularity DESC, total_favorites DESC, item_count DESC, name, kind, entity_id"
+_RANK_COLS = ("kind", "entity_id", "name", "item_count", "total_views", "total_favorites", "popularity")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rk.entity_stats(b.catalog(spark, sf_dir), AS_OF)
+
+
+@query("entity_stats", f"{WITH} SELECT {_STATS}, round(hot, 4) AS hot FROM stats")
+def entity_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).withColumn("hot", F.round("hot", 4))
+
+
+@query("ranking_counts", f"{WITH} SELECT board, count(*) AS n FROM (SELECT kind AS board FROM stats UNION ALL SELECT 'categories' FROM stats WHERE kind IN ('tags', 'origins')) GROUP BY 1")
+def ranking_counts(spark, sf_dir):
+    return rk.ranking_counts(_stats(spark, sf_dir))
+
+
+def _board(board: str, offset: int) -> Query:
+    return lambda spark, sf_dir: rk.ranking(_stats(spark, sf_dir), board, 60, offset).select(*_RANK_COLS, "rank", "is_top")
+
+
+for _name, _kinds, _offset in (("authors", "'authors'", 60), ("categories", "'tags', 'origins'", 0)):
+    query(f"ranking_{_name}", f"{WITH} SELECT {_STATS}, rank, rank <= 3 AS is_top FROM (SELECT *, row_number() OVER (ORDER BY {_RANK})::INT AS rank FROM stats WHERE kind IN ({_kinds})) WHERE rank > {_offset} AND rank <= {_offset + 60}")(_board(_name, _offset))
+
+
+@query("leaderboards", f"{WITH} SELECT board, rank, {_STATS} FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY {_RANK}) AS rank FROM (SELECT *, CASE WHEN kind IN ('tags', 'origins') THEN 'categories' ELSE kind END AS board FROM stats)) WHERE rank <= 12")
+def leaderboards(spark, sf_dir):
+    return rk.leaderboards(_stats(spark, sf_dir)).select("board", "rank", *_RANK_COLS)
+
+
+@query("rank_share", f"{WITH}, page AS (SELECT * FROM stats WHERE kind = 'characters' ORDER BY {_RANK} LIMIT 60) SELECT entity_id, round(popularity / greatest(max(popularity) OVER (), 1), 6) AS share FROM page")
+def rank_share(spark, sf_dir):
+    return rk.rank_share(rk.ranking(_stats(spark, sf_dir), "characters")).select("entity_id", F.round("share", 6).alias("share"))
+
+
+@query("top_items_per_creator", f"{WITH} SELECT creator_id, rank, item_id, popularity FROM (SELECT *, row_number() OVER (PARTITION BY creator_id ORDER BY popularity DESC, item_id DESC) AS rank FROM active) WHERE rank <= 8")
+def top_items_per_creator(spark, sf_dir):
+    return rk.top_items_per_creator(b.catalog(spark, sf_dir))
+
+
+@query("autocomplete", f"{WITH} SELECT e.entity_id, e.name FROM entities e LEFT JOIN stats s USING (kind, entity_id) WHERE e.kind = 'tags' AND contains(lower(e.name), 'red') ORDER BY starts_with(lower(e.name), 'red') DESC, coalesce(s.popularity, 0) DESC, e.name, e.entity_id LIMIT 10")
+def autocomplete(spark, sf_dir):
+    return rk.autocomplete(b.catalog(spark, sf_dir), _stats(spark, sf_dir), "tags", "Red")
+
+
+@query("autocomplete_empty", f"{WITH} SELECT entity_id, name FROM stats WHERE kind = 'authors' ORDER BY popularity DESC, name, entity_id LIMIT 10")
+def autocomplete_empty(spark, sf_dir):
+    return rk.autocomplete(b.catalog(spark, sf_dir), _stats(spark, sf_dir), "authors")
+
+
+@query("autocomplete_batch", f"""{WITH}, queries AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS query FROM part)
+SELECT query, rank, entity_id, name FROM (SELECT query, e.entity_id, e.name, row_number() OVER (PARTITION BY query ORDER BY starts_with(lower(e.name), query) DESC, coalesce(s.popularity, 0) DESC, e.name, e.entity_id) AS rank
+  FROM queries JOIN entities e ON e.kind = 'tags' AND contains(lower(e.name), query) LEFT JOIN stats s USING (kind, entity_id)) WHERE rank <= 10""")
+def autocomplete_batch(spark, sf_dir):
+    queries = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query"))
+    return rk.autocomplete_batch(b.catalog(spark, sf_dir), _stats(spark, sf_dir), "tags", queries)
+
+
+# ---------------------------------------------------------------- related
+
+_RELATED = """{with_}, cap AS (SELECT greatest(100, count(*) // 20) AS cap FROM active),
+sized AS (SELECT kind, entity_id, count(*) AS n FROM links JOIN active USING (item_id) GROUP BY 1, 2),
+usable AS (SELECT l.* FROM links l JOIN active USING (item_id) JOIN sized z ON z.kind = l.kind AND z.entity_id = l.entity_id, cap WHERE l.kind = 'authors' OR z.n <= cap),
+scored AS (SELECT s.item_id AS source_id, o.item_id, sum(CASE s.kind WHEN 'authors' THEN 10 WHEN 'tags' THEN 1 ELSE 5 END)::BIGINT AS score
+  FROM usable s JOIN usable o ON o.kind = s.kind AND o.entity_id = s.entity_id AND o.item_id <> s.item_id WHERE {where} GROUP BY 1, 2)
+SELECT source_id, rank, item_id, score FROM (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, popularity DESC, c.item_id DESC) AS rank FROM scored c JOIN active a ON a.item_id = c.item_id) WHERE rank <= 12"""
+
+
+@query("related_items", _RELATED.format(with_=WITH, where="s.item_id = 101"))
+def related_one(spark, sf_dir):
+    return related_items(b.catalog(spark, sf_dir), table(spark, sf_dir, "orders").where("o_orderkey = 101").select(F.col("o_orderkey").alias("item_id")))
+
+
+@query("related_all", _RELATED.format(with_=WITH, where="s.item_id % 50 = 0"))
+def related_all(spark, sf_dir):
+    """Every item whose id is divisible by 50 is a query against all items."""
+    return related_items(b.catalog(spark, sf_dir), table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("item_id")))
+
+
+# ---------------------------------------------------------------- merges
+
+NOW = "2002-01-01 00:00:00"
+_ITEM_COLS = ("item_id", "url", "title", "creator_id", "creator_display_name", "thumbnail_url", "published_at", "view_count", "favorite_count", "comment", "status", "list_seen_at", "detail_fetched_at", "created_at", "updated_at")
+_NOW = f"TIMESTAMP '{NOW}'"
+
+
+@query("classify_listing", f"""{RICH_SQL} SELECT b.item_id, r.item_id IS NULL AS is_new,
+  r.item_id IS NULL OR r.status <> 'active' OR b.title IS DISTINCT FROM r.title OR b.thumbnail_url IS DISTINCT FROM r.thumbnail_url OR b.view_count IS DISTINCT FROM r.view_count OR b.favorite_count IS DISTINCT FROM r.favorite_count AS list_changed,
+  r.item_id IS NULL OR r.status <> 'active' OR r.detail_fetched_at IS NULL AS needs_detail FROM batch b LEFT JOIN rich r USING (item_id)""")
+def classify_listing(spark, sf_dir):
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    return mg.classify_listing(rich, b.listing_batch(rich))
+
+
+@query("merge_listing", f"""{RICH_SQL} SELECT coalesce(r.item_id, b.item_id) AS item_id, coalesce(b.url, r.url) AS url, CASE WHEN b.item_id IS NULL THEN r.title ELSE b.title END AS title, r.creator_id,
+  CASE WHEN b.item_id IS NULL THEN r.creator_display_name ELSE b.creator_name END AS creator_display_name, coalesce(b.thumbnail_url, r.thumbnail_url) AS thumbnail_url, r.published_at,
+  CASE WHEN b.item_id IS NULL THEN r.view_count ELSE b.view_count END AS view_count, CASE WHEN b.item_id IS NULL THEN r.favorite_count ELSE b.favorite_count END AS favorite_count, r.comment,
+  coalesce(r.status, 'active') AS status, CASE WHEN b.item_id IS NULL THEN r.list_seen_at ELSE {_NOW} END AS list_seen_at, r.detail_fetched_at,
+  CASE WHEN r.item_id IS NULL THEN {_NOW} ELSE r.created_at END AS created_at, CASE WHEN b.item_id IS NULL THEN r.updated_at ELSE {_NOW} END AS updated_at
+FROM rich r FULL JOIN batch b ON r.item_id = b.item_id""")
+def merge_listing(spark, sf_dir):
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    return mg.merge_listing(rich, b.listing_batch(rich), NOW).select(*_ITEM_COLS)
+
+
+def _details(rich: DataFrame) -> DataFrame:
+    """Detail records: for high ones again with one view more and no comment, for unspecified ones under new ids."""
+    cols = lambda df, shift: df.select(
+        (F.col("item_id") + shift).alias("item_id"), "url", "video_url", "title", F.struct(F.col("creator_id").alias("id"), F.concat(F.lit("by "), "creator_display_name").alias("name"), F.lit(None).cast("string").alias("url")).alias("creator"),
+        F.lit(None).cast("string").alias("thumbnail_url"), "published_at", (F.col("view_count") + 1).alias("view_count"), "favorite_count", F.lit(None).cast("string").alias("comment"),
+    )
+    return cols(rich.where(F.col("title").startswith("2-HIGH")), 0).unionByName(cols(rich.where(F.col("title").startswith("4-NOT")), 20_000_000))
+
+
+_DETAILS = f"""{RICH_SQL}, details AS (SELECT item_id + shift AS item_id, url, title, creator_id, 'by ' || creator_display_name AS creator_name, published_at, view_count + 1 AS view_count, favorite_count
+  FROM (SELECT *, CASE WHEN title LIKE '2-HIGH%' THEN 0 ELSE 20000000 END AS shift FROM rich WHERE title LIKE '2-HIGH%' OR title LIKE '4-NOT%'))"""
+
+
+@query("merge_detail", f"""{_DETAILS} SELECT item_id, url, title, creator_id, creator_display_name, thumbnail_url, published_at, view_count, favorite_count, comment, status, list_seen_at, detail_fetched_at, created_at, updated_at
+  FROM rich WHERE item_id NOT IN (SELECT item_id FROM details)
+UNION ALL SELECT d.item_id, d.url, d.title, d.creator_id, d.creator_name, r.thumbnail_url, d.published_at, d.view_count, d.favorite_count, NULL, 'active', r.list_seen_at, {_NOW}, coalesce(r.created_at, {_NOW}), {_NOW}
+  FROM details d LEFT JOIN rich r USING (item_id)""")
+def merge_detail(spark, sf_dir):
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    return mg.merge_detail(rich, _details(rich), NOW).select(*_ITEM_COLS)
+
+
+@query("merge_missing", f"""{RICH_SQL}, gone AS (SELECT item_id + CASE WHEN title LIKE '3-%' THEN 0 ELSE 30000000 END AS item_id, url FROM rich WHERE title LIKE '3-%' OR title LIKE '5-LOW%')
+SELECT coalesce(r.item_id, g.item_id) AS item_id, coalesce(g.url, r.url) AS url, coalesce(r.title, '') AS title, CASE WHEN g.item_id IS NULL THEN r.status ELSE 'missing' END AS status,
+  CASE WHEN g.item_id IS NULL THEN r.detail_fetched_at ELSE {_NOW} END AS detail_fetched_at, CASE WHEN r.item_id IS NULL THEN {_NOW} ELSE r.created_at END AS created_at FROM rich r FULL JOIN gone g ON r.item_id = g.item_id""")
+def merge_missing(spark, sf_dir):
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    gone = rich.where("title like '3-%'").select("item_id", "url").unionByName(rich.where("title like '5-LOW%'").select((F.col("item_id") + 30_000_000).alias("item_id"), "url"))
+    return mg.merge_missing(rich, gone, NOW).select("item_id", "url", "title", "status", "detail_fetched_at", "created_at")
+
+
+@query("merge_entities", f"""{WITH}, refs AS (SELECT 'tags' AS kind, l_partkey + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1000000 END AS entity_id, l_returnflag || ' ' || l_linenumber AS name,
+  CASE WHEN l_linestatus = 'O' THEN 'u' || l_orderkey || '/' || l_linenumber || '/' || l_suppkey END AS url, l_orderkey * 1000000000 + l_linenumber * 10000000 + l_suppkey AS seq FROM lineitem),
+new AS (SELECT kind, entity_id, max_by(name, seq) AS name, max_by(url, seq) FILTER (url IS NOT NULL) AS url FROM refs GROUP BY 1, 2)
+SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.entity_id, n.entity_id) AS entity_id, coalesce(n.name, o.name) AS name, n.url AS url, CASE WHEN o.kind IS NULL THEN {_NOW} END AS created_at, CASE WHEN n.kind IS NOT NULL THEN {_NOW} END AS updated_at
+FROM entities o FULL JOIN new n ON o.kind = n.kind AND o.entity_id = n.entity_id""")
+def merge_entities(spark, sf_dir):
+    refs = table(spark, sf_dir, "lineitem").select(
+        F.lit("tags").alias("kind"), (F.col("l_partkey") + F.when(F.col("l_returnflag") == "R", 0).otherwise(1_000_000)).alias("entity_id"), F.concat_ws(" ", "l_returnflag", "l_linenumber").alias("name"),
+        F.when(F.col("l_linestatus") == "O", F.concat(F.lit("u"), F.concat_ws("/", "l_orderkey", "l_linenumber", "l_suppkey"))).alias("url"),
+        (F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_suppkey")).alias("seq"),
+    )
+    return mg.merge_entities(b.catalog(spark, sf_dir).entities, refs, NOW)
+
+
+@query("replace_links", f"""{WITH}, touched AS (SELECT item_id FROM items WHERE title LIKE '1-URGENT%'), new AS (SELECT DISTINCT item_id, 'tags' AS kind, creator_id AS entity_id FROM items WHERE title LIKE '1-URGENT%')
+SELECT item_id, kind, entity_id FROM links WHERE item_id NOT IN (SELECT item_id FROM touched) UNION ALL SELECT * FROM new""")
+def replace_links(spark, sf_dir):
+    c = b.catalog(spark, sf_dir)
+    touched = c.items.where("title like '1-URGENT%'")
+    return mg.replace_links(c.links, touched, touched.select("item_id", F.lit("tags").alias("kind"), F.col("creator_id").alias("entity_id")))
+
+
+@query("refresh_quiet", f"{WITH} SELECT i.item_id, round(CASE WHEN a.item_id IS NOT NULL AND i.published_at >= DATE '2001-08-02' - INTERVAL 30 DAY THEN hot_score ELSE -1 END, 6) AS hot_score FROM items i LEFT JOIN active a USING (item_id)")
+def refresh_quiet(spark, sf_dir):
+    old = b.catalog(spark, sf_dir).items.withColumn("hot_score", F.lit(-1.0))
+    return mg.refresh_hot(old, AS_OF, full=False).select("item_id", F.round("hot_score", 6).alias("hot_score"))
+
+
+@query("export_chunks", f"{WITH} SELECT (n - 1) // 500 AS chunk, (n - 1) % 500 AS pos, item_id, published_at::DATE AS lastmod FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM active)")
+def export_chunks(spark, sf_dir):
+    return mg.export_chunks(b.catalog(spark, sf_dir).items, 500)
+
+
+@query("export_chunk_index", f"{WITH} SELECT (n - 1) // 500 AS chunk, count(*) AS n, max(published_at::DATE) AS lastmod FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM active) GROUP BY 1")
+def export_chunk_index(spark, sf_dir):
+    return mg.chunk_index(mg.export_chunks(b.catalog(spark, sf_dir).items, 500))
+
+
+# ---------------------------------------------------------------- incremental
+
+
+@query("scan_cutoff", f"""{PAGES_SQL}, a AS (SELECT *, sum((NOT failed AND has_new)::INT) OVER w AS g, sum((NOT failed)::INT) OVER w AS ok FROM pages_ WINDOW w AS (ORDER BY page)),
+s AS (SELECT *, sum((NOT failed AND NOT has_new)::INT) OVER (PARTITION BY g ORDER BY page) AS stable, sum(failed::INT) OVER (PARTITION BY ok ORDER BY page) AS fails FROM a),
+r AS (SELECT page, CASE WHEN NOT failed AND stable >= 3 THEN 'stable' WHEN failed AND fails >= 3 THEN 'failures' WHEN page >= last_page THEN 'last_page' END AS reason FROM s)
+SELECT page AS cutoff, reason FROM r WHERE reason IS NOT NULL ORDER BY page LIMIT 1""")
+def scan_cutoff(spark, sf_dir):
+    return inc.scan_cutoff(b.page_flags(b.listing_pages(spark, sf_dir)))
+
+
+@query("resume_page", f"{PAGES_SQL} SELECT coalesce(max(page), 1)::BIGINT AS page FROM rows_ WHERE page <= 40 AND page >= 0 - 10 AND item_id IN (SELECT item_id FROM rows_ WHERE page = 3)")
+def resume_page(spark, sf_dir):
+    rows = b.listing_pages(spark, sf_dir)
+    items = rows.groupBy("item_id").agg(F.max(F.when(F.col("page") == 3, ntz(NOW)).otherwise(ntz("2000-01-01 00:00:00"))).alias("list_seen_at"))
+    return inc.resume_page(rows.select("page", "item_id"), items, NOW, checkpoint=40, target=200)
+
+
+@query("contiguous_checkpoint", f"{PAGES_SQL} SELECT coalesce(max(page), 0)::BIGINT AS checkpoint FROM pages_ WHERE page < (SELECT coalesce(min(page), 1000000000) FROM pages_ WHERE failed)")
+def contiguous_checkpoint(spark, sf_dir):
+    return inc.contiguous_checkpoint(b.page_flags(b.listing_pages(spark, sf_dir)))
+
+
+_LEDGER_COLS = "entity_type, entity_id, operation, url, error_type, error_message, attempts, last_failed_at, next_retry_at"
+_LEDGER_SQL = """{fail}, early AS (SELECT * FROM batch WHERE ts < TIMESTAMP '2024-01-01 12:00:00'), late AS (SELECT * FROM batch WHERE ts >= TIMESTAMP '2024-01-29'),
+one AS (SELECT entity_type, entity_id, operation, max_by(url, seq) AS url, max_by(error_type, seq) AS error_type, max_by(error_message, seq) AS error_message, count(*)::INT AS attempts,
+  TIMESTAMP '2024-01-10' AS last_failed_at, TIMESTAMP '2024-01-10' + INTERVAL 1 SECOND * least(604800, 1800 * power(2, count(*) - 1))::BIGINT AS next_retry_at FROM early GROUP BY 1, 2, 3),
+two AS (SELECT entity_type, entity_id, operation, max_by(url, seq) AS url, max_by(error_type, seq) AS error_type, max_by(error_message, seq) AS error_message, count(*)::INT AS n FROM late GROUP BY 1, 2, 3),
+ledger AS (SELECT coalesce(o.entity_type, t.entity_type) AS entity_type, coalesce(o.entity_id, t.entity_id) AS entity_id, coalesce(o.operation, t.operation) AS operation, coalesce(t.url, o.url) AS url,
+  coalesce(t.error_type, o.error_type) AS error_type, coalesce(t.error_message, o.error_message) AS error_message, (coalesce(o.attempts, 0) + coalesce(n, 0))::INT AS attempts,
+  CASE WHEN n IS NULL THEN o.last_failed_at ELSE TIMESTAMP '2024-02-01' END AS last_failed_at,
+  CASE WHEN n IS NULL THEN o.next_retry_at ELSE TIMESTAMP '2024-02-01' + INTERVAL 1 SECOND * least(604800, 1800 * power(2, coalesce(o.attempts, 0) + n - 1))::BIGINT END AS next_retry_at
+  FROM one o FULL JOIN two t ON o.entity_id = t.entity_id)"""
+_LEDGER = _LEDGER_SQL.format(fail=FAIL_SQL)
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = b.failure_batch(spark, sf_dir)
+    empty = spark.createDataFrame([], "entity_type string, entity_id string, operation string, url string, error_type string, error_message string, attempts int, last_failed_at timestamp_ntz, next_retry_at timestamp_ntz")
+    one = inc.merge_failures(empty, batch.where(F.col("ts") < ntz("2024-01-01 12:00:00")), "2024-01-10 00:00:00")
+    return inc.merge_failures(one, batch.where(F.col("ts") >= ntz("2024-01-29 00:00:00")), EVENTS_NOW)
+
+
+@query("merge_failures", f"{_LEDGER} SELECT {_LEDGER_COLS} FROM ledger")
+def merge_failures(spark, sf_dir):
+    return _ledger(spark, sf_dir)
+
+
+@query("clear_failures", f"{_LEDGER} SELECT {_LEDGER_COLS} FROM ledger WHERE entity_id NOT IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-29')")
+def clear_failures(spark, sf_dir):
+    done = table(spark, sf_dir, "events").where((F.col("event_type") == "signup") & (F.col("ts") >= ntz("2024-01-29 00:00:00")))
+    done = done.select(F.lit("item").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.lit("detail").alias("operation"))
+    return inc.clear_failures(_ledger(spark, sf_dir), done)
+
+
+@query("retry_due", f"{_LEDGER} SELECT entity_id::BIGINT AS item_id, last_failed_at FROM ledger WHERE attempts < 6 AND next_retry_at <= TIMESTAMP '2024-02-01 03:00:00'")
+def retry_due(spark, sf_dir):
+    return inc.retry_due(_ledger(spark, sf_dir), "2024-02-01 03:00:00")
+
+
+@query("missing_details", f"{RICH_SQL} SELECT item_id FROM rich WHERE status = 'active' AND detail_fetched_at IS NULL")
+def missing_details(spark, sf_dir):
+    return inc.missing_details(b.rich_items(b.catalog(spark, sf_dir)))
+
+
+_STALE = "SELECT item_id, detail_fetched_at FROM rich WHERE status = 'active' AND detail_fetched_at < TIMESTAMP '2001-07-30' AND published_at >= DATE '2001-07-03' ORDER BY detail_fetched_at, item_id LIMIT 500"
+
+
+@query("stale_details", f"{RICH_SQL} {_STALE}")
+def stale_details(spark, sf_dir):
+    return inc.stale_details(b.rich_items(b.catalog(spark, sf_dir)), AS_OF)
+
+
+@query("work_queue", f"""{RICH_SQL}, stale AS ({_STALE}) SELECT item_id, reason FROM (SELECT item_id, min(k || reason)[2:] AS reason FROM (SELECT item_id, 0 AS k, 'missing' AS reason FROM rich WHERE status = 'active' AND detail_fetched_at IS NULL
+  UNION ALL SELECT user_id, 1, 'retry' FROM events WHERE event_type = 'error' UNION ALL SELECT item_id, 2, 'stale' FROM stale) GROUP BY 1) WHERE item_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-02')""")
+def work_queue(spark, sf_dir):
+    rich, events = b.rich_items(b.catalog(spark, sf_dir)), table(spark, sf_dir, "events")
+    user = F.col("user_id").alias("item_id")
+    parts = {"missing": inc.missing_details(rich), "retry": events.where("event_type = 'error'").select(user), "stale": inc.stale_details(rich, AS_OF)}
+    return inc.work_queue(parts, events.where((F.col("event_type") == "click") & (F.col("ts") < ntz("2024-01-02 00:00:00"))).select(user))
+
+
+@query("quality_gate", f"""{PAGES_SQL}, p AS (SELECT page, count(*) FILTER (NOT mark) AS n_items FROM rows_ GROUP BY 1), l AS (SELECT max(page) AS last_page FROM p),
+d AS (SELECT count(*) FILTER (event_type = 'error' AND value > 300) AS bad_details FROM events), q AS (SELECT count(*) FILTER (n_items = 0 AND (page = 1 OR page < last_page)) AS bad_pages FROM p, l)
+SELECT bad_pages, bad_details, bad_pages > 0 OR bad_details >= 5 AS stop FROM q, d""")
+def quality_gate(spark, sf_dir):
+    pages = b.listing_pages(spark, sf_dir).groupBy("page").agg(F.count_if(~F.col("_mark")).alias("n_items")).withColumn("last_page", F.max("page").over(Window.partitionBy()))
+    details = table(spark, sf_dir, "events").select(F.when((F.col("event_type") == "error") & (F.col("value") > 300), "drift").otherwise("ok").alias("outcome"))
+    return inc.quality_gate(pages, details)
+
+
+_RUN_EVENTS = {"view": "items_seen", "click": "changed_items", "signup": "new_items", "purchase": "details_fetched", "error": "failed_details"}
+_RUN_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RUN_EVENTS.items()) + " END"
+_RUN_COUNTS = ", ".join(f"count(*) FILTER (event = '{c}') AS {c}" for c in inc.COUNTERS)
+_RUN_SQL = f"""WITH ev AS (SELECT (dayofyear(ts))::BIGINT AS run_id, {_RUN_CASE} AS event FROM events), summary AS (SELECT *, CASE WHEN drift_errors > 0 THEN 'failed' WHEN failed_pages > 0 OR failed_details > 0 THEN 'partial' ELSE 'success' END AS status
+  FROM (SELECT run_id, {_RUN_COUNTS} FROM ev GROUP BY 1))"""
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    event = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _RUN_EVENTS.items()))
+    return inc.run_summary(e.select(F.dayofyear("ts").cast("long").alias("run_id"), event.alias("event")))
+
+
+@query("run_summary", f"{_RUN_SQL} SELECT * FROM summary")
+def run_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+@query("close_runs", f"""{_RUN_SQL}, runs AS (SELECT dayofyear(ts)::BIGINT AS run_id, 'running' AS status, min(ts) AS started_at FROM events GROUP BY 1 UNION ALL SELECT dayofyear(ts)::BIGINT + 100, 'running', min(ts) FROM events GROUP BY 1)
+SELECT r.run_id, CASE WHEN s.run_id IS NOT NULL THEN s.status WHEN r.run_id < max(r.run_id) OVER () THEN 'failed' ELSE r.status END AS status, started_at,
+  CASE WHEN s.run_id IS NOT NULL OR r.run_id < max(r.run_id) OVER () THEN TIMESTAMP '{EVENTS_NOW}' END AS finished_at, CASE WHEN s.run_id IS NULL AND r.run_id < max(r.run_id) OVER () THEN 'abandoned' END AS error, {', '.join(f's.{c}' for c in inc.COUNTERS)}
+FROM runs r LEFT JOIN summary s USING (run_id)""")
+def close_runs(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy(F.dayofyear("ts").cast("long").alias("run_id")).agg(F.min("ts").alias("started_at"))
+    runs = days.unionByName(days.withColumn("run_id", F.col("run_id") + 100)).select("run_id", F.lit("running").alias("status"), "started_at", F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit(None).cast("string").alias("error"))
+    return inc.close_runs(runs, _summary(spark, sf_dir), EVENTS_NOW)
+
+
+@query("stream_apply", f"""{_DETAILS}, gone AS (SELECT item_id, url FROM rich WHERE title LIKE '3-%') SELECT coalesce(r.item_id, d.item_id) AS item_id,
+  CASE WHEN d.item_id IS NOT NULL THEN 'active' WHEN g.item_id IS NOT NULL THEN 'missing' ELSE r.status END AS status, CASE WHEN d.item_id IS NULL THEN r.view_count ELSE d.view_count END AS view_count,
+  CASE WHEN d.item_id IS NOT NULL OR g.item_id IS NOT NULL THEN {_NOW} ELSE r.detail_fetched_at END AS detail_fetched_at FROM rich r FULL JOIN details d ON d.item_id = r.item_id LEFT JOIN gone g ON g.item_id = r.item_id""")
+def stream_apply(spark, sf_dir):
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    ok = _details(rich).withColumn("outcome", F.lit("ok"))
+    gone = rich.where("title like '3-%'").select("item_id", "url", F.lit("missing").alias("outcome"))
+    outcomes = ok.unionByName(gone, allowMissingColumns=True).withColumn("seq", F.col("item_id"))
+    ledger = spark.createDataFrame([], "entity_type string, entity_id string, operation string, url string, error_type string, error_message string, attempts int, last_failed_at timestamp_ntz, next_retry_at timestamp_ntz")
+    return apply_outcomes(rich, ledger, outcomes, NOW)[0].select("item_id", "status", "view_count", "detail_fetched_at")
+
+
+# ---------------------------------------------------------------- monitoring
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.max("value") > 400, "failed").when(F.max("value") > 300, "partial").otherwise("success")
+    return e.groupBy(F.dayofyear("ts").cast("long").alias("run_id")).agg(status.alias("status"), F.max("ts").alias("finished_at"))
+
+
+_RUNS_SQL = "runs AS (SELECT dayofyear(ts)::BIGINT AS run_id, CASE WHEN max(value) > 400 THEN 'failed' WHEN max(value) > 300 THEN 'partial' ELSE 'success' END AS status, max(ts) AS finished_at FROM events GROUP BY 1)"
+
+
+@query("dataset_status", f"{WITH}, {_RUNS_SQL} SELECT (SELECT count(*) FROM active) AS active_items, max(finished_at) FILTER (status IN ('success', 'partial')) AS last_good_at, max(run_id) AS last_run_id, max_by(status, run_id) AS last_status, max_by(finished_at, run_id) AS last_finished_at FROM runs")
+def dataset_status(spark, sf_dir):
+    return mon.dataset_status(b.catalog(spark, sf_dir).items, _runs(spark, sf_dir))
+
+
+@query("data_version", f"WITH {_RUNS_SQL} SELECT max(run_id) || ':2024-02-01T00:00:00' AS version FROM runs")
+def data_version(spark, sf_dir):
+    return mon.data_version(_runs(spark, sf_dir), EVENTS_NOW)
+
+
+@query("status_histogram", f"{LOG_SQL}, each AS (SELECT run_id, status, count(*) AS n FROM log GROUP BY 1, 2) SELECT run_id, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS status_codes FROM each GROUP BY 1")
+def status_histogram(spark, sf_dir):
+    return mon.status_histogram(b.access_log(spark, sf_dir))
+
+
+@query("access_counts", f"{LOG_SQL} SELECT method, route, status, count(*) AS n FROM log GROUP BY 1, 2, 3")
+def access_counts(spark, sf_dir):
+    return mon.access_counts(b.access_log(spark, sf_dir))
+
+
+_LE = ", ".join(f"({x})" for x in mon.BUCKETS)
+_HIST_SQL = f"{LOG_SQL}, le AS (SELECT le::DOUBLE AS le FROM (VALUES {_LE}, ('inf'::DOUBLE)) v(le)), hist AS (SELECT method, route, le, count(*) FILTER (duration <= le) AS n FROM log, le GROUP BY 1, 2, 3)"
+
+
+@query("latency_histogram", f"{_HIST_SQL} SELECT method, route, CASE WHEN isinf(le) THEN -1 ELSE le END AS le, n FROM hist")
+def latency_histogram(spark, sf_dir):
+    h = mon.latency_histogram(b.access_log(spark, sf_dir))
+    return h.withColumn("le", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")))
+
+
+@query("latency_p95", f"""{_HIST_SQL}, steps AS (SELECT route, le, n, lag(le, 1, 0.0) OVER w AS low, lag(n, 1, 0) OVER w AS before, max(n) OVER (PARTITION BY route) AS total FROM hist WINDOW w AS (PARTITION BY route ORDER BY le))
+SELECT route, round(min_by(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - before) / (n - before) END, le), 6) AS quantile FROM steps WHERE n >= 0.95::DOUBLE * total GROUP BY 1""")
+def latency_p95(spark, sf_dir):
+    q = mon.latency_quantile(mon.latency_histogram(b.access_log(spark, sf_dir)), 0.95, ("route",))
+    return q.withColumn("quantile", F.round("quantile", 6))
+
+
+@query("access_rollup", f"{LOG_SQL} SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, method, route, count(*) AS requests, count(*) FILTER (status >= 500) AS errors, {', '.join(f'count(*) FILTER (duration <= {x}) AS le_{k}' for k, x in enumerate(mon.BUCKETS))} FROM log GROUP BY 1, 2, 3")
+def rollup(spark, sf_dir):
+    return access_rollup(b.access_log(spark, sf_dir))
+
+
+@query("alerts", f"""WITH {_RUNS_SQL}, s AS (SELECT max(finished_at) FILTER (status IN ('success', 'partial')) AS good, max_by(status, run_id) AS last FROM runs), t AS (SELECT count(*) FILTER (value > 450) AS throttled FROM events)
+SELECT 'stale' AS alert, coalesce(date_diff('microsecond', good, TIMESTAMP '{EVENTS_NOW}') // 1000000 > 43200, true) AS firing FROM s UNION ALL SELECT 'last_run_failed', coalesce(last = 'failed', false) FROM s
+UNION ALL SELECT 'throttled', throttled > 10 FROM t UNION ALL SELECT 'slow_pages', false""")
+def alerts(spark, sf_dir):
+    log = b.access_log(spark, sf_dir)
+    status = mon.dataset_status(b.catalog(spark, sf_dir).items, _runs(spark, sf_dir))
+    windows = mon.latency_quantile(mon.latency_histogram(log, ("route", "run_id")), 0.95, ("run_id",))
+    throttled = table(spark, sf_dir, "events").agg(F.count_if(F.col("value") > 450).alias("throttled"))
+    return mon.alerts(status, windows, throttled, EVENTS_NOW)
+
+
+# ---------------------------------------------------------------- extraction and clean-up
+
+
+@query("extract_listings")
+def extract_listings(spark, sf_dir):
+    return hx.extract_listings(table(spark, sf_dir, "pages"), "https://example.com", ("example.com",))
+
+
+@query("extract_details")
+def extract_details(spark, sf_dir):
+    d = hx.extract_details(table(spark, sf_dir, "pages"), "https://example.com", ("example.com", "example.net", "example.org"), ("example.net",))
+    return d.select("item_id", "outcome", "title", F.size("tags").alias("n_tags"))
+
+
+@query("page_outcomes")
+def page_outcomes(spark, sf_dir):
+    return hx.page_outcomes(table(spark, sf_dir, "pages"), "https://example.com", ("example.com",)).groupBy("listing", "detail").agg(F.count("*").alias("n"))
+
+
+@query("normalise_text", r"SELECT doc_id AS item_id, md5(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))) AS clean FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+def normalise_text(spark, sf_dir):
+    plain = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return plain.select(F.col("doc_id").alias("item_id"), F.md5(tx.clean_text(F.col("text"))).alias("clean"))
+
+
+@query("normalise_numbers", """WITH raw AS (SELECT event_id, CASE event_type WHEN 'view' THEN value || 'k' WHEN 'click' THEN '1,' || user_id || '00' WHEN 'signup' THEN value || 'M' WHEN 'error' THEN 'none' ELSE user_id::VARCHAR END AS raw, value, user_id, event_type FROM events)
+SELECT event_id, CASE event_type WHEN 'view' THEN floor(value * 1000.0::DOUBLE) WHEN 'click' THEN ('1' || user_id || '00')::DOUBLE WHEN 'signup' THEN floor(value * 1000000.0::DOUBLE) WHEN 'error' THEN NULL ELSE user_id END::BIGINT AS number FROM raw""")
+def normalise_numbers(spark, sf_dir):
+    kind, user, value = F.col("event_type"), F.col("user_id").cast("string"), F.col("value").cast("string")
+    raw = F.when(kind == "view", F.concat(value, F.lit("k"))).when(kind == "click", F.concat(F.lit("1,"), user, F.lit("00"))).when(kind == "signup", F.concat(value, F.lit("M"))).when(kind == "error", "none").otherwise(user)
+    return table(spark, sf_dir, "events").select("event_id", vl.parse_compact_number(raw).alias("number"))
+
+
+@query("backfill_urls", """SELECT page_id AS item_id, CASE WHEN url LIKE 'https://%' AND regexp_matches(regexp_extract(url, '^https://([^/?#]*)', 1), '(^|\\.)example\\.(com|net)$') THEN url END AS url,
+  NOT (url LIKE 'https://%' AND regexp_matches(regexp_extract(url, '^https://([^/?#]*)', 1), '(^|\\.)example\\.(com|net)$')) AS changed FROM pages""")
+def backfill_urls(spark, sf_dir):
+    items = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), "url")
+    return mg.backfill_urls(items, {"url": ("example.com", "example.net")})
+
+
+@query("backfill_comments", f"{RICH_SQL} SELECT item_id, replace(comment, '\\n', chr(10)) AS comment FROM rich")
+def backfill_comments(spark, sf_dir):
+    return mg.backfill_comments(b.rich_items(b.catalog(spark, sf_dir)).select("item_id", "comment"))
+
+
+@query("highlight", f"{WITH} SELECT item_id, regexp_replace(title, '(urgent|machinery|build)', '<mark>\\1</mark>', 'gi') AS marked FROM items")
+def highlight(spark, sf_dir):
+    return b.catalog(spark, sf_dir).items.select("item_id", tx.highlight(F.col("title"), ["build", "Urgent", "machinery"]).alias("marked"))
+
+
+@query("content_language", "SELECT doc_id AS item_id, CASE WHEN regexp_matches(text, '[\\x{3040}-\\x{30ff}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{ac00}-\\x{d7af}]') THEN 'ko' END AS language FROM documents")
+def content_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), tx.content_language(F.col("text")).alias("language"))
+
+
+@query("compact_numbers", f"""{WITH} SELECT item_id, CASE WHEN view_count >= 1000000 THEN regexp_replace(printf('%.1f', view_count / 1000000.0::DOUBLE), '\\.?0+$', '') || 'M' WHEN view_count >= 1000 THEN regexp_replace(printf('%.1f', view_count / 1000.0::DOUBLE), '\\.?0+$', '') || 'K'
+  ELSE view_count::VARCHAR END AS compact, format('{{:,}}', view_count) AS full_, greatest(1, ceil(view_count / 36.0::DOUBLE))::BIGINT AS pages FROM items""")
+def compact_numbers(spark, sf_dir):
+    v = F.col("view_count")
+    return b.catalog(spark, sf_dir).items.select("item_id", vl.format_compact(v).alias("compact"), vl.format_count(v).alias("full_"), vl.page_count(v, 36).alias("pages"))
+
+
+@query("timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:00+09:00') AS iso, strftime(ts, '%Y-%m-%d %H:%M UTC') AS shown FROM events")
+def timestamps(spark, sf_dir):
+    stored = F.date_format("ts", "yyyy-MM-dd HH:mm")
+    return table(spark, sf_dir, "events").select("event_id", vl.iso_datetime(vl.parse_published(stored)).alias("iso"), vl.format_timestamp(F.col("ts")).alias("shown"))
+
+
+@query("relative_time", """WITH t AS (SELECT event_id, date_diff('microsecond', ts, TIMESTAMP '2024-01-20 00:00:00') / 1e6::DOUBLE AS s FROM events), m AS (SELECT *, floor(s / 60)::BIGINT AS m FROM t)
+SELECT event_id, CASE WHEN s < 0 OR m // 1440 >= 30 THEN 'date' WHEN m < 1 THEN 'just_now' WHEN m < 60 THEN 'minutes' WHEN m < 1440 THEN 'hours' ELSE 'days' END AS unit,
+  CASE WHEN s < 0 OR m // 1440 >= 30 OR m < 1 THEN NULL WHEN m < 60 THEN m WHEN m < 1440 THEN m // 60 ELSE m // 1440 END AS count FROM m""")
+def relative_time(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", vl.relative_time(F.col("ts"), ntz("2024-01-20 00:00:00")).alias("x")).select("event_id", "x.unit", "x.count")
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
