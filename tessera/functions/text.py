@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Code point ranges that count as CJK, kana and hangul.
 CJK = r"\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
@@ -16,12 +17,12 @@ HANGUL = r"\uac00-\ud7af\u1100-\u11ff"
 SPLIT = r"(?U)[\s,\uff0c\u3001]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_words(values: pd.Series) -> pd.Series:
     """Lower case without diacritics."""
     def fold(v: str) -> str:
@@ -37,7 +38,7 @@ def _unescape(v: str) -> str:
     return _ESCAPE.sub(lambda m: "\n" if m[1] in ("n", "r\\n") else m[1], v) if "\\" in v else v
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_escapes(values: pd.Series) -> pd.Series:
     """Stored escapes for line breaks, quotes and backslashes, in a single pass."""
     return values.map(_unescape, na_action="ignore")

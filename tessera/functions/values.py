@@ -75,6 +75,16 @@ def format_count(c: Column) -> Column:
     return F.format_number(F.coalesce(c, F.lit(0)).cast("long"), 0)
 
 
+def _one_decimal(n: Column, size: int) -> Column:
+    """n / size to one decimal as text. A tie is decided by the binary value of the quotient, else half to even."""
+    whole, rest = F.floor(n * 10 / F.lit(size)).cast("long"), F.pmod(n * 10, F.lit(size)) * 2
+    scaled = (n / F.lit(float(size)) * float(1 << 52)).cast("long").cast("decimal(38,0)") * 20
+    tie = (whole * 2 + 1).cast("decimal(38,0)") * F.lit(1 << 52)
+    up = (rest > size) | ((rest == size) & ((scaled > tie) | ((scaled == tie) & (whole % 2 == 1))))
+    tenths = whole + up.cast("int")
+    return F.regexp_replace(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")), r"\.0$", "")
+
+
 def format_compact(c: Column, lang: str = "en") -> Column:
     """1 234 567 as ``1.2M`` (or in units of ten thousand for Chinese and Japanese)."""
     n = F.coalesce(c, F.lit(0)).cast("long")
@@ -82,8 +92,7 @@ def format_compact(c: Column, lang: str = "en") -> Column:
     units = ((10**8, east), (10**4, "万")) if east else ((10**9, "B"), (10**6, "M"), (10**3, "K"))
     out = F.format_number(n, 0) if east else n.cast("string")
     for size, unit in reversed(units):
-        short = F.regexp_replace(F.format_string("%.1f", n / F.lit(float(size))), r"\.?0+$", "")
-        out = F.when(n >= size, F.concat(short, F.lit(unit))).otherwise(out)
+        out = F.when(n >= size, F.concat(_one_decimal(n, size), F.lit(unit))).otherwise(out)
     return out
 
 

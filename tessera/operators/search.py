@@ -91,9 +91,8 @@ def search_batch(catalog: Catalog, requests: DataFrame, docs: DataFrame) -> Data
     then verified, a facet meets links by id. An item fits if it met as many conditions as must hold.
     """
     requests = requests.withColumn("tokens", F.slice(F.array_distinct("tokens"), 1, MAX_TOKENS))
-    grams = docs.select("item_id", "title_folded", "keywords_folded", F.explode(F.array_distinct(F.flatten(F.array(*(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i, c=c: F.substr(F.col(c), i, F.lit(3))) for c in ("title_folded", "keywords_folded")
-    ))))).alias("gram"))
+    trigrams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(3)))
+    grams = docs.select("item_id", "title_folded", "keywords_folded", F.explode(F.array_distinct(F.concat(trigrams("title_folded"), trigrams("keywords_folded")))).alias("gram"))
     tokens = requests.select("query_id", "title_mode", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token")).withColumn("gram", F.substring("token", 1, 3))
     text = (
         tokens.join(grams, "gram")

@@ -388,14 +388,14 @@ def refresh_quiet(spark, sf_dir):
     return mg.refresh_hot(old, AS_OF, full=False).select("item_id", F.round("hot_score", 6).alias("hot_score"))
 
 
-@query("export_chunks", f"{WITH} SELECT (n - 1) // 500 AS chunk, (n - 1) % 500 AS pos, item_id, published_at::DATE AS lastmod FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM active)")
+@query("export_chunks", f"{WITH} SELECT (n - 1) // 500 AS chunk, (n - 1) % 500 AS pos, item_id, strftime(published_at, '%Y-%m-%d') AS lastmod FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM active)")
 def export_chunks(spark, sf_dir):
-    return mg.export_chunks(b.catalog(spark, sf_dir).items, 500)
+    return mg.export_chunks(b.catalog(spark, sf_dir).items, 500).withColumn("lastmod", F.col("lastmod").cast("string"))
 
 
-@query("export_chunk_index", f"{WITH} SELECT (n - 1) // 500 AS chunk, count(*) AS n, max(published_at::DATE) AS lastmod FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM active) GROUP BY 1")
+@query("export_chunk_index", f"{WITH} SELECT (n - 1) // 500 AS chunk, count(*) AS n, strftime(max(published_at), '%Y-%m-%d') AS lastmod FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM active) GROUP BY 1")
 def export_chunk_index(spark, sf_dir):
-    return mg.chunk_index(mg.export_chunks(b.catalog(spark, sf_dir).items, 500))
+    return mg.chunk_index(mg.export_chunks(b.catalog(spark, sf_dir).items, 500)).withColumn("lastmod", F.col("lastmod").cast("string"))
 
 
 # ---------------------------------------------------------------- incremental
@@ -551,9 +551,9 @@ def data_version(spark, sf_dir):
     return mon.data_version(_runs(spark, sf_dir), EVENTS_NOW)
 
 
-@query("status_histogram", f"{LOG_SQL}, each AS (SELECT run_id, status, count(*) AS n FROM log GROUP BY 1, 2) SELECT run_id, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS status_codes FROM each GROUP BY 1")
+@query("status_histogram", f"{LOG_SQL}, each AS (SELECT run_id, status, count(*) AS n FROM log GROUP BY 1, 2) SELECT run_id::VARCHAR AS run_id, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS status_codes FROM each GROUP BY 1")
 def status_histogram(spark, sf_dir):
-    return mon.status_histogram(b.access_log(spark, sf_dir))
+    return mon.status_histogram(b.access_log(spark, sf_dir)).withColumn("run_id", F.col("run_id").cast("string"))
 
 
 @query("access_counts", f"{LOG_SQL} SELECT method, route, status, count(*) AS n FROM log GROUP BY 1, 2, 3")
