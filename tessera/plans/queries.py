@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
+from ..functions.workers import share_path
 from ..operators import filters as fl
 from ..operators import incremental as inc
 from ..operators import merge as mg
@@ -32,7 +33,11 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        _QUERIES[name] = f, sql
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            share_path(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = run, sql
         return f
 
     return keep
