@@ -56,14 +56,14 @@ def domain(n: int) -> tuple[int, int]:
 def walk_length(spark: SparkSession, n: int, seed: int) -> int:
     """How often a number must be permuted again at most, found from the fewer than sqrt(n) numbers outside 0..n-1."""
     a, b = domain(n)
-    if a * b == n:
-        return 0
-    out, steps = spark.range(n, a * b).select(F.col("id").alias("v")), 0
-    while True:
-        steps += 1
+    out, left, steps = spark.range(n, a * b).select(F.col("id").alias("v")), a * b - n, 0
+    while left:
         out = out.select(_permute(F.col("v"), a, b, seed).alias("v")).where(F.col("v") >= n)
-        if out.isEmpty():
-            return steps
+        still = out.count()
+        if still == left:  # the rest are cycles wholly outside, which no number of 0..n-1 meets
+            break
+        left, steps = still, steps + 1
+    return steps
 
 
 def place(number: Column, n: int, steps: int, seed: int) -> Column:
