@@ -35,7 +35,7 @@ from .common import NO_LETTER, Words, chunks, table, with_workers
 
 BITS = 20
 STEM = 6
-SAMPLE = 3000
+SAMPLE = 2000
 SEED = 11
 PENALTY = 0.004
 STEPS = 250
@@ -68,10 +68,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, slot = pairs >> BITS, pairs & ((1 << BITS) - 1)
             value = _values(slot, count, n_words[owner])
             cuts = np.searchsorted(owner, np.arange(len(at)))
+            slot, value = slot.astype(np.int32), value.astype(np.float32)
             found += [slot[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             values += [value[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))],
+            [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
             names=["doc_id", "toxic", "slots", "vals"],
         )
 
@@ -101,10 +102,10 @@ def fit(toxic: np.ndarray, slots: list[np.ndarray], values: list[np.ndarray]) ->
     y = grades(toxic, slots, values)
     df = np.bincount(np.concatenate(slots), minlength=1 << BITS)
     kept = np.flatnonzero(df >= 3)
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
     col = [place[s] for s in slots]
-    row = np.repeat(np.arange(len(col)), [(c >= 0).sum() for c in col])
+    row = np.repeat(np.arange(len(col), dtype=np.int32), [(c >= 0).sum() for c in col])
     val = np.concatenate([v[c >= 0] for c, v in zip(col, values, strict=True)])
     col = np.concatenate([c[c >= 0] for c in col])
     n, m = len(y), len(kept)
@@ -146,9 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picks = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * sample rows of two numbers
     texts = docs.select("doc_id", "text").join(picks, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = texts.mapInArrow(_features, "doc_id long, toxic int, slots array<bigint>, vals array<double>").toPandas()
-    rows = rows.sort_values(["toxic", "doc_id"], kind="stable")
-    return fit(rows.toxic.to_numpy(), [np.asarray(s) for s in rows.slots], [np.asarray(c) for c in rows.vals])
+    rows = texts.mapInArrow(_features, "doc_id long, toxic int, slots array<int>, vals array<float>").toArrow().combine_chunks()
+    rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    slots, values = rows["slots"].combine_chunks(), rows["vals"].combine_chunks()
+    cuts, flat_s, flat_v = slots.offsets.to_numpy(), slots.values.to_numpy(), values.values.to_numpy()
+    parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return fit(rows["toxic"].to_numpy(), [flat_s[p] for p in parts], [flat_v[p] for p in parts])
 
 
 def severities(texts: pa.Array, dense: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
