@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op2_cgk_decontamination
 from .mixing import OP9_SQL, op9_source_mixing
 from .neardup import op4_tensored_minhash
+from .oracles import OP4_SQL, OP5_SQL
 from .pii import op3_pii_deobfuscation
 from .rendering import op6_layout_rendering
 from .sharding import op7_feistel_sharding
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": OP9_SQL}
+    return {"op4_tensored_minhash": OP4_SQL, "op5_rotation_codes": OP5_SQL, "op9_source_mixing": OP9_SQL}
