@@ -215,10 +215,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(now.mapInArrow(_forest, "a long, b long").where("a <> b").distinct())
     seen = None
     while True:
-        # large star: every neighbour above v hangs below the smallest around v
+        # large star: every neighbour above v hangs below the smallest around v. The minima are a table of their own, so that
+        # Spark can split the partition of a vertex with very many neighbours in the join.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: the same with the neighbours below v, and v itself
         large = large.where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -231,6 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         new = materialise(new)
         mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        forget(low)
         forget(now)
         now = new
         if mark == seen:
