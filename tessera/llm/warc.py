@@ -173,12 +173,12 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 0, roll_bytes: int
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     again = narrow.join(firsts, "digest").where("not (page_id <=> first)").select("page_id", "digest", "first").distinct()
     rows = pages.select(
-        shard.alias("shard"), "page_id", F.lit(1).alias("kind"), F.col("url").cast("string"), "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first")
+        shard.alias("shard"), "page_id", F.lit(1).alias("kind"), F.col("url").cast("string"), "html", F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.lit(None).cast("long").alias("first")
     ).unionByName(
         again.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first")
     )
     dealt = rows.repartitionByRange(shards + 1, "shard")
-    manifest = materialise(dealt.sortWithinPartitions("shard", "page_id", "kind", "digest").mapInArrow(_writer(out, roll_bytes), MANIFEST))
+    manifest = materialise(dealt.sortWithinPartitions("shard", "page_id", "kind", "digest", "url").mapInArrow(_writer(out, roll_bytes), MANIFEST))
     committed = materialise(manifest.repartition("file").mapInArrow(_renamer(out), MANIFEST))
     forget(narrow)
     return committed
