@@ -12,7 +12,8 @@ by the exact edit distance of the item to any stretch of the text around the win
 
 Not every window needs embedding: a stretch within k edits of an item of n words keeps a run of at least
 (n - k) / (k + 1) of its words, which is 3 or more from six words on. So only windows that line up with a run of three words
-of an item (fewer for shorter items) are embedded; this loses nothing.
+of an item (fewer for shorter items) are embedded; this loses nothing. A window that reaches over an edge of the text, by at
+most k words, is verified without keys; farther over, the words missing are more than k edits.
 
 The benchmark is passed to tasks in parts of about ``PART_BYTES``, by measured size, one pass over the documents for each; a pass
 needs no shuffle. Defined results: a null, empty or blank text or item matches nothing; a null item_id is reported as null; repeated
@@ -59,7 +60,8 @@ def _grams(h: np.ndarray, q: int) -> np.ndarray:
 def walks(symbols: np.ndarray, length: np.ndarray, steps: int) -> np.ndarray:
     """LSH keys [rows, WALKS * SAMPLES] of word sequences padded to the right.
 
-    Sampled steps lie within the first 3 * length steps of each row's own walk: they are fractions of its length.
+    Sampled steps lie within the first 2 * length steps of each row's own walk: they are fractions of its length, so a window
+    that is compared with an item must have the item's length.
     """
     g = np.random.Generator(np.random.PCG64(SEED))
     rows = np.arange(len(symbols))
@@ -146,13 +148,11 @@ class Index:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
-    def _take(self, words: Words, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words start..start+length of the texts, cut at their ends and padded; and how many there are."""
-        lo, hi = np.maximum(start, words.at[text]), np.minimum(start + length, words.at[text + 1])
-        n = np.maximum(hi - lo, 0)
-        at = lo[:, None] + np.arange(int(n.max(initial=1)))[None, :]
-        inside = at < hi[:, None]
-        return np.where(inside, words.hash[np.minimum(at, len(words.hash) - 1)], _PAD), n
+    def _take(self, words: Words, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words start..start+length of the texts; what lies before or after a text is padding, so that the others keep their places."""
+        at = start[:, None] + np.arange(int(length.max(initial=1)))[None, :]
+        inside = (at >= words.at[text][:, None]) & (at < np.minimum(start + length, words.at[text + 1])[:, None])
+        return np.where(inside, words.hash[np.clip(at, 0, len(words.hash) - 1)], _PAD)
 
     def find(self, words: Words, span: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, distance) of the items found, once for each text and item."""
@@ -160,14 +160,20 @@ class Index:
         out = []
         for a in range(0, len(text), span):
             t, i, s = text[a : a + span], item[a : a + span], start[a : a + span]
-            window, n = self._take(words, t, s, self.n[i])
-            meets = (walks(window, np.maximum(n, 1), 2 * self.words.shape[1]) == self.keys[i]).any(1)
+            over = np.maximum(words.at[t] - s, 0) + np.maximum(s + self.n[i] - words.at[t + 1], 0)
+            meets = (over > 0) & (over <= self.k[i])  # each word over an edge is an edit
+            inside = np.flatnonzero(over == 0)
+            if len(inside):
+                window = self._take(words, t[inside], s[inside], self.n[i[inside]])
+                meets[inside] = (walks(window, self.n[i[inside]], 2 * self.words.shape[1]) == self.keys[i[inside]]).any(1)
             t, i, s = t[meets], i[meets], s[meets]
-            if len(t):
-                region, _ = self._take(words, t, s - self.k[i], self.n[i] + 2 * self.k[i])
-                d = fitted_distance(self.words[i], self.n[i], region)
-                near = d <= self.k[i]
-                out.append(np.stack([t[near], i[near], d[near]]))
+            few = max(1, (1 << 20) // self.words.shape[1])
+            for b in range(0, len(t), few):
+                u, j, r = t[b : b + few], i[b : b + few], s[b : b + few]
+                region = self._take(words, u, r - self.k[j], self.n[j] + 2 * self.k[j])
+                d = fitted_distance(self.words[j], self.n[j], region)
+                near = d <= self.k[j]
+                out.append(np.stack([u[near], j[near], d[near]]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         t, i, d = np.concatenate(out, axis=1)

@@ -109,6 +109,24 @@ def test_recall_at_the_limit(n):
     assert sum((j, j) in hit for j in range(150)) / 150 >= 0.98  # RECALL, less the noise of 150 trials
 
 
+@pytest.mark.parametrize("n", [6, 10, 25, 55, 200])
+@pytest.mark.parametrize("side", ["begins", "ends", "is all"])
+def test_recall_at_the_edges_of_a_text(n, side):
+    rnd = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(500)] + ["the"] * 150
+    items = [[rnd.choice(vocabulary) for _ in range(n)] for _ in range(150)]
+    index, k = dc.Index(list(range(150)), [" ".join(x) for x in items]), int(dc.allowed(np.array([n]))[0])
+    pad = lambda: [rnd.choice(vocabulary) for _ in range(30)]
+    docs = {
+        "begins": [x[k:] + pad() for x in items], "ends": [pad() + x[: n - k] for x in items], "is all": [x[k // 2 : n - (k - k // 2)] for x in items],
+    }[side]
+    hit = set()
+    for first, raw, at in chunks(pa.array([" ".join(d) for d in docs])):
+        t, i, _ = index.find(Words(raw, at, NO_LETTER, latin=True))
+        hit |= {(int(a) + first, int(b)) for a, b in zip(t, i, strict=True)}
+    assert sum((j, j) in hit for j in range(150)) / 150 >= 0.98
+
+
 def _distance(a, b):
     """Edit distance of ``a`` to any stretch of ``b``."""
     row = [0] * (len(b) + 1)
