@@ -12,7 +12,8 @@ ASCII, at/dot disguises become ``@`` and ``.``, spelled digits become digits. Ea
 the source range it came from, so a span found in the normal form is mapped back to source characters. Spans that touch
 a base span of their kind are left out: the base spans stay, the method only adds.
 
-Only texts with a sign of disguise are rewritten; the others cost the four base searches. All searches are linear in the
+A transducer is passed over only in texts where it cannot match, by a sign that each of its matches has; whether a span is
+found never depends on other disguises in the text. All searches are linear in the
 text. Offsets count code points, the end is exclusive. Defined results: a null or empty text has no spans; a null doc_id
 is kept; repeated rows are scanned each; other columns pass through ``find_spans`` (columns named like a result column
 are replaced).
@@ -119,9 +120,31 @@ _AT = re.compile(
 _DOT = re.compile(rf"{_B}{_OPEN}{_B}(?:dot|\.|point){_B}{_CLOSE}{_B}|(?<=\w)[ \t]{{1,3}}(?:dot|point)[ \t]{{1,3}}(?=\w)|(?<=\w)[_-]dot[_-](?=\w)", re.I)
 _WORD_DIGIT = rf"(?:{'|'.join(_SPELLED)}|[0-9])"
 _DIGIT_RUN = re.compile(rf"(?:(?<![A-Za-z])plus[\s,-]{{0,3}}|\+\s{{0,3}})?(?<![A-Za-z0-9]){_WORD_DIGIT}(?:[\s,.()-]{{0,3}}(?:(?:dot|point)\s{{1,3}})?{_WORD_DIGIT}){{3,200}}(?![A-Za-z0-9])", re.I)
-_SPELLED_ONE = re.compile(rf"(?:(?<=\W)|^)(?=[zotfsen])(?:{'|'.join(_SPELLED)})(?:[\s,.()-]{{1,3}}(?:{'|'.join(_SPELLED)}|dot|point|[0-9]{{1,20}})\b){{2}}")
 _PIECE = re.compile(rf"{'|'.join(_SPELLED)}|dot|point|plus", re.I)
-_SIGN = re.compile(rf"{_OPEN}{_B}(?:at|dot|point|@|\.){_B}{_CLOSE}|[ _-]dot[ _-]", re.I)
+# Signs, in lower case: each transducer needs one of its own to match anywhere, so texts without it are left alone by it.
+_BRACKETED = re.compile(rf"{_OPEN}{_B}(?:at|@|dot|\.|point){_B}{_CLOSE}")
+_BARE = re.compile(r"(?:dot(?<=[ \t_-]dot)|point(?<=[ \t]point))(?=[ \t_-])")
+_JOINED_AT = ("_at_", "_at-", "-at_", "-at-")
+_SEP = r"[\s,.()-]{0,3}"
+_ANY_SPELLED = rf"(?:{'|'.join(_SPELLED)})"
+_LINK = re.compile(
+    rf"{_ANY_SPELLED}{_SEP}(?:(?:dot|point)\s{{1,3}})?{_WORD_DIGIT}"
+    rf"|[0-9]{_SEP}(?:(?:dot|point)\s{{1,3}}{_WORD_DIGIT}|{_ANY_SPELLED})"
+    rf"|plus[\s,-]{{0,3}}{_WORD_DIGIT}"
+)
+
+
+def _low(s: str) -> str:
+    """Lower case as patterns that ignore case compare it."""
+    return s.lower() if s.isascii() else s.lower().replace("i̇", "i").replace("ſ", "s").replace("ı", "i")
+
+
+def signs(text: str) -> tuple[bool, bool, bool]:
+    """Whether ``_AT``, ``_DOT`` and a digit run with words can match in a text (in it as it is, before any of them rewrites it)."""
+    low = _low(text)
+    bracketed = any(x in low for x in "[({<") and bool(_BRACKETED.search(low))
+    bare = ("dot" in low or "point" in low) and bool(_BARE.search(low))
+    return bracketed or bare or any(x in low for x in _JOINED_AT), bracketed or bare, bool(_LINK.search(low))
 
 
 class Tape:
@@ -143,25 +166,20 @@ class Tape:
 
 
 def _spelled(m: re.Match) -> str:
-    out = _PIECE.sub(lambda p: {"dot": ".", "point": ".", "plus": "+"}.get(w := p[0].lower(), _SPELLED.get(w, "")), m[0])
+    out = _PIECE.sub(lambda p: {"dot": ".", "point": ".", "plus": "+"}.get(w := _low(p[0]), _SPELLED.get(w, "")), m[0])
     return re.sub(r"[\s,]+|(?<=[0-9])[().-]*\s*(?=\.)|(?<=\.)\s+", "", out) if _PIECE.search(m[0]) else m[0]
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    low = text.lower()
-    strange = not text.isascii() and not _ODD.isdisjoint(set(text))
-    sign = ("dot" in low or any(x in text for x in "[({<")) and bool(_SIGN.search(text))
-    spelled = sum(map(low.count, _SPELLED)) >= 3 and bool(_SPELLED_ONE.search(low))  # counting is far cheaper than searching
-    if not (strange or sign or spelled):
-        return []
     tape = Tape(text)
-    if strange:
+    if not text.isascii() and not _ODD.isdisjoint(set(text)):
         tape.rewrite((m.start(), m.end(), _MAP[m[0]]) for m in _STRANGE.finditer(tape.text))
-    before = tape.text
-    if sign or _SIGN.search(before):
+    at, dot, digits = signs(tape.text)
+    if at:
         tape.rewrite((m.start(), m.end(), "@") for m in _AT.finditer(tape.text))
+    if dot:
         tape.rewrite((m.start(), m.end(), ".") for m in _DOT.finditer(tape.text))
-    if spelled or strange:
+    if digits or (at or dot) and _LINK.search(_low(tape.text)):
         tape.rewrite((m.start(), m.end(), _spelled(m)) for m in _DIGIT_RUN.finditer(tape.text))
     if tape.text == text:
         return []

@@ -67,6 +67,34 @@ def test_disguises(text, found):
     assert base == [] and [text[a:b] for a, b, _ in added] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "192 point 168 point 0 point 1", "192\tdot\t168\tdot\t0\tdot\t1", "192.168_dot_0.1", "john_at_example.com", "john-at-example.com", "john[at]example.com", "john at example\tdot\tcom",
+        "john@example point com", "+1 five 55 5 one 23 4567", "+1 555 12 3 seven 56", "plus 1 555 123 4567", "4532 0151 1283 03 six 6",
+    ],
+)
+def test_each_disguise_alone(text):
+    base, added = pii.scan(text)
+    assert base == [] and [text[a:b] for a, b, _ in added] == [text]
+    for other in ("x", "[at]", "exаmple", "one two three four"):  # other disguises in the text change nothing
+        both = f"{other}; {text}"
+        assert [both[a:b] for a, b, _ in pii.scan(both)[1]] == [text]
+
+
+def test_signs_miss_no_match():
+    rnd = random.Random(9)
+    pieces = ["at", "dot", "point", "@", "plus", "+", "ONE", "ſix", "fİve", "oh", "7", "42", " ", " ", "\t", "\n", "_", "-", ".", ",", "(", ")", "[", "]", "a", "é"]
+    fired = [0, 0, 0]
+    for _ in range(60_000):
+        text = "".join(rnd.choices(pieces, k=rnd.randint(1, 24)))
+        matches = pii._AT.search(text), pii._DOT.search(text), any(pii._PIECE.search(m[0]) for m in pii._DIGIT_RUN.finditer(text))
+        for k, (sign, match) in enumerate(zip(pii.signs(text), matches, strict=True)):
+            assert sign or not match, text
+            fired[k] += bool(match)
+    assert min(fired) > 100
+
+
 def test_added_spans_leave_base_ones(spark):
     texts = ["a@b.co and c [at] d [dot] org, 10.0.0.1", None, "", "x" * 200_000 + " a@b.co", "a@b.co"]
     df = spark.createDataFrame([(k if k != 4 else None, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, spans int")
