@@ -78,7 +78,7 @@ def cjk_grams(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Distinct folded words outside CJK runs."""
-    folded = F.regexp_replace(fold_words(F.coalesce(c, F.lit(""))), f"[{CJK}]+", " ")
+    folded = fold_words(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{CJK}]+", " "))  # before folding takes syllables apart
     return F.array_distinct(F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != ""))
 
 

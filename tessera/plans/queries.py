@@ -123,7 +123,7 @@ def search_documents(spark, sf_dir):
 @query("short_terms", """SELECT doc_id AS item_id, list_aggregate(list_sort(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), 'string_agg', ' ') AS words
 FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')""")
 def short_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z0-9]"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("item_id"), F.array_join(F.array_sort(tx.words(F.col("text"))), " ").alias("words"))
 
 
@@ -624,6 +624,12 @@ def normalise_text(spark, sf_dir):
     return plain.select(F.col("doc_id").alias("item_id"), F.md5(tx.clean_text(F.col("text"))).alias("clean"))
 
 
+@query("normalise_text_all")
+def normalise_text_all(spark, sf_dir):
+    """``normalise_text`` over all documents; without SQL, as DuckDB lacks NFKC."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.md5(tx.clean_text(F.col("text"))).alias("clean"))
+
+
 @query("normalise_numbers", """WITH raw AS (SELECT event_id, CASE event_type WHEN 'view' THEN value || 'k' WHEN 'click' THEN '1,' || user_id || '00' WHEN 'signup' THEN value || 'M' WHEN 'error' THEN 'none' ELSE user_id::VARCHAR END AS raw, value, user_id, event_type FROM events)
 SELECT event_id, CASE event_type WHEN 'view' THEN floor(value * 1000.0::DOUBLE) WHEN 'click' THEN ('1' || user_id || '00')::DOUBLE WHEN 'signup' THEN floor(value * 1000000.0::DOUBLE) WHEN 'error' THEN NULL ELSE user_id END::BIGINT AS number FROM raw""")
 def normalise_numbers(spark, sf_dir):
