@@ -6,10 +6,10 @@ no head matter, script, style, template, noscript and the like; nothing hidden b
 ``display:none`` / ``visibility:hidden``. The renderer walks the tree and emits all visible text: white space collapses
 outside ``pre``; blocks begin on new lines and paragraphs, headings, lists and tables are set off by an empty line; list items get
 ``- `` or their number and the indent of their nesting; table cells are padded so that columns align and separated by
-`` | `` (a cell's own line breaks become blanks; a table within a cell is set as one line).
+`` | `` (cells keep their own lines, lists and tables); what a table holds outside its cells comes before it.
 
-One page at a time, without recursion, in time that grows with the page. Table widths are capped for padding at
-``WIDEST`` characters: longer cells are written whole, unpadded. Defined results: a null or empty html gives an
+One page at a time, without recursion, in time that grows with the page. Where columns as wide as their cells would make a table
+many times larger, cells longer than ``WIDEST`` are unpadded, and if that does not do, all are. Defined results: a null or empty html gives an
 empty text; a broken page gives what its tokens hold; repeated rows are rendered each; other columns pass through ``render``
 (a column ``text`` of the input is replaced).
 """
@@ -17,6 +17,7 @@ empty text; a broken page gives what its tokens hold; repeated rows are rendered
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,12 +28,14 @@ from pyspark.sql import types as T
 from .common import table, with_workers
 
 WIDEST = 60
+#: Tables within more tables than this are set without columns, each cell on its own lines.
+NESTED = 16
 #: Elements nested deeper than this become siblings.
 DEEPEST = 512
 # ---- fixed values of HTML
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-_UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base svg math object audio video canvas datalist textarea select option".split())
+_UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base audio video canvas datalist desc metadata defs annotation annotation-xml".split())
 _BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol p pre section summary table ul tr td th thead tbody tfoot caption".split()
@@ -51,8 +54,11 @@ _IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 # ---- end of fixed values
+_TABLE_PARTS = frozenset("tr td th thead tbody tfoot".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'){0,2000}+)>|<[!?/][^<>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -89,6 +95,7 @@ def build(html: str) -> Node:
     root = Node("html")
     stack, open_tags, at, low = [root], ["html"], 0, None
     unseen, unclosed = 0, set()  # depth of open hidden elements; raw tags that end nowhere
+    below: Counter = Counter()  # open elements too deep for the stack, within a hidden one
     while True:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -100,8 +107,11 @@ def build(html: str) -> Node:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        below = below if unseen else Counter()
         if m[1]:
-            if tag in open_tags[1:]:
+            if below[tag]:
+                below[tag] -= 1
+            elif tag in open_tags[1:]:
                 while True:
                     gone = open_tags.pop()
                     unseen -= stack.pop().tag == "-"
@@ -110,12 +120,13 @@ def build(html: str) -> Node:
             continue
         if tag in ("html", "body") and tag in open_tags:
             continue
-        if tag in _CLOSES_P and "p" in open_tags:
+        within = unseen and any(below.values())
+        if tag in _CLOSES_P and "p" in open_tags and not within:
             k = len(open_tags) - 1 - open_tags[::-1].index("p")
             if not any(t in ("table", "td", "th", "button", "li") for t in open_tags[k + 1 :]):
                 unseen -= sum(n.tag == "-" for n in stack[k:])
                 del stack[k:], open_tags[k:]
-        if tag in _IMPLIED:
+        if tag in _IMPLIED and not within:
             ends, stops = _IMPLIED[tag]
             k, cut = len(open_tags) - 1, None
             while k > 0 and open_tags[k] not in stops:
@@ -139,12 +150,14 @@ def build(html: str) -> Node:
             if end < 0 and tag in ("title", "textarea"):
                 continue
             if not hidden and not unseen:
-                node.parts.append(html[at : end if end >= 0 else len(html)])
+                raw = html[at : end if end >= 0 else len(html)]
+                node.parts.append(unescape(raw) if tag == "textarea" else raw)
             at = html.find(">", end) + 1 if end >= 0 else len(html)
             if not at:
                 return root
             continue
-        if len(stack) >= DEEPEST:
+        if len(stack) >= DEEPEST and (unseen or not hidden):
+            below[tag] += bool(unseen)
             continue
         stack.append(node)
         open_tags.append(tag)
@@ -202,62 +215,123 @@ class _Lines:
         return self.out
 
 
-def _rows(node: Node) -> tuple[list[list[Node]], list[Node]]:
-    """The cells of a table by row, and its captions."""
-    rows, rest, todo = [], [], [node]
+def _holds(node: Node) -> bool:
+    """Whether rows or cells of the table around a node lie in it."""
+    todo = [node]
     while todo:
-        x = todo.pop()
-        for part in x.parts:
-            if isinstance(part, str):
-                continue
-            if part.tag == "tr":
-                rows.append([c for c in part.parts if isinstance(c, Node) and c.tag in ("td", "th")])
-        todo += [p for p in reversed(x.parts) if isinstance(p, Node) and p.tag in ("thead", "tbody", "tfoot")]
-        rest += [p for p in x.parts if isinstance(p, Node) and p.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col", "-")]
+        for part in todo.pop().parts:
+            if isinstance(part, Node) and part.tag != "table":
+                if part.tag in _TABLE_PARTS:
+                    return True
+                todo.append(part)
+    return False
+
+
+def _rows(node: Node) -> tuple[list[list[Node]], list]:
+    """The cells of a table by row; and what else it holds, which pages show before it."""
+    rows, rest, todo = [], [], [(p, None) for p in reversed(node.parts)]
+    bare = None  # the row of cells outside rows
+    while todo:
+        part, row = todo.pop()
+        if isinstance(part, str):
+            rest += [part] if part.strip() else []
+        elif part.tag in ("td", "th"):
+            if row is None:
+                if bare is None:
+                    rows.append(bare := [])
+                row = bare
+            row.append(part)
+        elif part.tag == "tr":
+            rows.append([])
+            bare = None
+            todo += [(p, rows[-1]) for p in reversed(part.parts)]
+        elif part.tag in _TABLE_PARTS or part.tag != "table" and _holds(part):
+            todo += [(p, row) for p in reversed(part.parts)]
+        else:
+            rest.append(part)
     return [r for r in rows if r], rest
 
 
-def _flat(node: Node) -> str:
-    """The visible text of a node on one line."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-            continue
-        if x.tag in _BLOCK or x.tag == "br":
-            out.append(" ")
-            todo.append(" ")
-        todo.extend(reversed(x.parts))
-    return _WS.sub(" ", "".join(out)).strip()
-
-
-def _table(node: Node) -> tuple[list[str], list[Node]]:
-    rows, rest = _rows(node)
-    cells = []
-    for row in rows:
-        line = []
+def _span(cell: Node, name: str, most: int) -> int:
+    span = cell.get(name) if cell.attrs else None
+    return max(1, min(int(span), most)) if span and re.fullmatch("[0-9]{1,9}", span) else 1
+
+
+def _placed(rows: list[list[Node]]) -> list[list[int]]:
+    """The column of every cell, by the spans of those before it. Columns in which no cell begins do not count."""
+    busy: dict[int, int] = {}  # column: the first row in which it is free again
+    at, left = [], 1_000_000  # spans are followed for so many steps
+    for r, row in enumerate(rows):
+        col, own = 0, []
         for cell in row:
-            line.append(_flat(cell))
-            span = cell.get("colspan") if cell.attrs else None
-            line += [""] * (min(int(span), 50) - 1 if span and span.isdigit() and len(span) < 5 and int(span) > 1 else 0)
-        cells.append(line)
-    widths: list[int] = []
-    for line in cells:
-        widths += [0] * (len(line) - len(widths))
-        for k, c in enumerate(line):
-            if len(c) <= WIDEST:
-                widths[k] = max(widths[k], len(c))
-    out = [" | ".join(c.ljust(widths[k]) for k, c in enumerate(line)).rstrip() for line in cells]
-    return [x for x in out if x.strip(" |")], rest
+            while left > 0 and busy.get(col, 0) > r:
+                col += 1
+                left -= 1
+            own.append(col)
+            wide, high = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            if high > 1 and left > 0:
+                left -= wide
+                busy |= dict.fromkeys(range(col, col + wide), r + high)
+            col += wide
+        at.append(own)
+    number = {c: k for k, c in enumerate(sorted({c for own in at for c in own}))}
+    return [[number[c] for c in own] for own in at]
+
+
+def _table(rows: list[list[Node]], done: dict[int, list[str]]) -> list[str]:
+    cells = [[_lines(c, done) for c in row] for row in rows]
+    at = _placed(rows)
+    size = sum(len(x) + 3 for row in cells for c in row for x in c)
+    heights = [max(map(len, row)) for row in cells]
+    for widest in (1 << 30, WIDEST):  # columns as wide as their cells, unless that makes the page many times larger
+        widths = [0] * (1 + max((own[-1] for own in at), default=-1))
+        for row, own in zip(cells, at, strict=True):
+            for c, k in zip(row, own, strict=True):
+                widths[k] = max([widths[k], *(len(x) for x in c if len(x) <= widest)])
+        ends = [0]
+        for w in widths:
+            ends.append(ends[-1] + w + 3)
+        if sum(h * ends[own[-1]] for h, own in zip(heights, at, strict=True)) <= 16 * size + (1 << 16):
+            break
+    else:  # no columns
+        return [x for row in cells for x in ([" | ".join(c[0] for c in row if c)] if all(len(c) < 2 for c in row) else [x for c in row for x in c]) if x]
+    out = []
+    for row, own, height in zip(cells, at, heights, strict=True):
+        for j in range(height):
+            line = [""] * (own[-1] + 1)
+            for c, k in zip(row, own, strict=True):
+                line[k] = c[j] if j < len(c) else ""
+            while line and not line[-1]:
+                line.pop()
+            out.append(" | ".join(x.ljust(widths[k]) for k, x in enumerate(line)).rstrip())
+    return out
 
 
 def render_page(html: str | None) -> str:
     """All visible text of a page."""
     if not html:
         return ""
+    root, tables, done = build(html), [], {}
+    todo = [(root, 0)]
+    while todo:
+        x, depth = todo.pop()
+        if x.tag == "table":
+            depth += 1
+            if depth <= NESTED:
+                tables.append(x)
+        todo += [(p, depth) for p in x.parts if isinstance(p, Node)]
+    for x in reversed(tables):  # inner ones first
+        rows, rest = _rows(x)
+        before = Node("div")
+        before.parts = rest
+        done[id(x)] = _lines(before, done) + _table(rows, done)
+    return "\n".join(_lines(root, done))
+
+
+def _lines(root: Node, done: dict[int, list[str]]) -> list[str]:
+    """The lines of a node, with those of the tables in it."""
     out = _Lines()
-    todo: list = [("node", build(html), 0)]
+    todo: list = [("node", root, 0)]
     lists: list[list] = []
     pre = 0
     while todo:
@@ -287,14 +361,9 @@ def render_page(html: str | None) -> str:
         elif x.tag == "img":
             if alt := x.get("alt"):
                 out.text(alt)
-        elif x.tag == "table":
+        elif x.tag == "table" and id(x) in done:
             out.stop(2)
-            lines, rest = _table(x)
-            for part in rest:
-                if caption := _flat(part):
-                    out.text(caption)
-                    out.stop(1)
-            for line in lines:
+            for line in done[id(x)]:
                 out._begin()
                 out.line.append(line)
                 out.stop(1)
@@ -320,9 +389,13 @@ def render_page(html: str | None) -> str:
                     out.indent = (out.indent + "  ")[:40]
                 elif tag == "pre":
                     pre += 1
+            if tag in ("option", "textarea"):
+                out.text(" ")
+                todo.append(("text", " ", 0))
             for part in reversed(x.parts):
                 todo.append(("text", part, 0) if isinstance(part, str) else ("node", part, 0))
-    return "\n".join(out.done()).strip("\n")
+    lines = "\n".join(out.done()).strip("\n")
+    return lines.split("\n") if lines else []
 
 
 def render(pages: DataFrame) -> DataFrame:

@@ -211,6 +211,21 @@ def test_render(html, text):
     assert rd.render_page(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table>a<tr>b<form><td>c</form><div>d</div><tbody>e</table>", "ab\nd\ne\nc"), ("<table><form><tr><td>a<td>b</form></table>", "a | b"), ("<table><colgroup><col><tr><td>a</table>", "a"),
+        ("<table><tr><td>a<img alt=pic><td>b</table>", "apic | b"), ("<select><option>a<option>b</select> <textarea>x &amp; y</textarea>", "a b x & y"),
+        ("<svg><title>no</title><text>s</text></svg> <math><mi>m</mi></math> <object>o</object>", "s m o"), ("<table><tr><td>h<ul><li>a<li>b</ul><p>t</table>", "h\n\n- a\n- b\n\nt"),
+        ("<table><tr><td>a<br>b<td>c</table>", "a | c\nb"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a | b\n  | c"),
+        ("<table><tr><td>" + "x" * 70 + "<td>b<tr><td>c<td>d</table>", "x" * 70 + " | b\nc" + " " * 69 + " | d"), ("<div>" * 600 + "<div hidden>no<div>no</div>no</div>yes", "yes"),
+        ("<table><tr><td>o<table><tr><td>a<td>b</table><td>z</table>", "o     | z\n\na | b"),
+    ],
+)
+def test_render_leaves_nothing_out(html, text):
+    assert rd.render_page(html) == text
+
+
 def test_render_is_linear_and_keeps_columns(spark):
     for bad in ("<" * 50_000, "<a " * 50_000, '<a "' * 50_000, "<div>" * 30_000 + "x", "<table><tr><td>" * 10_000, "<!--" * 50_000, "<title>" * 20_000):
         rd.render_page(bad)
