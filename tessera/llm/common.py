@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import lowest
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,32 +27,58 @@ def with_workers(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Where the setting is missing (a local test session) a folder of this machine is used.
+    A name without a scheme belongs to Hadoop's default file system. Where the setting is missing, a local session uses a folder of
+    this machine; on a cluster that is an error, as executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "spark-shared")
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base.removeprefix("file:")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_written: list[str] = []  # folders of tables that were not deleted yet
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
+    _written.append(path)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table of ``materialise`` that nothing reads any more."""
-    path = getattr(df, "_table_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_table_path", None):
+            _delete(df.sparkSession, path)
+
+
+def settle(df: DataFrame, before: int) -> DataFrame:
+    """Materialises ``df`` and deletes all tables written since ``written()`` was ``before``, which it was made from."""
+    df = materialise(df)
+    for path in _written[before:-1]:
+        _delete(df.sparkSession, path)
+    return df
+
+
+def written() -> int:
+    return len(_written)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,39 +202,37 @@ def chunks(texts: pa.Array, span: int = _SPAN):
 
 def _forest(batches):
     """Keeps of a task's edges only a spanning forest; every vertex points to the smallest of its tree."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
-        while (up := parent.get(x, x)) != top:
-            parent[x] = top
-            x = up
-        return top
-
-    def out():
-        keys = list(parent)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([root(k) for k in keys], pa.int64())], names=["a", "b"]
-        )
+    held, size = [], 0
+
+    def reduced(parts: list[np.ndarray]) -> np.ndarray:
+        a, b = np.concatenate(parts, axis=1)
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = lowest(len(ids), at[: len(a)], at[len(a) :])
+        some = np.flatnonzero(low != np.arange(len(ids)))
+        return np.stack([ids[some], ids[low[some]]])
+
+    def out(edges: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) > 1_000_000:
-            yield out()
-            parent.clear()
-    if parent:
-        yield out()
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+        size += batch.num_rows
+        if size > 1 << 20:
+            held = [reduced(held)]
+            size = held[0].shape[1]
+            if size > 1 << 19:
+                yield out(held[0])
+                held, size = [], 0
+    if held:
+        yield out(reduced(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges(a, b)``; component is the smallest id reachable.
 
-    Each task first reduces its own edges to a forest. Then large-star and small-star steps alternate, each a
+    ``forget`` deletes the table behind the result. Each task first reduces its own edges to a forest. Then large-star and small-star steps alternate, each a
     grouped minimum and a join, so that a vertex with very many neighbours needs no list of them; every round is
     written to the shared folder. The rounds grow with the logarithm of the longest path, not with the data.
     """
@@ -239,4 +265,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     tops = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(tops)
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(tops)
+    out._table_path = now._table_path
+    return out
