@@ -1,20 +1,22 @@
 """A deterministic, sharded WARC writer and its reader.
 
 Writing: one scan notes id, size and SHA-1 of every payload. Records whose payload occurred under a smaller id become
-revisits; the assignment is a join of small rows, and only revisits get a row of it. Shards are ranges of ids of about
-equal payload, cut by a histogram of fixed bins (large bins are cut evenly), so they depend on the rows alone. Records are dealt by shard
-and sorted by id; a task writes a shard's records, each as a gzip member with regenerated headers, dates and digests, and
-begins another file when the compressed size reaches ``ROLL_BYTES``. Files are written under temporary names with a
-random part, so a lost or repeated task leaves only orphans. The rows that the successful tasks return are the manifest;
-after it is stored the files in it are renamed to their final names (again harmless to repeat), and the manifest lists
-what readers may trust.
-
-Reading: files of the manifest are dealt to tasks, which read member by member, and check each payload against
+revisits; the assignment is a join of small rows, and only revisits get a row of it. Records stand in the order of (id, digest);
+a running sum of payload bytes over that order cuts it into shards of about equal payload, so shards depend on the rows alone and
+far-off, null or repeated ids do no harm. Records are dealt by shard and sorted; a task writes a shard's records, each as a gzip
+member with regenerated headers, dates and digests, and begins another file when the compressed size reaches ``ROLL_BYTES``.
+
+Files are written under temporary names with a random part, so a lost or repeated task leaves only orphans. The rows that the
+successful tasks return are the manifest. The files in it are renamed to their final names (harmless to repeat), then it is
+written to the archive's ``manifest`` folder, and what is left under temporary names is removed. A reader needs the archive's
+folder alone and trusts what its manifest lists.
+
+Reading: files of the manifest are dealt to tasks by their order, which read member by member, and check each payload against
 its digest.
 
 Defined results: a null html is an empty payload; of equal rows (same id, same payload) the first is the response and
-the others revisit it; a null page_id sorts first and becomes a response only if no other row has its payload; an
-empty table writes no file; columns but page_id, url and html are not written.
+the others revisit it (they are written by one task, the copies without payload); a null page_id sorts first and becomes a response
+only if no other row has its payload; an empty table writes no file; columns but page_id, url and html are not written.
 """
 
 from __future__ import annotations
@@ -25,20 +27,21 @@ import zlib
 from collections.abc import Iterator
 from uuid import UUID, uuid4
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, shared_dir, table, with_workers
 
-BINS = 4096
 #: A shard holds about a 256th of the payload, within these bounds.
 SHARDS, LEAST_SHARD, MOST_SHARD = 256, 4 << 20, 1 << 30
 ROLL_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
-_NULL_ID = -(1 << 63)
+_LEAST = -(1 << 63)
 
 MANIFEST = "shard int, seq int, temp string, file string, records long, bytes long, sha1 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -49,15 +52,18 @@ def base32(hex_digest: str) -> str:
 
 
 def record_id(page_id: int | None, hex_digest: str) -> str:
-    """A URN that holds the page id in its lower half and a part of the digest in its upper half."""
-    low = (page_id if page_id is not None else _NULL_ID) & (1 << 64) - 1
-    return f"<urn:uuid:{UUID(int=int(hex_digest[:16], 16) << 64 | low)}>"
+    """A URN that holds the page id in its lower half and a part of the digest in its upper half; of a null id the digest only."""
+    if page_id is None:
+        return f"<urn:sha1:{base32(hex_digest)}>"
+    return f"<urn:uuid:{UUID(int=int(hex_digest[:16], 16) << 64 | page_id & (1 << 64) - 1)}>"
 
 
 def page_of(record: str) -> int | None:
-    low = UUID(record.strip("<>").removeprefix("urn:uuid:")).int & (1 << 64) - 1
-    low -= (low >> 63) << 64
-    return None if low == _NULL_ID else low
+    name = record.strip("<>")
+    if not name.startswith("urn:uuid:"):
+        return None
+    low = UUID(name.removeprefix("urn:uuid:")).int & (1 << 64) - 1
+    return low - (low >> 63 << 64)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, hex_digest: str, size: int, refers_to: tuple | None) -> bytes:
@@ -117,20 +123,20 @@ _RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("
 def _writer(out: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, done = _Roller(out, roll), []
-        at, firsts, seen = (), {}, set()
+        at, refers = (), None
         for batch in batches:
             for shard, page, kind, url, html, digest, first in zip(*(c for c in batch.columns), strict=True):
                 shard, page = shard.as_py(), page.as_py()
-                if at != (shard, page):
-                    at, firsts, seen = (shard, page), {}, set()
-                if kind.as_py() == 0:  # a revisit's assignment; it comes before the page's own rows
-                    firsts[digest.as_py()] = first.as_py()
+                digest = digest.as_py()
+                if at != (shard, page, digest):
+                    at, refers = (shard, page, digest), None
+                if kind.as_py() == 0:  # a revisit's assignment; it comes before the rows of this page and digest
+                    refers = (first.as_py(),)
                     continue
                 payload = (html.as_py() or "").encode()
                 sha = hashlib.sha1(payload).hexdigest()
-                refers = (firsts[sha],) if sha in firsts else (page,) if sha in seen else None
-                seen.add(sha)
                 done += files.add(shard, record(page, url.as_py(), payload, sha, len(payload), refers))
+                refers = refers or (page,)
         if files.sink:
             done.append(files.close())
         yield _batch(done, _MANIFEST)
@@ -150,38 +156,63 @@ def _renamer(out: str):
     return run
 
 
+def _order(page_id: Column, digest: Column) -> Column:
+    """A string that sorts as (page_id, digest) does, nulls first."""
+    unsigned = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(_LEAST))), 16, "0")
+    return F.concat(F.coalesce(unsigned, F.lit("")), F.lit("/"), digest)
+
+
+def shard_cuts(narrow: DataFrame, shard_bytes: int) -> list[str]:
+    """The first place (``_order``) of every shard but the first: a row for about ``shard_bytes`` of payload."""
+    places = narrow.groupBy(_order(F.col("page_id"), F.col("digest")).alias("place")).agg(F.sum("size").alias("size"))
+    # ranges differ from run to run, the running sum does not
+    ranged = materialise(places.repartitionByRange("place").withColumn("part", F.spark_partition_id()))
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("s")).select("part", F.coalesce(F.sum("s").over(up), F.lit(0)).alias("before"))  # a row a task
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    here = ranged.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(sums), "part")
+    shard = F.floor((F.col("at") + F.col("before")) / shard_bytes)
+    cuts = [r["cut"] for r in here.groupBy(shard.alias("shard")).agg(F.min("place").alias("cut")).collect()]
+    forget(ranged)
+    return sorted(cuts)[1:]
+
+
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """Files in order, in so many partitions that each core has some; AQE does not merge them."""
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n = max(1, min(files, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, size // (32 << 20))))
+    return manifest.repartitionByRange(n, "shard", "seq")
+
+
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes ``pages`` below the URI ``out``, a folder that all executors share; returns the manifest."""
     spark = with_workers(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit(""))
-    narrow = materialise(pages.select("page_id", F.octet_length(payload).cast("long").alias("size"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")))
-    low, high, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    offset = F.coalesce(F.col("page_id") - F.lit(low or 0), F.lit(-width))  # nulls first
-    page_bin = (F.floor(offset / width) + 1).cast("int")
-    shard_bytes = shard_bytes or min(MOST_SHARD, max(LEAST_SHARD, (total or 0) // SHARDS))
-    base, cuts, shards, held = [0] * (BINS + 2), [1] * (BINS + 2), 0, 0
-    for r in sorted(narrow.groupBy(page_bin.alias("b")).agg(F.sum("size").alias("s")).collect()):  # at most BINS + 1 rows
-        if held and held + r["s"] > shard_bytes:
-            shards, held = shards + 1, 0
-        base[r["b"]], held = shards, held + r["s"]
-        cuts[r["b"]] = max(1, -(-r["s"] // shard_bytes))
-        if cuts[r["b"]] > 1:
-            shards, held = shards + cuts[r["b"]], 0
-    at = lambda xs: F.element_at(F.array(*(F.lit(int(x)) for x in xs)), page_bin + 1)
-    shard = (at(base) + F.floor(F.pmod(offset, F.lit(width)) * at(cuts) / width)).cast("int")
+    digest = F.sha1(F.encode(payload, "UTF-8"))
+    narrow = materialise(pages.select("page_id", F.octet_length(payload).cast("long").alias("size"), digest.alias("digest")))
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    cuts = spark.sparkContext.broadcast(np.array(shard_cuts(narrow, shard_bytes or min(MOST_SHARD, max(LEAST_SHARD, total // SHARDS))), dtype="U57"))
+
+    @F.pandas_udf("int")
+    def shard_of(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, places.to_numpy(dtype="U57"), side="right").astype(np.int32))
+
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     again = narrow.join(firsts, "digest").where("not (page_id <=> first)").select("page_id", "digest", "first").distinct()
-    rows = pages.select(
-        shard.alias("shard"), "page_id", F.lit(1).alias("kind"), F.col("url").cast("string"), "html", F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.lit(None).cast("long").alias("first")
-    ).unionByName(
-        again.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first")
+    nothing = F.lit(None).cast("string")
+    rows = pages.select("page_id", F.lit(1).alias("kind"), F.col("url").cast("string"), "html", digest.alias("digest"), F.lit(None).cast("long").alias("first")).unionByName(
+        again.select("page_id", F.lit(0).alias("kind"), nothing.alias("url"), nothing.alias("html"), "digest", "first")
     )
-    dealt = rows.repartitionByRange(shards + 1, "shard")
-    manifest = materialise(dealt.sortWithinPartitions("shard", "page_id", "kind", "digest", "url").mapInArrow(_writer(out, roll_bytes), MANIFEST))
-    committed = materialise(manifest.repartition("file").mapInArrow(_renamer(out), MANIFEST))
-    forget(narrow)
-    return committed
+    rows = rows.select(shard_of(_order(F.col("page_id"), F.col("digest"))).alias("shard"), "page_id", "kind", "url", "html", "digest", "first")
+    dealt = rows.repartitionByRange(len(cuts.value) + 1, "shard")
+    written = materialise(dealt.sortWithinPartitions("shard", "page_id", "digest", "kind", "url").mapInArrow(_writer(out, roll_bytes), MANIFEST))
+    committed = _dealt(written).mapInArrow(_renamer(out), MANIFEST)
+    committed.write.mode("overwrite").parquet(f"{out}/manifest")
+    store, root = fs.FileSystem.from_uri(out)
+    if store.get_file_info(f"{root}/_temporary_warc").type != fs.FileType.NotFound:
+        store.delete_dir(f"{root}/_temporary_warc")
+    forget(narrow, written)
+    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 def _records(store: fs.FileSystem, path: str) -> Iterator[bytes]:
@@ -209,14 +240,14 @@ def parse(raw: bytes) -> tuple:
     return page_of(fields["WARC-Record-ID"]), size, digest, kind, page_of(fields["WARC-Refers-To"]) if kind == "revisit" else None
 
 
-def read_warc(manifest: DataFrame, out: str) -> DataFrame:
-    """A row for each record of the files in ``manifest``."""
-    with_workers(manifest.sparkSession)
+def read_warc(spark: SparkSession, out: str) -> DataFrame:
+    """A row for each record of the archive ``out``."""
+    with_workers(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name in batch.column("file").to_pylist():
                 rows = []
                 for raw in _records(store, f"{root}/{name}"):
                     rows.append(parse(raw))
@@ -225,9 +256,10 @@ def read_warc(manifest: DataFrame, out: str) -> DataFrame:
                         rows = []
                 yield _batch(rows, _RECORDS)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, RECORDS)
+    return _dealt(spark.read.schema(MANIFEST).parquet(f"{out}/manifest")).mapInArrow(run, RECORDS)
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark)
-    return read_warc(write_warc(table(spark, sf_dir, "pages"), out), out)
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out)
