@@ -75,12 +75,32 @@ def test_tables_find_pairs_at_the_threshold():
     for _ in range(300):
         common, a, b = (rng.integers(0, 2**63, k, dtype=np.uint64) for k in (170, 15, 15))
         both = np.concatenate([common, a, common, b])
-        subs = nd.sub_hashes(both, np.array([0, 185, 370]), m)
+        subs, sketch = nd.sub_hashes(both, np.array([0, 185, 370]), m)
         same = subs[0] == subs[1]
         missed += not (same[:m].any() and same[m:].any())
+        close, near = nd.reach(0.85, sketch.shape[1])
+        # a third set at any distance: what is close to a pivot ties its near copies to the pivot
+        agree = (sketch[0] == sketch[1]).sum()
+        assert close + agree - sketch.shape[1] >= near
     assert missed <= 1
 
 
+def test_rows_without_id_bridge_their_neighbours(spark):
+    word = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(word)), (None, " ".join([*word[:-3], "x", "y", "z"])), (9, " ".join(["a", "b", "c", *word[3:-3], "x", "y", "z"])), (None, "alone here now and then"), (None, " ".join([*word[:-3], "x", "y", "z"]))]
+    sets = _sets([t for _, t in rows], 3)
+    assert 100 * len(sets[0] & sets[2]) < 85 * len(sets[0] | sets[2]) and 100 * len(sets[1] & sets[2]) >= 85 * len(sets[1] | sets[2])
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, False), (0, 1, False), (0, 1, False), (1, 1, True), (9, 1, False)]
+
+
+def test_repeated_ids(spark):
+    """One id 20,000 times; another with two texts, of which one is a copy of a smaller id's."""
+    rows = [(7, "a b c d e f g h", "x")] * 20_000 + [(8, "a b c d e f g h", "y"), (3, "k l m n o p q r", "z"), (5, "k l m n o p q r", "z"), (5, "s t u v w x y z", "own"), (4, None, "e"), (4, None, "e")]
+    out = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _first string"))
+    assert sorted((r.doc_id, r._first) for r in out.collect()) == [(3, "z"), (4, "e"), (4, "e"), (5, "own"), (7, "x")] and out.columns == ["doc_id", "text", "_first"]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(5001, 5400)]
@@ -115,11 +135,41 @@ def test_vectors(spark):
     assert vc.dedup_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_double_precision_and_labels_of_any_type(spark):
+    rows = [(1, [1e300, 0.0], "x"), (2, [1e300, 1.0], "x"), (3, [1e-60, 0.0], "x"), (4, [1.0, 1e-9], "y"), (5, [0.0, 1e-320], "x"), (6, [0.0, 2.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").selectExpr("*", "vec_id as class_id", "vec_id as row", "label as second", "7 as top")
+    got = vc.dedup_vectors(df)
+    assert got.columns == [*df.columns, "n_links", "component_id", "kept"]
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.second) for r in got.collect()) == [(1, 2, 1, "x"), (2, 2, 1, "x"), (3, 2, 1, "x"), (4, 0, 4, "y"), (5, 1, 5, "x"), (6, 1, 5, "x")]
+
+
+def test_recall_at_the_threshold(spark):
+    """4000 planted pairs with cosines from 0.98 to 0.981 among other vectors, one of them repeated very often."""
+    rng = np.random.default_rng(9)
+    x = vc.unit(rng.standard_normal((4000, 64)))
+    y = rng.standard_normal((4000, 64))
+    y = vc.unit(y - (x * y).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.98, 0.981, (4000, 1))
+    z = cosine * x + np.sqrt(1 - cosine**2) * y
+    rows = [(k, v.tolist(), k % 3) for k, v in enumerate(x)] + [(10_000 + k, v.tolist(), k % 3) for k, v in enumerate(z)] + [(20_000 + k, x[0].tolist(), 0) for k in range(2000)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vc.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit_z = z / np.linalg.norm(z, axis=1, keepdims=True)
+    there = np.flatnonzero((x * unit_z).sum(1) >= 0.98)
+    found = sum(got[10_000 + int(k)][1] == k for k in there)
+    assert len(there) > 3900 and found / len(there) >= 0.999
+    assert got[20_000] == (2001, 0)
+
+
 def test_estimates_and_bounds():
     rng = np.random.default_rng(5)
     x = vc.unit(rng.standard_normal((200, 64)))
-    codes, factor, keys = vc.encode(x, np.zeros(200, np.int64), 12, 20)
+    codes, factor, whole, scale, lost = vc.encode(x)
     signs = np.unpackbits(codes, axis=1)[:, :64] * 2.0 - 1
     error = (signs @ (x @ vc.rotation(64, 0)).T) / (8 * factor[:, None]) - x @ x.T
     bound = vc.EPS * np.sqrt(1 - factor**2) / factor / np.sqrt(63)
-    assert (np.abs(error) <= bound[:, None] + 1e-9).all() and abs(error.mean()) < 0.01 and keys.shape == (200, 20)
+    assert (np.abs(error) <= bound[:, None] + 1e-9).all() and abs(error.mean()) < 0.01
+    assert np.allclose(np.linalg.norm(x @ vc.rotation(64, 0) - whole * scale[:, None], axis=1), lost)
+    near = vc.unit(x + 0.01 * rng.standard_normal(x.shape))
+    maybe = vc.may_reach(*(np.concatenate(v) for v in zip(vc.encode(x), vc.encode(near), strict=True)), 0.98)
+    assert maybe[np.arange(200), 200 + np.arange(200)].all() and maybe[:200, :200].mean() < 0.05
+    assert vc.table_keys(x, np.zeros(200, np.int64), 12, 20).shape == (200, 20)
