@@ -1,8 +1,9 @@
-"""Lets Python workers import this package when the driver found it through ``sys.path`` only."""
+"""What jobs share: the package's path for Python workers, and a folder for derived tables."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -10,6 +11,17 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def share_path(spark: SparkSession) -> None:
+    """Lets Python workers import this package when the driver found it through ``sys.path`` only."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), _ROOT) if x)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that driver and executors share; a local session without it uses this machine's."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "spark-shared")
+    return base.rstrip("/")

@@ -8,15 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK
-from ..schema import Catalog, SearchFilters
+from ..schema import Catalog, SearchRequest
 
 MAX_TOKENS = 8
 LONG = 3
-#: filter field: (kind, mode)
-FACETS = {
-    "author_any": ("authors", "any"), "author_not": ("authors", "not"), "origin_any": ("origins", "any"), "origin_not": ("origins", "not"),
-    "character_any": ("characters", "any"), "character_not": ("characters", "not"), "tag_all": ("tags", "all"), "tag_any": ("tags", "any"), "tag_not": ("tags", "not"),
-}
 
 
 def active(items: DataFrame) -> DataFrame:
@@ -98,18 +93,19 @@ def any_seen_since(pages: DataFrame, items: DataFrame, since) -> DataFrame:
     return pages.join(seen, "item_id", "left").groupBy("page").agg(F.coalesce(F.bool_or("_seen"), F.lit(False)).alias("overlaps"))
 
 
-def apply_filters(catalog: Catalog, filters: SearchFilters, docs: DataFrame | None = None) -> DataFrame:
-    """Active items that meet all of ``filters``; text search needs the search documents."""
-    items = count_range(active(catalog.items), "view_count", filters.min_views, filters.max_views)
-    items = count_range(items, "favorite_count", filters.min_favorites, filters.max_favorites)
-    items = date_range(items, filters.published_from, filters.published_to)
-    text = text_predicate(filters.q, filters.title_mode)
-    if text is not None:
-        if docs is None:
-            from .documents import build_search_docs
-
-            docs = build_search_docs(catalog)
-        items = items.join(docs.where(text).select("item_id"), "item_id", "left_semi")
-    for name, (kind, mode) in FACETS.items():
-        items = facet(items, catalog.links, kind, mode, getattr(filters, name))
-    return items
+def apply_filters(catalog: Catalog, request: SearchRequest, docs: DataFrame | None = None) -> DataFrame:
+    """Active items that meet a request; text search needs the search documents (built here if not given)."""
+    items = active(catalog.items)
+    for column, (low, high) in request.counts.items():
+        items = count_range(items, column, low, high)
+    items = date_range(items, *request.days)
+    for (kind, mode), ids in request.facets.items():
+        items = facet(items, catalog.links, kind, mode, ids)
+    text = text_predicate(request.text, request.match)
+    if text is None:
+        return items
+    if docs is None:
+        from .documents import build_search_docs
+
+        docs = build_search_docs(catalog)
+    return items.join(docs.where(text).select("item_id"), "item_id", "left_semi")

@@ -1,13 +1,14 @@
 """Merges of listing and detail snapshots into the catalogue, and published derived data.
 
 Plain Parquet has no MERGE: each function returns the next version of a table as a full outer join of the current one and the
-batch; ``publish`` writes it beside the old one and then moves a pointer.
+batch; ``publish`` writes it beside the old one and then marks it as complete.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,25 +138,44 @@ def refresh_derived(catalog: Catalog, as_of, full: bool = True) -> tuple[DataFra
     return refresh_hot(catalog.items, as_of, full), entity_stats(catalog, as_of) if full else None
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a table, the newest first: those whose folder has the mark of a finished write."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted((int(x.getPath().getParent().getName().removeprefix("v=")) for x in found or ()), reverse=True)
+
+
 def publish(df: DataFrame, path: str, version: int) -> None:
-    """Writes a version of a table and then points readers to it; a repeated version is overwritten."""
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
-    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    """Writes a version of a table; readers see it from the moment the write is committed, and never half of it.
+
+    A repeated version is left as it is, so a repeated epoch does no harm.
+    """
+    if version not in _versions(df.sparkSession, path):
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v={version}")
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    versions = _versions(spark, path)
+    if not versions:
+        raise ValueError(f"no complete version in {path}")
+    return versions[0]
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{path}/_current").first()["version"]
-    return spark.read.parquet(f"{path}/v={version}")
+    return spark.read.parquet(f"{path}/v={current_version(spark, path)}")
 
 
-def numbered(df: DataFrame, key: str, bins: int = 4096) -> DataFrame:
-    """Adds ``_number``, the row's number from 1 on by ``key``, without sorting all rows in one task.
+def numbered(df: DataFrame, key: str, bins: int = 1024) -> DataFrame:
+    """Adds ``_number``, the row's number from 1 on by ``key`` (nulls first), without sorting all rows in one task.
 
-    Keys fall into equal ranges; their counts (at most ``bins`` rows) give offsets, rows are numbered within ranges.
+    Bins follow approximate quantiles, so far-off keys do no harm; their counts (at most ``bins`` + 1 rows) give offsets, and rows are
+    numbered within bins.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // bins))
-    df = df.withColumn("_bin", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    cuts = df.approxQuantile(key, [k / bins for k in range(1, bins)], 0.2 / bins) if bins > 1 else []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    df = df.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(0.0)))
+    df = Bucketizer(splits=splits, inputCol="_at", outputCol="_bin").transform(df).drop("_at") if len(splits) > 2 else df.withColumn("_bin", F.lit(0.0)).drop("_at")
+    df = df.withColumn("_bin", F.when(F.col(key).isNull(), -1.0).otherwise(F.col("_bin")))
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy("_bin").agg(F.count("*").alias("_n")).select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bin").orderBy(key))

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_query_tokens
 from ..functions.values import parse_bounded_int, parse_csv_ids
-from ..schema import SORT_MODES
-from .filters import FACETS
+from ..schema import COUNTS, FACETS, SORT_MODES
 
 MOST_IDS, LONGEST, MOST_PAGES = 20, 200, 100_000
 ALIASES = {"hot": "hot_desc", "popularity": "popularity_desc", "latest": "published_desc", "favorites": "favorites_desc", "views": "views_desc"}
-RANGES = ("min_views", "max_views", "min_favorites", "max_favorites")
+RANGES = tuple(f"{side}_{name}" for name in COUNTS for side in ("min", "max"))
 
 
 def normalise(requests: DataFrame) -> DataFrame:
@@ -44,5 +43,5 @@ def canonical(requests: DataFrame) -> DataFrame:
         text("published_from"), text("published_to"), *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in RANGES), F.when(F.col("sort") != "published_desc", F.concat(F.lit("sort="), "sort")),
     ]
     flags = [F.size(c) > 0 for c in FACETS] + [(F.col("published_from") != "") | (F.col("published_to") != "")]
-    flags += [F.col(f"min_{c}").isNotNull() | F.col(f"max_{c}").isNotNull() for c in ("views", "favorites")]
+    flags += [F.col(f"min_{c}").isNotNull() | F.col(f"max_{c}").isNotNull() for c in COUNTS]
     return requests.withColumn("canonical", F.array_join(F.array_sort(F.array_compact(F.array(*parts))), "&")).withColumn("active_filters", sum((f.cast("int") for f in flags), F.lit(0)))

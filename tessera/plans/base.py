@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import shared_root
+from ..operators import merge as mg
+from ..operators.documents import build_search_docs
+from ..operators.rankings import entity_stats
+from ..operators.search import postings
 from ..schema import Catalog
-from ..sources.tables import orders_catalog, table
+from ..sources.tables import load_catalog, orders_catalog, save_catalog, table
 
 AS_OF = "2001-08-02 00:00:00"
 EVENTS_NOW = "2024-02-01 00:00:00"
@@ -56,8 +63,54 @@ batch AS (
 )"""
 
 
+class ReadModel:
+    """Tables that readers use, derived once from the tables of a folder and published: the catalogue, entity statistics, search documents
+    and their postings. Each is written when it is first asked for; ``read_model`` makes a new one when the tables change."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        self.spark, self.sf_dir, self.root, self._stored = spark, sf_dir, root, set()
+
+    def catalog(self) -> Catalog:
+        if "catalog" not in self._stored:
+            save_catalog(orders_catalog(self.spark, self.sf_dir), f"{self.root}/catalog")
+            self._stored.add("catalog")
+        return load_catalog(self.spark, f"{self.root}/catalog")
+
+    def _published(self, name: str, build) -> DataFrame:
+        if name not in self._stored:
+            mg.publish(build(), f"{self.root}/{name}", 1)
+            self._stored.add(name)
+        return mg.current(self.spark, f"{self.root}/{name}")
+
+    def stats(self) -> DataFrame:
+        return self._published("stats", lambda: entity_stats(self.catalog(), AS_OF))
+
+    def docs(self) -> DataFrame:
+        return self._published("docs", lambda: build_search_docs(self.catalog()))
+
+    def index(self) -> DataFrame:
+        return self._published("index", lambda: postings(self.docs()).repartitionByRange("posting").sortWithinPartitions("posting"))
+
+
+_TABLES = ("orders", "lineitem", "customer", "part", "supplier", "nation")
+_models: dict[tuple, ReadModel] = {}
+
+
+def read_model(spark: SparkSession, sf_dir: str) -> ReadModel:
+    """The read model of the tables in ``sf_dir`` as they are now (by size and time of change)."""
+    conf, state = spark._jsc.hadoopConfiguration(), []
+    for name in _TABLES:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = where.getFileSystem(conf)
+        state.append((fs.getFileStatus(where).getModificationTime(), fs.getContentSummary(where).getLength()))
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _models:
+        _models[key] = ReadModel(spark, sf_dir, f"{shared_root(spark)}/read-model-{uuid.uuid4().hex}")
+    return _models[key]
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return orders_catalog(spark, sf_dir)
+    return read_model(spark, sf_dir).catalog()
 
 
 def rich_items(c: Catalog) -> DataFrame:
@@ -132,7 +185,5 @@ pages_ AS (SELECT page, bool_or(is_new) AS has_new, count(*) FILTER (mark) >= 3
 
 def page_flags(rows: DataFrame) -> DataFrame:
     """(page, has_new, failed, last_page) of listing pages; three marked rows stand for a failed page."""
-    from pyspark.sql import Window
-
     p = rows.groupBy("page").agg(F.bool_or("is_new").alias("has_new"), (F.count_if("_mark") >= 3).alias("failed"))
-    return p.withColumn("last_page", F.max("page").over(Window.partitionBy()))
+    return p.join(F.broadcast(p.agg(F.max("page").alias("last_page"))))  # one row

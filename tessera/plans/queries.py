@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -19,7 +19,7 @@ from ..operators import search as se
 from ..operators.documents import build_search_docs, search_document
 from ..operators.related import related_items
 from ..operators.scoring import ntz, with_scores
-from ..schema import SearchFilters
+from ..schema import Catalog, SearchRequest
 from ..sources import html as hx
 from ..sources.tables import table
 from ..streaming.access import access_rollup
@@ -47,7 +47,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active items of two creators by popularity, first page."""
     c = b.catalog(spark, sf_dir)
     c.items = with_scores(c.items, AS_OF)
-    return se.search(c, SearchFilters(author_any=[1, 2], sort="popularity_desc")).items.select("item_id", "title", "popularity")
+    return se.search(c, SearchRequest(facets={("authors", "any"): [1, 2]}, order="popularity_desc")).items.select("item_id", "title", "popularity")
 
 
 # ---------------------------------------------------------------- search
@@ -64,7 +64,7 @@ def _sorted(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = b.catalog(spark, sf_dir)
         c.items = with_scores(c.items, AS_OF)
-        return fl.apply_filters(c, SearchFilters()).orderBy(*se.sort_columns(mode)).offset(36).limit(36).select("item_id", "title", "view_count", "favorite_count")
+        return fl.apply_filters(c, SearchRequest()).orderBy(*se.sort_columns(mode)).offset(36).limit(36).select("item_id", "title", "view_count", "favorite_count")
 
     return run
 
@@ -78,28 +78,32 @@ def capped_count(spark, sf_dir):
     return se.capped_count(fl.active(b.catalog(spark, sf_dir).items), 5000, 36)
 
 
-def _found(filters: SearchFilters) -> Query:
-    return lambda spark, sf_dir: fl.apply_filters(b.catalog(spark, sf_dir), filters).select("item_id")
+def _found(request: SearchRequest) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = b.read_model(spark, sf_dir)
+        return fl.apply_filters(model.catalog(), request, model.docs() if request.text else None).select("item_id")
+
+    return run
 
 
 def _ids(kind: str, ids: str) -> str:
     return f"(SELECT item_id FROM links WHERE kind = '{kind}' AND entity_id IN ({ids}))"
 
 
-for _name, _filters, _where in (
-    ("facet_creator_any", SearchFilters(author_any=[1, 2, 3, 500]), f"item_id IN {_ids('authors', '1, 2, 3, 500')}"),
-    ("facet_tag_any", SearchFilters(tag_any=[10, 11, 12]), f"item_id IN {_ids('tags', '10, 11, 12')}"),
-    ("facet_creator_not", SearchFilters(author_not=[1, 2, 3]), f"item_id NOT IN {_ids('authors', '1, 2, 3')}"),
-    ("facet_tag_not", SearchFilters(tag_not=[10, 11, 12]), f"item_id NOT IN {_ids('tags', '10, 11, 12')}"),
-    ("facet_tag_all", SearchFilters(tag_all=[5, 7]), f"item_id IN {_ids('tags', '5')} AND item_id IN {_ids('tags', '7')}"),
-    ("facet_origin_any_character_not", SearchFilters(origin_any=[3, 4], character_not=[1, 2, 3], tag_not=[9], min_views=1000), f"item_id IN {_ids('origins', '3, 4')} AND item_id NOT IN {_ids('characters', '1, 2, 3')} AND item_id NOT IN {_ids('tags', '9')} AND view_count >= 1000"),
-    ("range_date", SearchFilters(published_from="1998-03-01", published_to="1998-03-31"), "published_at >= DATE '1998-03-01' AND published_at < DATE '1998-04-01'"),
-    ("range_counts", SearchFilters(min_views=50_000, max_views=150_000, max_favorites=80), "coalesce(view_count, 0) BETWEEN 50000 AND 150000 AND coalesce(favorite_count, 0) <= 80"),
-    ("text_all", SearchFilters(q="URGENT build"), "contains(lower(title), 'urgent') AND contains(lower(title), 'build')"),
-    ("text_any", SearchFilters(q="machinery nation_7", title_mode="any"), f"contains(lower(title), 'machinery') OR item_id IN {_ids('origins', '7')}"),
-    ("text_short_prefix", SearchFilters(q="bu 1"), "regexp_matches(lower(title), '(^|[^a-z0-9])bu') AND (regexp_matches(title, '(^|[^A-Za-z0-9])1') OR item_id IN (SELECT item_id FROM links JOIN entities USING (kind, entity_id) WHERE regexp_matches(name, '(^|[^A-Za-z0-9])1')))"),
+for _name, _request, _where in (
+    ("facet_creator_any", SearchRequest(facets={("authors", "any"): [1, 2, 3, 500]}), f"item_id IN {_ids('authors', '1, 2, 3, 500')}"),
+    ("facet_tag_any", SearchRequest(facets={("tags", "any"): [10, 11, 12]}), f"item_id IN {_ids('tags', '10, 11, 12')}"),
+    ("facet_creator_not", SearchRequest(facets={("authors", "not"): [1, 2, 3]}), f"item_id NOT IN {_ids('authors', '1, 2, 3')}"),
+    ("facet_tag_not", SearchRequest(facets={("tags", "not"): [10, 11, 12]}), f"item_id NOT IN {_ids('tags', '10, 11, 12')}"),
+    ("facet_tag_all", SearchRequest(facets={("tags", "all"): [5, 7]}), f"item_id IN {_ids('tags', '5')} AND item_id IN {_ids('tags', '7')}"),
+    ("facet_origin_any_character_not", SearchRequest(facets={("origins", "any"): [3, 4], ("characters", "not"): [1, 2, 3], ("tags", "not"): [9]}, counts={"view_count": (1000, None)}), f"item_id IN {_ids('origins', '3, 4')} AND item_id NOT IN {_ids('characters', '1, 2, 3')} AND item_id NOT IN {_ids('tags', '9')} AND view_count >= 1000"),
+    ("range_date", SearchRequest(days=("1998-03-01", "1998-03-31")), "published_at >= DATE '1998-03-01' AND published_at < DATE '1998-04-01'"),
+    ("range_counts", SearchRequest(counts={"view_count": (50_000, 150_000), "favorite_count": (None, 80)}), "coalesce(view_count, 0) BETWEEN 50000 AND 150000 AND coalesce(favorite_count, 0) <= 80"),
+    ("text_all", SearchRequest(text="URGENT build"), "contains(lower(title), 'urgent') AND contains(lower(title), 'build')"),
+    ("text_any", SearchRequest(text="machinery nation_7", match="any"), f"contains(lower(title), 'machinery') OR item_id IN {_ids('origins', '7')}"),
+    ("text_short_prefix", SearchRequest(text="bu 1"), "regexp_matches(lower(title), '(^|[^a-z0-9])bu') AND (regexp_matches(title, '(^|[^A-Za-z0-9])1') OR item_id IN (SELECT item_id FROM links JOIN entities USING (kind, entity_id) WHERE regexp_matches(name, '(^|[^A-Za-z0-9])1')))"),
 ):
-    query(_name, f"{WITH} SELECT item_id FROM active WHERE {_where}")(_found(_filters))
+    query(_name, f"{WITH} SELECT item_id FROM active WHERE {_where}")(_found(_request))
 
 
 @query("lookup_keys", f"{WITH} SELECT item_id, title, status FROM items WHERE item_id IN (3, 5, 8, 1200)")
@@ -109,7 +113,7 @@ def lookup_keys(spark, sf_dir):
 
 @query("name_contains", f"{WITH} SELECT kind, entity_id, name FROM entities WHERE contains(lower(name), 'red')")
 def name_contains(spark, sf_dir):
-    return fl.name_contains(b.catalog(spark, sf_dir).entities, "RED")
+    return fl.name_contains(b.catalog(spark, sf_dir).entities, "RED").select("kind", "entity_id", "name")
 
 
 @query("search_document", f"""{WITH}, names AS (
@@ -127,30 +131,57 @@ def short_terms(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("item_id"), F.array_join(F.array_sort(tx.words(F.col("text"))), " ").alias("words"))
 
 
-@query("cjk_grams", "SELECT doc_id AS item_id, 0 AS n_grams, '' AS grams FROM documents")
+#: Documents get CJK characters for some of their letters, as the tables have none.
+_LETTERS, _SIGNS = "abcdefghij", "あいウエ漢字한글東京"
+
+
+@query("cjk_grams", f"""WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_LETTERS}', '{_SIGNS}'), '[{_SIGNS}]+')) AS run FROM documents),
+grams AS (SELECT DISTINCT doc_id, run[i:least(i + n, length(run))] AS gram FROM (SELECT doc_id, run, unnest(range(1, length(run) + 1)) AS i FROM runs), (VALUES (0), (1)) v(n)),
+counted AS (SELECT doc_id, count(*) AS n, string_agg(gram, ' ' ORDER BY gram) AS grams FROM grams GROUP BY 1)
+SELECT doc_id AS item_id, coalesce(n, 0)::INT AS n_grams, coalesce(grams, '') AS grams FROM documents LEFT JOIN counted USING (doc_id)""")
 def cjk_grams(spark, sf_dir):
-    grams = tx.cjk_grams(F.col("text"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.size(grams).alias("n_grams"), F.array_join(grams, " ").alias("grams"))
+    grams = tx.cjk_grams(F.translate("text", _LETTERS, _SIGNS))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.size(grams).alias("n_grams"), F.array_join(F.array_sort(grams), " ").alias("grams"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request for each nation and market segment of its customers: text in the title, origin as facet, a supplier barred."""
+    """A request for each nation and market segment of its customers: a long and a short token, all of them for even nations; the nation as
+    origin for two of three; a supplier barred; a range of days or of views; every sort mode."""
     customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    facet = lambda kind, mode, c: F.struct(F.lit(kind).alias("kind"), F.lit(mode).alias("mode"), F.array(F.col(c).cast("long")).alias("ids"))
+    nation = F.col("c_nationkey")
+    facet = lambda kind, mode, c: F.struct(F.lit(kind).alias("kind"), F.lit(mode).alias("mode"), F.array(c.cast("long")).alias("ids"))
+    barred = facet("characters", "not", nation)
     return customers.select(
-        F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("query_id"), F.array(F.lower("c_mktsegment"), F.lit("urgent")).alias("tokens"), F.lit("all").alias("title_mode"),
-        F.array(facet("origins", "any", "c_nationkey"), facet("characters", "not", "c_nationkey")).alias("facets"),
+        F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("query_id"), F.array("c_mktsegment", F.lit("ur")).alias("tokens"), F.when(nation % 2 == 0, "all").otherwise("any").alias("title_mode"),
+        F.when(nation % 3 < 2, F.array(facet("origins", "any", nation), barred)).otherwise(F.array(barred)).alias("facets"),
+        F.when(nation % 4 == 1, "1996-06-01").otherwise("").alias("published_from"), F.when(nation % 5 == 2, F.lit(100_000)).cast("long").alias("max_views"),
+        F.element_at(F.array(*(F.lit(m) for m in _ORDER)), (nation % len(_ORDER) + 1).cast("int")).alias("sort"),
     )
 
 
-@query("search_batch", f"""{WITH}, requests AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
-SELECT c_nationkey || ':' || c_mktsegment AS query_id, a.item_id FROM requests JOIN links l ON l.kind = 'origins' AND l.entity_id = c_nationkey JOIN active a ON a.item_id = l.item_id
-WHERE contains(lower(title), lower(c_mktsegment)) AND contains(lower(title), 'urgent')
-AND NOT EXISTS (SELECT 1 FROM links x WHERE x.item_id = a.item_id AND x.kind = 'characters' AND x.entity_id = c_nationkey)""")
+_BATCH_SQL = f"""{WITH}, requests AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS seg FROM customer),
+texts AS (SELECT item_id, lower(coalesce(title, '')) AS t, lower(coalesce(creator_display_name, '') || ' ' || coalesce(names, '')) AS kw FROM items LEFT JOIN (SELECT item_id, string_agg(name, ' ') AS names FROM links JOIN entities USING (kind, entity_id) WHERE kind <> 'authors' GROUP BY 1) USING (item_id)),
+words_ AS (SELECT seg, item_id, contains(t, lower(seg)) OR contains(kw, lower(seg)) AS long_, regexp_matches(t || ' ' || kw, '(^|[^a-z0-9])ur') AS short_ FROM texts, (SELECT DISTINCT seg FROM requests)),
+batch AS (SELECT k || ':' || seg AS query_id, k, a.* FROM requests r JOIN words_ w USING (seg) JOIN active a USING (item_id)
+  WHERE CASE WHEN k % 2 = 0 THEN long_ AND short_ ELSE long_ OR short_ END AND (k % 3 = 2 OR EXISTS (SELECT 1 FROM links l WHERE l.item_id = a.item_id AND l.kind = 'origins' AND l.entity_id = k))
+  AND NOT EXISTS (SELECT 1 FROM links x WHERE x.item_id = a.item_id AND x.kind = 'characters' AND x.entity_id = k)
+  AND (k % 4 <> 1 OR published_at >= DATE '1996-06-01') AND (k % 5 <> 2 OR coalesce(view_count, 0) <= 100000))"""
+
+
+@query("search_batch", f"{_BATCH_SQL} SELECT query_id, item_id FROM batch")
 def search_batch(spark, sf_dir):
-    c = b.catalog(spark, sf_dir)
-    docs = c.items.select("item_id", F.lower("title").alias("title_folded"), F.lit("").alias("keywords_folded"))
-    return se.search_batch(c, _requests(spark, sf_dir), docs)
+    model = b.read_model(spark, sf_dir)
+    return se.search_batch(model.catalog(), _requests(spark, sf_dir), model.docs(), model.index())
+
+
+@query("search_batch_pages", f"{_BATCH_SQL} SELECT query_id, rank, item_id FROM ("
+    + " UNION ALL ".join(f"SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY {by})::INT AS rank FROM batch WHERE k % {len(_ORDER)} = {n}" for n, by in enumerate(_ORDER.values())) + ") WHERE rank <= 36")
+def search_batch_pages(spark, sf_dir):
+    model, requests = b.read_model(spark, sf_dir), _requests(spark, sf_dir)
+    c = model.catalog()
+    found = se.search_batch(c, requests, model.docs(), model.index())
+    c.items = with_scores(c.items, AS_OF)
+    return se.batch_pages(c, found, requests)
 
 
 _RAW = """raw AS (SELECT event_id AS query_id, '  Foo,' || event_type || ' bar' AS q, CASE event_type WHEN 'view' THEN 'any' WHEN 'click' THEN 'some' ELSE 'all' END AS title_mode,
@@ -233,12 +264,12 @@ _RANK_COLS = ("kind", "entity_id", "name", "item_count", "total_views", "total_f
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.entity_stats(b.catalog(spark, sf_dir), AS_OF)
+    return b.read_model(spark, sf_dir).stats()
 
 
 @query("entity_stats", f"{WITH} SELECT {_STATS}, round(hot, 4) AS hot FROM stats")
 def entity_stats(spark, sf_dir):
-    return _stats(spark, sf_dir).withColumn("hot", F.round("hot", 4))
+    return rk.entity_stats(b.catalog(spark, sf_dir), AS_OF).withColumn("hot", F.round("hot", 4))
 
 
 @query("ranking_counts", f"{WITH} SELECT board, count(*) AS n FROM (SELECT kind AS board FROM stats UNION ALL SELECT 'categories' FROM stats WHERE kind IN ('tags', 'origins')) GROUP BY 1")
@@ -489,7 +520,8 @@ def work_queue(spark, sf_dir):
 d AS (SELECT count(*) FILTER (event_type = 'error' AND value > 300) AS bad_details FROM events), q AS (SELECT count(*) FILTER (n_items = 0 AND (page = 1 OR page < last_page)) AS bad_pages FROM p, l)
 SELECT bad_pages, bad_details, bad_pages > 0 OR bad_details >= 5 AS stop FROM q, d""")
 def quality_gate(spark, sf_dir):
-    pages = b.listing_pages(spark, sf_dir).groupBy("page").agg(F.count_if(~F.col("_mark")).alias("n_items")).withColumn("last_page", F.max("page").over(Window.partitionBy()))
+    pages = b.listing_pages(spark, sf_dir).groupBy("page").agg(F.count_if(~F.col("_mark")).alias("n_items"))
+    pages = pages.join(F.broadcast(pages.agg(F.max("page").alias("last_page"))))  # one row
     details = table(spark, sf_dir, "events").select(F.when((F.col("event_type") == "error") & (F.col("value") > 300), "drift").otherwise("ok").alias("outcome"))
     return inc.quality_gate(pages, details)
 
@@ -588,9 +620,11 @@ def rollup(spark, sf_dir):
     return access_rollup(b.access_log(spark, sf_dir))
 
 
-@query("alerts", f"""WITH {_RUNS_SQL}, s AS (SELECT max(finished_at) FILTER (status IN ('success', 'partial')) AS good, max_by(status, run_id) AS last FROM runs), t AS (SELECT count(*) FILTER (value > 450) AS throttled FROM events)
+@query("alerts", f"""{_HIST_SQL.replace('method, route, le, count', 'run_id, le, count').replace('GROUP BY 1, 2, 3', 'GROUP BY 1, 2')}, {_RUNS_SQL}, s AS (SELECT max(finished_at) FILTER (status IN ('success', 'partial')) AS good, max_by(status, run_id) AS last FROM runs),
+t AS (SELECT count(*) FILTER (value > 450) AS throttled FROM events), steps AS (SELECT run_id, le, n, lag(le, 1, 0.0) OVER w AS low, lag(n, 1, 0) OVER w AS before, max(n) OVER (PARTITION BY run_id) AS total FROM hist WINDOW w AS (PARTITION BY run_id ORDER BY le)),
+q AS (SELECT run_id, min_by(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - before) / (n - before) END, le) AS quantile FROM steps WHERE n >= 0.95::DOUBLE * total GROUP BY 1)
 SELECT 'stale' AS alert, coalesce(date_diff('microsecond', good, TIMESTAMP '{EVENTS_NOW}') // 1000000 > 43200, true) AS firing FROM s UNION ALL SELECT 'last_run_failed', coalesce(last = 'failed', false) FROM s
-UNION ALL SELECT 'throttled', throttled > 10 FROM t UNION ALL SELECT 'slow_pages', false""")
+UNION ALL SELECT 'throttled', throttled > 10 FROM t UNION ALL SELECT 'slow_pages', coalesce(min(quantile) > 0.5, false) FROM q""")
 def alerts(spark, sf_dir):
     log = b.access_log(spark, sf_dir)
     status = mon.dataset_status(b.catalog(spark, sf_dir).items, _runs(spark, sf_dir))
@@ -618,10 +652,61 @@ def page_outcomes(spark, sf_dir):
     return hx.page_outcomes(table(spark, sf_dir, "pages"), "https://example.com", ("example.com",)).groupBy("listing", "detail").agg(F.count("*").alias("n"))
 
 
-@query("normalise_text", r"SELECT doc_id AS item_id, md5(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))) AS clean FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+def _listing_pages(c: Catalog) -> DataFrame:
+    """The catalogue's items as marked-up listing pages of up to 36."""
+    escaped = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;"))
+    number = lambda x: F.coalesce(F.format_number(x, 0), F.lit("-"))
+    cell = F.concat(
+        F.lit('<article><a class="box big" href="/movies/'), F.col("item_id").cast("string"), F.lit('?from=list"><span class="figure-text-in">'), number("view_count"), F.lit('</span><span class="figure-text-in">'),
+        number("favorite_count"), F.lit('</span><h2 class="box-h2"> '), escaped(F.col("title")), F.lit('</h2><p class="box-text1"><b class="box-text-in">'), escaped(F.col("creator_display_name")), F.lit("</b></p></a></article>"),
+    )
+    pages = c.items.groupBy(F.floor(F.col("item_id") / 36).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("item_id", cell.alias("cell")))).alias("cells"))
+    grid = F.concat(F.lit('<main><div class="g-main-grid">'), F.array_join("cells.cell", "<p>ad</p>"), F.lit('</div><ul class="pagination"><li><a class="page-link" href="/?page='), F.col("page_id").cast("string"), F.lit('">last</a></ul></main>'))
+    return pages.select("page_id", grid.alias("html"))
+
+
+@query("extract_rendered_listings", f"""{WITH} SELECT item_id // 36 AS page_id, (row_number() OVER (PARTITION BY item_id // 36 ORDER BY item_id) - 1)::INT AS pos, (item_id // 36)::INT AS last_page, item_id,
+  'https://example.com/movies/' || item_id || '?from=list' AS url, title, creator_display_name AS creator_name, view_count, favorite_count FROM items""")
+def extract_rendered_listings(spark, sf_dir):
+    rows = hx.extract_listings(_listing_pages(b.catalog(spark, sf_dir)), "https://example.com", ("example.com",))
+    return rows.select("page_id", "pos", "last_page", "item_id", "url", "title", "creator_name", "view_count", "favorite_count")
+
+
+def _detail_pages(c: Catalog) -> DataFrame:
+    """Every item as a marked-up detail page with its tags (each twice); missing items as placeholders, every hundredth without a title."""
+    tags = c.links.where("kind = 'tags'").join(c.entities.where("kind = 'tags'").select("entity_id", "name"), "entity_id")
+    anchor = lambda extra: F.concat(F.lit('<a href="/tags/'), F.col("entity_id").cast("string"), F.lit('"><i>local_offer</i> <em class="tag-text">'), F.col("name"), F.lit(f"{extra}</em></a>"))
+    tags = tags.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("entity_id", anchor("").alias("a"), anchor(" again").alias("b")))).alias("x"))
+    rows = c.items.join(tags, "item_id", "left")
+    counter = lambda icon, value: F.concat(F.lit(f'<li class="f-label-in"><i class="material-icons">{icon}</i><b class="video-text">'), value, F.lit("</b></li>"))
+    head = F.when(F.col("item_id") % 100 == 0, "").otherwise(F.concat(F.lit('<h1 class="video-h1">'), "title", F.lit("</h1>")))
+    day, clock = F.date_format("published_at", "yyyy-MM-dd"), F.date_format("published_at", "HH:mm")
+    full = F.concat(
+        F.lit("<body>"), head, F.lit('<ul class="video-views"><li><b class="video-text">'), day, F.lit('</b><b class="video-text">'), clock, F.lit("</b></li>"), counter("remove_red_eye", F.format_number("view_count", 0)),
+        counter("favorite", F.coalesce(F.col("favorite_count").cast("string"), F.lit("-"))), F.lit('</ul><section class="video-section-tag">'), F.coalesce(F.array_join("x.a", ""), F.lit("")), F.coalesce(F.array_join("x.b", ""), F.lit("")), F.lit("</section>"),
+    )
+    gone = f'<title>{hx.PLACEHOLDER_TITLES[0]}</title><ul class="video-views"><b class="video-text">{hx.GONE_DATE}</b><b class="video-text">{hx.GONE_TIME}</b>'
+    zero = F.concat(F.lit(gone), counter("remove_red_eye", F.lit("0")), counter("favorite", F.lit("0")), F.lit("</ul>"))
+    return rows.select(F.col("item_id").alias("page_id"), F.concat(F.lit("https://example.com/movies/"), F.col("item_id").cast("string")).alias("url"), F.when(F.col("status") == "missing", zero).otherwise(full).alias("html"))
+
+
+@query("extract_rendered_details", f"""{WITH}, tags AS (SELECT item_id, string_agg(entity_id || ':' || name, ',' ORDER BY entity_id) AS tags FROM links JOIN entities USING (kind, entity_id) WHERE kind = 'tags' GROUP BY 1)
+SELECT item_id, CASE WHEN status = 'missing' THEN 'missing' WHEN item_id % 100 = 0 THEN 'drift' ELSE 'ok' END AS outcome, CASE WHEN status = 'missing' OR item_id % 100 = 0 THEN '' ELSE title END AS title,
+  CASE WHEN status = 'missing' THEN '' ELSE coalesce(tags, '') END AS tags, CASE WHEN status = 'missing' THEN 0 ELSE view_count END AS view_count, CASE WHEN status = 'missing' THEN 0 ELSE favorite_count END AS favorite_count,
+  CASE WHEN status <> 'missing' THEN date_trunc('minute', published_at)::TIMESTAMP END AS published_at FROM items LEFT JOIN tags USING (item_id)""")
+def extract_rendered_details(spark, sf_dir):
+    d = hx.extract_details(_detail_pages(b.catalog(spark, sf_dir)), "https://example.com", ("example.com",), ("example.net",))
+    tags = F.array_join(F.transform("tags", lambda x: F.concat_ws(":", x["id"], x["name"])), ",")
+    return d.select("item_id", "outcome", "title", tags.alias("tags"), "view_count", "favorite_count", "published_at")
+
+
+@query("normalise_text", r"SELECT doc_id AS item_id, md5(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\s\x0B]+', ' ', 'g'))) AS clean FROM documents")
 def normalise_text(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select(F.col("doc_id").alias("item_id"), F.md5(tx.clean_text(F.col("text"))).alias("clean"))
+    """All documents in wide letters with zero-width marks; what is clean again must be the cleaned document. Its SQL holds for tables
+    without compatibility characters of their own, as the given ones; ``normalise_text_all`` has no such condition."""
+    wide = F.translate("text", "aeiouAEIOU019 ", "ａｅｉｏｕＡＥＩＯＵ０１９\u3000")
+    marked = F.regexp_replace(wide, "([tn])", "$1\u200b")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.md5(tx.clean_text(marked)).alias("clean"))
 
 
 @query("normalise_text_all")
@@ -655,9 +740,14 @@ def highlight(spark, sf_dir):
     return b.catalog(spark, sf_dir).items.select("item_id", tx.highlight(F.col("title"), ["build", "Urgent", "machinery"]).alias("marked"))
 
 
-@query("content_language", "SELECT doc_id AS item_id, CASE WHEN regexp_matches(text, '[\\x{3040}-\\x{30ff}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{ac00}-\\x{d7af}]') THEN 'ko' END AS language FROM documents")
+_TO = {0: "あ", 1: "한", 2: "漢"}  # kana, hangul or neither for one letter
+
+
+@query("content_language", f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 {' '.join(f"WHEN {k} THEN translate(text, 'q', '{v}')" for k, v in _TO.items())} END AS text FROM documents)
+SELECT doc_id AS item_id, CASE WHEN regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{{ac00}}-\\x{{d7af}}]') THEN 'ko' END AS language FROM t""")
 def content_language(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), tx.content_language(F.col("text")).alias("language"))
+    text = F.coalesce(*(F.when(F.col("doc_id") % 3 == k, F.translate("text", "q", v)) for k, v in _TO.items()))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), tx.content_language(text).alias("language"))
 
 
 @query("compact_numbers", f"""{WITH} SELECT item_id, CASE WHEN view_count >= 1000000 THEN regexp_replace(printf('%.1f', view_count / 1000000.0::DOUBLE), '\\.?0+$', '') || 'M' WHEN view_count >= 1000 THEN regexp_replace(printf('%.1f', view_count / 1000.0::DOUBLE), '\\.?0+$', '') || 'K'

@@ -1,10 +1,12 @@
 """Listing and detail pages as rows: one Arrow pass reads the marked-up fields, Columns clean them.
 
-The parser only collects raw texts and links by tag and class; ids, numbers, URLs and outcomes are Column expressions.
+The parser only collects texts and links by tag and class; ids, numbers, URLs and outcomes are Column expressions. Elements nested
+deeper than ``DEEPEST`` become siblings; no text is lost.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -18,6 +20,8 @@ from ..functions.values import absolute_url, entity_id_of, item_id_of, parse_com
 #: Names of icons that precede an entity's name, and titles of placeholder pages.
 ICONS = ("face", "local_library", "accessibility_new", "local_offer")
 PLACEHOLDER_TITLES = ("|俺の3Dエロ動画",)  # after NFKC
+GONE_DATE, GONE_TIME = "-0001-11-30", "00:00"
+DEEPEST = 400
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -62,7 +66,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         e = _Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(e)
-        if tag not in _VOID and self.depth < 400:
+        if tag not in _VOID and self.depth < DEEPEST:
             self.at, self.depth = e, self.depth + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -127,7 +131,7 @@ def _detail(root: _Element) -> dict:
         icon, value = li.first("i", "material-icons"), li.first(cls="video-text")
         if icon is not None and value is not None:
             counters.append({"icon": icon.text().strip(), "value": value.text()})
-    links = [{"href": a.attrs.get("href"), "name": _name_candidates(a)[-1]} for s in root.find("section", "video-section-tag") for a in s.find("a")]
+    links = [{"href": a.attrs.get("href"), "name": unicodedata.normalize("NFKC", _name_candidates(a)[-1])} for s in root.find("section", "video-section-tag") for a in s.find("a")]
     image = next((m.attrs.get("content") for m in root.find("meta") if m.attrs.get("property") == "og:image"), None)
     return {
         "title": _txt(root.first("h1", "video-h1")), "page_title": _txt(root.first("title")), "image": image, "counters": counters,
@@ -160,9 +164,13 @@ def _link(c: Column, base: str, hosts: Sequence[str]) -> Column:
     return safe_url(absolute_url(c, base), hosts)
 
 
+def _without_icons(c: Column) -> Column:
+    return F.regexp_replace(c, f"^(?:(?:{'|'.join(ICONS)}) )+(?=.)", "")
+
+
 def entity_name(c: Column) -> Column:
     """A name without the icons before it."""
-    return F.regexp_replace(clean_text(c), f"^(?:(?:{'|'.join(ICONS)}) )+(?=.)", "")
+    return _without_icons(clean_text(c))
 
 
 def extract_listings(pages: DataFrame, base: str, hosts: Sequence[str]) -> DataFrame:
@@ -182,21 +190,17 @@ def _counter(icon: str) -> Column:
 
 
 def _entities(kind: str, base: str, hosts: Sequence[str]) -> Column:
-    """The links of a kind as (id, name, url), each id once in document order. Names are cleaned by Columns but for NFKC."""
-    def plain(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^ | $", ""), f"^(?:(?:{'|'.join(ICONS)}) )+(?=.)", "")
-
+    """The links of a kind as (id, name, url), each id once in document order (names have been through NFKC in ``_read``)."""
     refs = F.transform(F.filter("detail.links", lambda x: F.contains(x["href"], F.lit(f"/{kind}/"))), lambda x: F.struct(
-        entity_id_of(_link(x["href"], base, hosts)).alias("id"), plain(x["name"]).alias("name"), _link(x["href"], base, hosts).alias("url")))
+        entity_id_of(_link(x["href"], base, hosts)).alias("id"), _without_icons(clean_text(x["name"], normalised=True)).alias("name"), _link(x["href"], base, hosts).alias("url")))
     fine = F.filter(refs, lambda x: x["id"].isNotNull() & (x["name"] != ""))
-    empty = F.array().cast("array<struct<id:bigint,name:string,url:string>>")
-    return F.aggregate(fine, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["id"] == x["id"]), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.filter(fine, lambda x, i: F.array_position(F.transform(fine, lambda y: y["id"]), x["id"]) == i + 1)
 
 
 def is_placeholder() -> Column:
     """A detail page that stands for a removed item."""
     first = lambda k: F.trim(F.try_element_at("detail.dates", F.lit(k)))
-    dated = (first(1) == "-0001-11-30") & (first(2) == "00:00") & (_counter("remove_red_eye") == 0) & (_counter("favorite") == 0)
+    dated = (first(1) == GONE_DATE) & (first(2) == GONE_TIME) & (_counter("remove_red_eye") == 0) & (_counter("favorite") == 0)
     return F.coalesce((F.trim(F.coalesce("detail.title", F.lit(""))) == "") & clean_text(F.col("detail.page_title")).isin(*PLACEHOLDER_TITLES) & dated, F.lit(False))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import clear_failures, merge_failures
-from ..operators.merge import current, latest, merge_detail, merge_missing, publish
+from ..operators.incremental import DRIFT_DETAILS, clear_failures, merge_failures
+from ..operators.merge import latest, merge_detail, merge_missing, publish
+from ..operators.scoring import ntz
 
 
 def apply_outcomes(items: DataFrame, ledger: DataFrame, outcomes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
@@ -19,17 +20,32 @@ def apply_outcomes(items: DataFrame, ledger: DataFrame, outcomes: DataFrame, now
     return items, ledger
 
 
+def run_row(outcomes: DataFrame, epoch: int, now) -> DataFrame:
+    """One row for a micro-batch: counters by outcome, whether too many details could not be parsed (then its data are not to be
+    trusted), and the status."""
+    count = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    counters = outcomes.agg(count("ok").alias("details_fetched"), count("missing").alias("missing_items"), count("error", "drift").alias("failed_details"), count("drift").alias("drift_errors"))
+    drift = F.col("drift_errors") >= DRIFT_DETAILS
+    return counters.select(
+        F.lit(epoch).cast("long").alias("run_id"), F.when(drift, "failed").when(F.col("failed_details") > 0, "partial").otherwise("success").alias("status"), ntz(now).alias("finished_at"),
+        "details_fetched", "missing_items", "failed_details", "drift_errors",
+    )
+
+
 def stream_outcomes(outcomes: DataFrame, path: str, checkpoint: str, now):
-    """Applies a stream of outcomes; every epoch reads version n and publishes n + 1, so a repeated epoch does no harm."""
+    """Applies a stream of outcomes. Every epoch reads version n of items and ledger and publishes n + 1, then its row of ``runs``; a repeated
+    epoch finds its versions complete. An epoch with too many unreadable details changes no item: only its failures and its row are kept."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        version = lambda name: spark.read.schema("version long").json(f"{path}/{name}/_current").first()["version"]
-        if version("ledger") > epoch:  # both tables have this epoch
-            return
-        items = current(spark, f"{path}/items") if version("items") <= epoch else spark.read.parquet(f"{path}/items/v={epoch}")
-        new_items, new_ledger = apply_outcomes(items, current(spark, f"{path}/ledger"), batch, now)
-        publish(new_items, f"{path}/items", epoch + 1)
-        publish(new_ledger, f"{path}/ledger", epoch + 1)
+        version = lambda name: spark.read.parquet(f"{path}/{name}/v={epoch}")
+        run = run_row(batch, epoch, now)
+        publish(run, f"{path}/runs", epoch)
+        stopped = version("runs").first()["status"] == "failed"
+        failed = F.col("outcome").isin("error", "drift")
+        batch = batch.withColumn("outcome", F.when(failed, "error").otherwise(F.col("outcome")))
+        items, ledger = apply_outcomes(version("items"), version("ledger"), batch.where(failed) if stopped else batch, now)
+        publish(items, f"{path}/items", epoch + 1)
+        publish(ledger, f"{path}/ledger", epoch + 1)
 
     return outcomes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

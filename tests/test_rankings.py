@@ -1,43 +1,104 @@
+"""Statistics, rankings, autocomplete and related items against plain Python on random catalogues."""
+
+from collections import Counter, defaultdict
+
+import pytest
+
 from tessera.operators import rankings as rk
 from tessera.operators.related import related_items
+from tessera.schema import KINDS
+
+from .catalog import NOW, WEIGHTS, World, build
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    w = World(spark, 29)
+    return w, rk.entity_stats(w.catalog, str(NOW)).cache()
+
+
+def _stats(w):
+    """{(kind, id): (items, views, favorites, popularity)} of entities on active items."""
+    out = defaultdict(lambda: [0, 0, 0, 0])
+    for i in w.active():
+        x = w.items[i]
+        for kind in KINDS:
+            for e in w.of(i, kind):
+                out[kind, e] = [a + b for a, b in zip(out[kind, e], (1, x["views"] or 0, x["favorites"] or 0, w.popularity(i)), strict=True)]
+    return out
+
+
+def _ranked(w, kinds):
+    s = _stats(w)
+    return [k for k in sorted(s, key=lambda k: (-s[k][3], -s[k][2], -s[k][0], w.names[k], *k)) if k[0] in kinds]
+
+
+def test_statistics_and_boards(world):
+    w, stats = world
+    want = _stats(w)
+    got = {(r.kind, r.entity_id): [r.item_count, r.total_views, r.total_favorites, r.popularity] for r in stats.collect()}
+    assert got == dict(want)
+    hot = {(r.kind, r.entity_id): r.hot for r in stats.collect()}
+    for key in want:
+        assert abs(hot[key] - sum(w.hot(i) for i in w.active() if key[1] in w.of(i, key[0]))) < 1e-6
+    for board, kinds in (("authors", ("authors",)), ("categories", ("tags", "origins"))):
+        order = _ranked(w, kinds)
+        page = rk.ranking(stats, board, 4, 2).collect()
+        assert [(r.kind, r.entity_id, r["rank"], r.is_top) for r in page] == [(*k, n, n <= 3) for n, k in enumerate(order, 1)][2:6]
+    counts = Counter(k for k, _ in want)
+    assert {r.board: r.n for r in rk.ranking_counts(stats).collect()} == {**counts, "categories": counts["tags"] + counts["origins"]}
+    boards = defaultdict(list)
+    for r in rk.leaderboards(stats, 3).orderBy("rank").collect():
+        boards[r.board].append((r.kind, r.entity_id))
+    assert boards == {b: _ranked(w, k)[:3] for b, k in (("authors", ("authors",)), ("characters", ("characters",)), ("categories", ("tags", "origins")))}
+
 
-from .catalog import build
+def test_autocomplete(world, spark):
+    w, stats = world
+    popular = {e: s[3] for (k, e), s in _stats(w).items() if k == "tags"}
+    names = {e: n for (k, e), n in w.names.items() if k == "tags"}
 
+    def want(q):
+        q = q.strip().lower()
+        hits = [e for e in names if q in names[e].lower() and (q or e in popular)]
+        return sorted(hits, key=lambda e: (bool(q) and not names[e].lower().startswith(q), -popular.get(e, 0), names[e], e))[:4]
 
-def _world(spark):
-    entities = [(k, base + i, f"{k} {i}") for k, base in (("authors", 10), ("tags", 30), ("origins", 40), ("characters", 50)) for i in (1, 2)]
-    items = [(200, "a", 11, "2026-01-01 00:00:00", 1234, 321, "active"), (201, "b", 11, "2026-01-01 00:00:00", 500, 100, "active"), (202, "c", 12, "2026-01-01 00:00:00", 888, 222, "active")]
-    links = [(i, k, b + n) for i, n in ((200, 1), (201, 1), (202, 2)) for k, b in (("tags", 30), ("origins", 40), ("characters", 50))]
-    return build(spark, items, entities, links)
+    queries = ["", "ta", "TA3", "a", "海 t", "%", "e", "zz", " w"]
+    for q in queries:
+        assert [r.entity_id for r in rk.autocomplete(w.catalog, stats, "tags", q, 4).collect()] == want(q), q
+    batch = defaultdict(list)
+    for r in rk.autocomplete_batch(w.catalog, stats, "tags", spark.createDataFrame([(q,) for q in queries], "query string"), 4).orderBy("rank").collect():
+        batch[r["query"]].append(r.entity_id)
+    assert batch == {q.strip().lower(): want(q) for q in queries if q.strip() and want(q)}
 
 
-def test_rankings_and_autocomplete(spark):
-    c = _world(spark)
-    stats = rk.entity_stats(c, "2026-01-02 00:00:00").cache()
-    board = rk.ranking(stats, "authors").collect()
-    assert [(r.entity_id, r.item_count, r["rank"], r.is_top) for r in board] == [(11, 2, 1, True), (12, 1, 2, True)]
-    assert {r.board: r.n for r in rk.ranking_counts(stats).collect()}["categories"] == 4
-    assert [r.item_id for r in rk.top_items_per_creator(c, n=1).orderBy("creator_id").collect()] == [200, 202]
-    assert rk.autocomplete(c, stats, "tags").first().entity_id == 31
-    assert rk.autocomplete(c, stats, "tags", "%").count() == 0
-    assert [r.entity_id for r in rk.autocomplete(c, stats, "tags", "AGS 2").collect()] == [32]
-    batch = rk.autocomplete_batch(c, stats, "tags", spark.createDataFrame([("tags",), ("2",), ("zz",), (" ",)], "query string"))
-    assert sorted((r["query"], r["rank"], r.entity_id) for r in batch.collect()) == [("2", 1, 32), ("tags", 1, 31), ("tags", 2, 32)]
-    assert {r.board for r in rk.leaderboards(stats).collect()} == {"authors", "characters", "categories"}
+def test_top_items(world):
+    w, _ = world
+    got = defaultdict(list)
+    for r in rk.top_items_per_creator(w.catalog, n=2).orderBy("rank").collect():
+        got[r.creator_id].append(r.item_id)
+    want = defaultdict(list)
+    for i in sorted(w.active(), key=lambda i: (-w.popularity(i), -i)):
+        if w.items[i]["creator"] is not None:
+            want[w.items[i]["creator"]].append(i)
+    assert got == {c: v[:2] for c, v in want.items()}
 
 
-def test_related_weights(spark):
-    entities = [("tags", i, f"t{i}") for i in range(1, 6)] + [("origins", i, f"o{i}") for i in (11, 12, 13)] + [("characters", i, f"c{i}") for i in (21, 22, 23)]
-    entities += [("authors", i, f"a{i}") for i in (10, 20, 30)]
-    rows = [(101, 10, (1, 2), (11,), (21,)), (102, 10, (1, 3), (12,), (21, 22)), (103, 20, (2, 4), (11,), (23,)), (104, 30, (5,), (13,), ())]
-    items = [(i, f"i{i}", c, "2026-01-01 00:00:00", i, 0, "active") for i, c, *_ in rows]
-    links = [(i, k, e) for i, _, t, o, c in rows for k, ids in (("tags", t), ("origins", o), ("characters", c)) for e in ids]
-    out = related_items(build(spark, items, entities, links)).where("source_id = 101").orderBy("rank").collect()
-    assert [(r.item_id, r.score) for r in out] == [(102, 16), (103, 6)]
+def test_related(world):
+    w, _ = world
+    active, got = set(w.active()), defaultdict(list)
+    for r in related_items(w.catalog, limit=5).orderBy("source_id", "rank").collect():
+        got[r.source_id].append((r.item_id, r.score))
+    want = {}
+    for a in active:
+        score = {b: sum(WEIGHTS[k] * len(w.of(a, k) & w.of(b, k)) for k in KINDS) for b in active - {a}}
+        want[a] = [(b, score[b]) for b in sorted(score, key=lambda b: (-score[b], -w.popularity(b), -b)) if score[b]][:5]
+    assert got == {a: v for a, v in want.items() if v}
 
 
 def test_related_ignores_entities_on_too_many_items(spark):
-    items = [(i, f"i{i}", None, None, i, 0, "active") for i in range(1, 131)]
-    links = [(i, "tags", 1) for i in range(1, 131)] + [(i, "origins", 2) for i in range(1, 4)]
-    out = related_items(build(spark, items, [("tags", 1, "hot"), ("origins", 2, "few")], links)).collect()
-    assert {(r.source_id, r.item_id, r.score) for r in out} == {(a, b, 5) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+    n = 140
+    items = [(k, f"item {k}", None, None, k, 0, "active") for k in range(n)]
+    links = [(k, "tags", 8) for k in range(n)] + [(k, "characters", 9) for k in (3, 50, 77, 90)]
+    out = related_items(build(spark, items, [("tags", 8, "everywhere"), ("characters", 9, "rare")], links)).collect()
+    assert {(r.source_id, r.item_id, r.score) for r in out} == {(a, b, 5) for a in (3, 50, 77, 90) for b in (3, 50, 77, 90) if a != b}

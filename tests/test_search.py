@@ -1,3 +1,5 @@
+"""Search against a plain Python model on random catalogues and requests."""
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,95 +8,92 @@ from tessera.operators import filters as fl
 from tessera.operators import search as se
 from tessera.operators.documents import build_search_docs
 from tessera.operators.scoring import with_scores
-from tessera.schema import SearchFilters
-
-from .catalog import boolean_catalog, build
+from tessera.schema import SORT_MODES, SearchRequest
 
+from .catalog import NOW, World
 
-@pytest.fixture(scope="module")
-def world(spark):
-    c = boolean_catalog(spark)
-    c.items = with_scores(c.items, "2026-04-12 00:00:00").cache()
-    return c, build_search_docs(c).cache()
-
-
-@pytest.mark.parametrize(
-    ("filters", "expected"),
-    [
-        (dict(q="amber night"), [101]),
-        (dict(q="amber night", title_mode="any"), [101, 102]),
-        (dict(author_any=[10]), [101, 103]),
-        (dict(author_not=[10]), [102]),
-        (dict(tag_all=[2, 3]), [102]),
-        (dict(tag_any=[1, 3]), [101, 102, 103]),
-        (dict(tag_not=[1]), [102, 103]),
-        (dict(q="amber", author_any=[20], tag_not=[1]), [102]),
-        (dict(origin_any=[11]), [101, 103]),
-        (dict(origin_not=[11]), [102]),
-        (dict(character_any=[22]), [102]),
-        (dict(character_not=[21]), [102, 103]),
-        (dict(published_from="2026-04-10", published_to="2026-04-11"), [101, 102]),
-        (dict(published_to="2026-04-09"), [103]),
-        (dict(min_views=1020, max_views=1030, min_favorites=102, max_favorites=103), [102, 103]),
-        (dict(sort="published_asc"), [103, 102, 101]),
-        (dict(sort="views_desc"), [103, 102, 101]),
-        (dict(sort="favorites_asc"), [101, 102, 103]),
-        (dict(sort="popularity_desc"), [103, 102, 101]),
-        (dict(q="Three"), [102, 103]),
-        (dict(q="moonlight Three"), [103]),
-        (dict(q="parade Character"), [103]),
-        (dict(q="Origin", title_mode="any"), [101, 102, 103]),
-        (dict(q="%"), []),
-        (dict(q="am"), [101, 102]),
-        (dict(q="#"), []),
-        (dict(q="# amber", title_mode="any"), [101, 102]),
-    ],
+BATCH = (
+    "query_id string, tokens array<string>, title_mode string, facets array<struct<kind:string,mode:string,ids:array<bigint>>>, published_from string, published_to string, "
+    "min_views long, max_views long, min_favorites long, max_favorites long, sort string"
 )
-def test_filters(world, filters, expected):
-    c, docs = world
-    page = se.search(c, SearchFilters(**filters), docs=docs)
-    assert [r.item_id for r in page.items.collect()] == expected
-    assert page.total == len(expected)
-
 
-def test_cap_and_pages(spark):
-    c = build(spark, [(i, f"t{i}", 1, "2026-01-01 00:00:00", 5, 1, "active") for i in range(1, 31)], [("authors", 1, "A")], [])
-    page = se.search(c, SearchFilters(), page=99, page_size=10, max_results=25)
-    assert (page.total, page.capped, page.page, page.page_count) == (25, True, 3, 3)
-    seen = [r.item_id for p in (1, 2, 3) for r in se.search(c, SearchFilters(), page=p, page_size=10).items.collect()]
-    assert sorted(seen) == list(range(1, 31))
 
-
-def test_short_tokens_and_cjk(spark):
-    c = build(
-        spark, [(1, "MMD summer 夏祭り", None, None, None, None, "active"), (2, "plain summer walk Café ÉCOLE", None, None, None, None, "active")],
-        [("tags", 1, "3D"), ("tags", 2, "misc")], [(1, "tags", 1), (2, "tags", 2)],
-    )
-    docs = build_search_docs(c).cache()
-    find = lambda q, mode="all": sorted(r.item_id for r in fl.apply_filters(c, SearchFilters(q=q, title_mode=mode), docs).collect())
-    assert find("mm") == [1] and find("3d") == [1] and find("夏") == [1] and find("祭り") == [1]
-    assert find("mm walk", "any") == [1, 2] and find("CAFE") == [] and find("école") == [2] and find("éc") == [2] and find("ec") == [2] and find("夏a") == []
+@pytest.fixture(scope="module")
+def world(spark):
+    w = World(spark, 17)
+    c = w.catalog
+    c.items = with_scores(c.items, str(NOW)).cache()
+    c.links = c.links.cache()
+    return w, c, build_search_docs(c).cache()
+
+
+@pytest.mark.parametrize("order", SORT_MODES)
+def test_orders(world, order):
+    w, c, _ = world
+    page = se.search(c, SearchRequest(order=order), page_size=100)
+    assert [r.item_id for r in page.items.collect()] == w.found(SearchRequest(order=order))
+
+
+def test_random_requests_alone_and_in_a_batch(world, spark):
+    w, c, docs = world
+    requests = [w.request() for _ in range(150)]
+    want = {f"q{k}": w.found(r) for k, r in enumerate(requests)}
+    assert sum(0 < len(v) < 40 for v in want.values()) > 40
+    for k, r in list(enumerate(requests))[:25]:
+        page = se.search(c, r, page_size=100, docs=docs)
+        assert [x.item_id for x in page.items.collect()] == want[f"q{k}"] and page.total == len(want[f"q{k}"])
+    rows = []
+    for k, r in enumerate(requests):
+        low = lambda c, r=r: r.counts.get(c, (None, None))[0]
+        high = lambda c, r=r: r.counts.get(c, (None, None))[1]
+        facets = [(kind, mode, ids) for (kind, mode), ids in r.facets.items()]
+        rows.append((f"q{k}", r.text.split(), r.match, facets, *r.days, low("view_count"), high("view_count"), low("favorite_count"), high("favorite_count"), r.order))
+    batch = spark.createDataFrame(rows, BATCH)
+    found = se.search_batch(c, batch, docs).cache()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items() if v}
+    pages = {}
+    for r in se.batch_pages(c, found, batch, 5).orderBy("query_id", "rank").collect():
+        pages.setdefault(r.query_id, []).append(r.item_id)
+    assert pages == {q: v[:5] for q, v in want.items() if v}
+
+
+def test_cap_and_pages(world):
+    w, c, _ = world
+    n = len(w.active())
+    cap = n - 7
+    last = se.search(c, SearchRequest(), page=1000, page_size=9, max_results=cap)
+    assert (last.total, last.capped, last.page, last.page_count) == (cap, True, -(-cap // 9), -(-cap // 9))
+    seen = [r.item_id for p in range(1, -(-n // 9) + 1) for r in se.search(c, SearchRequest(), page=p, page_size=9).items.collect()]
+    assert sorted(seen) == sorted(w.active())
+
+
+def test_letters_and_their_accents(spark):
+    docs = spark.createDataFrame([(1, "Zoë's ÉTUDE, n°5"), (2, "zoo étude"), (3, "雪の etude")], "item_id long, t string")
+    docs = docs.select("item_id", F.lower("t").alias("title_folded"), F.lit("").alias("keywords_folded"), tx.cjk_grams(F.col("t")).alias("grams"), tx.words(F.col("t")).alias("words"))
+    find = lambda token: [r.item_id for r in docs.where(fl.token_matches(token)).orderBy("item_id").collect()]
+    assert find("étu") == [1, 2] and find("etu") == [3] and find("et") == [1, 2, 3] and find("ÉT") == [1, 2, 3] and find("zo") == [1, 2] and find("の") == [3] and find("雪の") == [3] and find("_") == []
 
 
 def test_cjk_grams(spark):
-    row = spark.createDataFrame([("初音ミク dance 初音",)], "t string").select(tx.cjk_grams(F.col("t")).alias("g")).first()
-    assert row.g == ["初", "初音", "音", "音ミ", "ミ", "ミク", "ク"]
-
-
-def test_batch_search_agrees_with_single(world, spark):
-    c, docs = world
-    facets = "array<struct<kind:string,mode:string,ids:array<bigint>>>"
-    rows = [
-        ("a", ["amber"], "all", [("tags", "not", [1])]), ("b", ["moonlight", "dawn"], "any", []), ("c", [], "all", [("tags", "all", [2, 3]), ("authors", "any", [20])]),
-        ("d", ["amber", "night"], "all", []),
-    ]
-    got = se.search_batch(c, spark.createDataFrame(rows, f"query_id string, tokens array<string>, title_mode string, facets {facets}"), docs)
-    assert sorted((r.query_id, r.item_id) for r in got.collect()) == [("a", 102), ("b", 102), ("b", 103), ("c", 102), ("d", 101)]
+    text = "x漢字カナ y 漢 字カ"
+    row = spark.createDataFrame([(text,)], "t string").select(tx.cjk_grams(F.col("t")).alias("g")).first()
+    want = []
+    for run in text.replace("x", " ").replace("y", " ").split():
+        want += [g for k in range(len(run)) for g in (run[k], run[k : k + 2])]
+    assert row.g == list(dict.fromkeys(want))
 
 
 def test_details_links_and_resolve(world, spark):
-    c, _ = world
-    row = se.item_details(c, spark.createDataFrame([(102,)], "item_id long")).first()
-    assert row.creator_name == "Author B" and [x.name for x in row.tags] == ["Tag Three", "Tag Two"] and [x.entity_id for x in row.origins] == [12]
-    wanted = spark.createDataFrame([(0, "tags", 3), (1, "tags", 999), (2, "tags", 1)], "pos int, kind string, entity_id long")
-    assert [r.entity_id for r in se.resolve_entities(c, wanted).orderBy("pos").collect()] == [3, 1]
+    w, c, _ = world
+    some = sorted(w.items)[:9]
+    for r in se.item_details(c, spark.createDataFrame([(i,) for i in some], "item_id long")).collect():
+        for kind in ("tags", "origins", "characters"):
+            assert [(x.name, x.entity_id) for x in r[kind]] == sorted((w.names[kind, e], e) for e in w.of(r.item_id, kind))
+        creator = w.items[r.item_id]["creator"]
+        assert r.creator_name == (w.names["authors", creator] if creator is not None else "")
+    known = [e for k, e in w.names if k == "origins"]
+    wanted = spark.createDataFrame([(k, "origins", e) for k, e in enumerate([*known[::-1], -5, known[0]])], "pos int, kind string, entity_id long")
+    assert [r.entity_id for r in se.resolve_entities(c, wanted).orderBy("pos").collect()] == [*known[::-1], known[0]]
