@@ -9,6 +9,8 @@ from ..schema import Catalog
 from .filters import active
 from .scoring import popularity
 
+#: Up to so many sources, or entities of sources, are broadcast to the scan of links.
+FEW = 200_000
 WEIGHTS = {"authors": 10, "characters": 5, "origins": 5, "tags": 1}
 
 
@@ -17,20 +19,28 @@ def fanout_cap(catalog: Catalog) -> DataFrame:
     return active(catalog.items).agg(F.greatest(F.lit(100), F.expr("count(*) div 20")).alias("cap"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def related_items(catalog: Catalog, sources: DataFrame | None = None, limit: int = 12) -> DataFrame:
     """(source_id, rank, item_id, score): items that share a creator (10), characters, origins (5 each) and tags (1).
 
-    Entities but creators on more active items than the cap are ignored; they are filtered before the self-join, so an entity makes
+    With ``sources`` only the links of their entities are read on. Entities but creators on more active items than the cap are ignored; they are filtered before the self-join, so an entity makes
     at most its own fan-out of rows for each source. Scores are summed with partial aggregation; the best of a
     source are kept by a window that Spark prunes early (WindowGroupLimit).
     """
     items = active(catalog.items).select("item_id", popularity().alias("popularity"))
-    links = catalog.links.join(items.select("item_id"), "item_id", "left_semi")
+    links = catalog.links
+    if sources is not None:
+        sources = sources.select("item_id").distinct()
+        links = links.join(_few(links.join(_few(sources), "item_id", "left_semi").select("kind", "entity_id").distinct()), ["kind", "entity_id"], "left_semi")
+    links = links.join(items.select("item_id"), "item_id", "left_semi")
     sizes = links.where("kind <> 'authors'").groupBy("kind", "entity_id").agg(F.count("*").alias("n"))
     cap = fanout_cap(catalog)
     hot = sizes.join(F.broadcast(cap), F.col("n") > F.col("cap")).select("kind", "entity_id")  # ``cap`` is one row
     links = links.join(hot, ["kind", "entity_id"], "left_anti")
-    wanted = links if sources is None else links.join(sources.select("item_id").distinct(), "item_id", "left_semi")
+    wanted = links if sources is None else links.join(sources, "item_id", "left_semi")
     weight = F.coalesce(*(F.when(F.col("kind") == k, w) for k, w in WEIGHTS.items()))
     pairs = wanted.withColumnRenamed("item_id", "source_id").join(links, ["kind", "entity_id"]).where("item_id <> source_id")
     scores = pairs.groupBy("source_id", "item_id").agg(F.sum(weight).alias("score"))

@@ -544,6 +544,12 @@ def run_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
+@query("refresh_rule", f"{_RUN_SQL} SELECT run_id, new_items + changed_items + details_fetched + missing_items > 0 AS full_ FROM summary")
+def refresh_rule(spark, sf_dir):
+    summary = _summary(spark, sf_dir)
+    return summary.select("run_id", inc.needs_full_refresh(summary).alias("full_"))
+
+
 @query("close_runs", f"""{_RUN_SQL}, runs AS (SELECT dayofyear(ts)::BIGINT AS run_id, 'running' AS status, min(ts) AS started_at FROM events GROUP BY 1 UNION ALL SELECT dayofyear(ts)::BIGINT + 100, 'running', min(ts) FROM events GROUP BY 1)
 SELECT r.run_id, CASE WHEN s.run_id IS NOT NULL THEN s.status WHEN r.run_id < max(r.run_id) OVER () THEN 'failed' ELSE r.status END AS status, started_at,
   CASE WHEN s.run_id IS NOT NULL OR r.run_id < max(r.run_id) OVER () THEN TIMESTAMP '{EVENTS_NOW}' END AS finished_at, CASE WHEN s.run_id IS NULL AND r.run_id < max(r.run_id) OVER () THEN 'abandoned' END AS error, {', '.join(f's.{c}' for c in inc.COUNTERS)}
@@ -675,7 +681,7 @@ def extract_rendered_listings(spark, sf_dir):
 def _detail_pages(c: Catalog) -> DataFrame:
     """Every item as a marked-up detail page with its tags (each twice); missing items as placeholders, every hundredth without a title."""
     tags = c.links.where("kind = 'tags'").join(c.entities.where("kind = 'tags'").select("entity_id", "name"), "entity_id")
-    anchor = lambda extra: F.concat(F.lit('<a href="/tags/'), F.col("entity_id").cast("string"), F.lit('"><i>local_offer</i> <em class="tag-text">'), F.col("name"), F.lit(f"{extra}</em></a>"))
+    anchor = lambda extra: F.concat(F.lit('<a href="/tags/'), F.col("entity_id").cast("string"), F.lit('"><i>local_offer</i> <em class="tag-text">local_offer '), F.col("name"), F.lit(f"{extra}</em></a>"))
     tags = tags.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("entity_id", anchor("").alias("a"), anchor(" again").alias("b")))).alias("x"))
     rows = c.items.join(tags, "item_id", "left")
     counter = lambda icon, value: F.concat(F.lit(f'<li class="f-label-in"><i class="material-icons">{icon}</i><b class="video-text">'), value, F.lit("</b></li>"))
@@ -730,6 +736,31 @@ def backfill_urls(spark, sf_dir):
     return mg.backfill_urls(items, {"url": ("example.com", "example.net")})
 
 
+@query("multiline_text", r"""WITH a AS (SELECT doc_id, replace(replace(coalesce(text, ''), '\', ''), '. ', '.' || repeat(chr(10), 4) || ' ') AS t FROM documents),
+b AS (SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(t, '\r\n|[\r\x0B\x0C]', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)) AS t FROM a)
+SELECT doc_id AS item_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')) AS clean FROM b""")
+def multiline_text(spark, sf_dir):
+    """All documents with four stored line breaks after each sentence."""
+    stored = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("")), F.lit(". "), F.lit(".\\n\\r\\n\\n\\n "))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.md5(tx.clean_multiline(stored)).alias("clean"))
+
+
+@query("cjk_tokens", f"""SELECT doc_id AS item_id, coalesce(regexp_matches(translate(substr(text, 1, 2), '{_LETTERS}', '{_SIGNS}'), '^[{_SIGNS}]+$'), false) AS is_cjk FROM documents""")
+def cjk_tokens(spark, sf_dir):
+    head = F.translate(F.substring("text", 1, 2), _LETTERS, _SIGNS)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce(tx.is_cjk(head), F.lit(False)).alias("is_cjk"))
+
+
+@query("links_and_ids", """WITH l AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/movies/' || page_id WHEN 1 THEN '//cdn.example.com/tags/' || page_id WHEN 2 THEN 'authors/' || page_id WHEN 3 THEN url END AS link, url FROM pages),
+a AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://example.com' || link WHEN 1 THEN 'https:' || link WHEN 2 THEN 'https://example.com/' || link WHEN 3 THEN CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN url END END AS url FROM l)
+SELECT page_id AS item_id, a.url, CASE page_id % 5 WHEN 0 THEN page_id END AS item, CASE WHEN page_id % 5 IN (1, 2) THEN page_id END AS entity FROM a WHERE page_id % 5 <> 3 OR a.url IS NOT NULL""")
+def links_and_ids(spark, sf_dir):
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 5
+    link = F.when(kind == 0, F.concat(F.lit("/movies/"), n)).when(kind == 1, F.concat(F.lit("//cdn.example.com/tags/"), n)).when(kind == 2, F.concat(F.lit("authors/"), n)).when(kind == 3, F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", vl.absolute_url(link, "https://example.com").alias("url"))
+    return rows.select(F.col("page_id").alias("item_id"), "url", vl.item_id_of(F.col("url")).alias("item"), vl.entity_id_of(F.col("url")).alias("entity"))
+
+
 @query("backfill_comments", f"{RICH_SQL} SELECT item_id, replace(comment, '\\n', chr(10)) AS comment FROM rich")
 def backfill_comments(spark, sf_dir):
     return mg.backfill_comments(b.rich_items(b.catalog(spark, sf_dir)).select("item_id", "comment"))

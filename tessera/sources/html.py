@@ -194,7 +194,8 @@ def _entities(kind: str, base: str, hosts: Sequence[str]) -> Column:
     refs = F.transform(F.filter("detail.links", lambda x: F.contains(x["href"], F.lit(f"/{kind}/"))), lambda x: F.struct(
         entity_id_of(_link(x["href"], base, hosts)).alias("id"), _without_icons(clean_text(x["name"], normalised=True)).alias("name"), _link(x["href"], base, hosts).alias("url")))
     fine = F.filter(refs, lambda x: x["id"].isNotNull() & (x["name"] != ""))
-    return F.filter(fine, lambda x, i: F.array_position(F.transform(fine, lambda y: y["id"]), x["id"]) == i + 1)
+    first = lambda links: F.filter(links, lambda x, i: F.array_position(F.transform(links, lambda y: y["id"]), x["id"]) == i + 1)
+    return F.transform(F.array(fine), first)[0]  # bound by a lambda, so that the links are parsed once
 
 
 def is_placeholder() -> Column:
