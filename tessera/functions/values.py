@@ -78,8 +78,9 @@ def format_count(c: Column) -> Column:
 def _one_decimal(n: Column, size: int) -> Column:
     """n / size to one decimal as text. A tie is decided by the binary value of the quotient, else half to even."""
     whole, rest = F.floor(n * 10 / F.lit(size)).cast("long"), F.pmod(n * 10, F.lit(size)) * 2
-    scaled = (n / F.lit(float(size)) * float(1 << 52)).cast("long").cast("decimal(38,0)") * 20
-    tie = (whole * 2 + 1).cast("decimal(38,0)") * F.lit(1 << 52)
+    quotient = n / F.lit(float(size))
+    scaled = ((quotient - F.floor(quotient)) * float(1 << 52)).cast("long").cast("decimal(38,0)") * 20
+    tie = (whole % 10 * 2 + 1).cast("decimal(38,0)") * F.lit(1 << 52)
     up = (rest > size) | ((rest == size) & ((scaled > tie) | ((scaled == tie) & (whole % 2 == 1))))
     tenths = whole + up.cast("int")
     return F.regexp_replace(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")), r"\.0$", "")

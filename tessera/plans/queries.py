@@ -771,6 +771,19 @@ def highlight(spark, sf_dir):
     return b.catalog(spark, sf_dir).items.select("item_id", tx.highlight(F.col("title"), ["build", "Urgent", "machinery"]).alias("marked"))
 
 
+@query("highlight_markup", f"""{WITH} SELECT item_id, regexp_replace(replace(replace(replace('<' || title || '> & "' || item_id || '"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;').replace('"', '&#34;'), '(urgent|machinery|build)', '<mark>\\1</mark>', 'gi') AS marked FROM items""")
+def highlight_markup(spark, sf_dir):
+    text = F.concat(F.lit("<"), "title", F.lit('> & "'), F.col("item_id").cast("string"), F.lit('"'))
+    return b.catalog(spark, sf_dir).items.select("item_id", tx.highlight(text, ["build", "Urgent", "machinery"]).alias("marked"))
+
+
+@query("compact_numbers_east", f"""{WITH} SELECT item_id, CASE WHEN v >= 100000000 THEN regexp_replace(printf('%.1f', v / 100000000.0::DOUBLE), '\\.0$', '') || '億' WHEN v >= 10000 THEN regexp_replace(printf('%.1f', v / 10000.0::DOUBLE), '\\.0$', '') || '万'
+  ELSE format('{{:,}}', v) END AS compact FROM (SELECT item_id, view_count * (item_id % 3 * 700 + 1) AS v FROM items)""")
+def compact_numbers_east(spark, sf_dir):
+    v = F.col("view_count") * (F.col("item_id") % 3 * 700 + 1)
+    return b.catalog(spark, sf_dir).items.select("item_id", vl.format_compact(v, "ja").alias("compact"))
+
+
 _TO = {0: "あ", 1: "한", 2: "漢"}  # kana, hangul or neither for one letter
 
 

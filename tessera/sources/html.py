@@ -26,13 +26,17 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "classes", "children", "parent")
+    __slots__ = ("tag", "attrs", "classes", "children", "parent", "everything")
 
     def __init__(self, tag: str, attrs: dict, parent: _Element | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.classes = set((attrs.get("class") or "").split())
+        self.everything: list[_Element] | None = None  # of a root: all elements in document order
 
     def walk(self) -> Iterator[_Element]:
+        if self.everything is not None:
+            yield from self.everything
+            return
         todo = list(reversed(self.children))
         while todo:
             x = todo.pop()
@@ -61,16 +65,22 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.at = self.root = _Element("", {}, None)
+        self.root.everything = []
         self.depth = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _add(self, tag: str, attrs: list) -> _Element:
         e = _Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(e)
+        self.root.everything.append(e)
+        return e
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        e = self._add(tag, attrs)
         if tag not in _VOID and self.depth < DEEPEST:
             self.at, self.depth = e, self.depth + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(_Element(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         e, up = self.at, 0
