@@ -1,17 +1,18 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for what no rule covers.
 
 A rule is ``host/path``; it fits its host and all subdomains if the url's path starts with the rule's; the longest
-fitting rule wins. Urls that a rule decides are the labelled urls: on a bounded sample of them (at most ``SAMPLE`` of
-each verdict, by the smallest hash of the url) Spark ML trains gradient-boosted trees on lexical features: lengths,
-depth, digit ratio, entropy, parameter counts, and statistics of the host's suffix. The trees judge the other urls.
+fitting rule wins. Few rules are one expression; more are joined with the distinct hosts by host suffix. Urls that a rule decides
+are the labelled urls: on a bounded sample of them (at most ``SAMPLE`` distinct urls of each verdict, by the smallest hash)
+Spark ML trains gradient-boosted trees on lexical features: lengths, depth, digit ratio, entropy, parameter counts, and
+statistics of the host's suffix. The trees judge the other urls.
 
-The features and the trees are JVM expressions; the table is read once to fit and once to judge, without a shuffle of
-urls. Suffix statistics (the smoothed share of blocked labels for each top-level domain in the sample) are a table of
-at most 2 * SAMPLE rows, broadcast; a suffix that the sample lacks has the prior.
+The features and the trees are JVM expressions. Suffix statistics (the smoothed share of blocked urls for each top-level
+domain) are counted over all labelled urls and written as a table, which Spark joins as its size commands; a url of the sample
+does not count for its own statistic, and a suffix without labels has the prior.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is judged by the trees like any
-other; if the sample lacks one of the verdicts the method allows everything; repeated rows are judged each; other
-columns pass through ``judge`` (columns named like a result column are replaced).
+other; if the sample lacks one of the verdicts the method allows everything; repeated rows are judged each, and train as one; other
+columns pass through ``judge``, whatever their names (columns named like a result column are replaced).
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SAMPLE = 2000
 SEED = 5
 TREES, DEPTH = 12, 4
-MOST_RULES = 500
+#: More rules than these are joined by host suffix.
+INLINE_RULES = 500
+#: Weight of the prior in a suffix's statistic, in urls.
+PRIOR_URLS = 4
 
 FEATURES = (
     "f_length", "f_host_length", "f_path_length", "f_host_depth", "f_path_depth", "f_digit_ratio", "f_entropy",
@@ -50,8 +54,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """A struct (rule, verdict) of the longest fitting rule, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules; join a table of rules by host suffix beyond that")
     out = F.lit(None)
     for rule, verdict in sorted(rules, key=lambda r: len(r[0])):  # the longest is asked first
         rule_host, slash, rest = rule.partition("/")
@@ -60,6 +62,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return out
 
 
+def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str]], inline: int = INLINE_RULES) -> DataFrame:
+    """Adds ``ruled``, a struct (rule, verdict) of the longest fitting rule or null, to urls with host and path."""
+    if len(rules) <= inline:
+        return urls.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
+    split = [(len(r), r, v, r.partition("/")[0], "/".join(["", *r.split("/")[1:]]) if "/" in r else "") for r, v in rules]
+    known = urls.sparkSession.createDataFrame(split, "size int, rule string, verdict string, rule_host string, rule_path string")
+    n = F.size(F.split("host", r"\."))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.split("host", r"\."), n - i + 1, i), "."))
+    hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("rule_host"))
+    fitting = hosts.join(known, "rule_host").groupBy("host").agg(F.collect_list(F.struct("size", "rule", "verdict", "rule_path")).alias("fitting"))
+    best = F.array_max(F.filter("fitting", lambda x: F.startswith(F.col("path"), x["rule_path"])))
+    ruled = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict"))).alias("ruled")
+    return urls.join(fitting, "host", "left").select(*urls.columns, ruled)
+
+
 def _entropy(text: Column) -> Column:
     """Bits per character, from the run lengths of the sorted characters."""
     start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
@@ -76,14 +93,14 @@ def _entropy(text: Column) -> Column:
 
 
 def with_features(urls: DataFrame) -> DataFrame:
-    """Adds host, path and the lexical features but the suffix share."""
+    """Adds host, path, suffix and the lexical features but the suffix share."""
     url = F.coalesce(F.col("url"), F.lit(""))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     digits = F.length(F.regexp_replace(url, "[^0-9]", ""))
     head = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     return head.select(
         "*",
-        F.element_at(F.split("host", r"\."), -1).alias("_suffix"),
+        F.element_at(F.split("host", r"\."), -1).alias("suffix"),
         F.length(url).cast("double").alias("f_length"),
         F.length("host").cast("double").alias("f_host_length"),
         F.length("path").cast("double").alias("f_path_length"),
@@ -100,60 +117,67 @@ def with_features(urls: DataFrame) -> DataFrame:
     )
 
 
-def _suffix_share(labelled: DataFrame, prior: float) -> DataFrame:
-    return labelled.groupBy("_suffix").agg(((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias("f_suffix_share"))
-
-
 class UrlModel:
-    """Trees, suffix statistics and the prior; without trees (one verdict only in the sample) it allows all."""
+    """Trees, the table of suffixes (suffix, urls, blocked) and the prior; without trees (one verdict only) it allows all."""
 
-    def __init__(self, trees, shares: list | None, prior: float):
-        self.trees, self.shares, self.prior = trees, shares, prior
+    def __init__(self, trees, suffixes: DataFrame, prior: float):
+        self.trees, self.suffixes, self.prior = trees, suffixes, prior
 
-    def features(self, urls: DataFrame) -> DataFrame:
-        shares = urls.sparkSession.createDataFrame(self.shares, "_suffix string, f_suffix_share double")  # at most 2 * SAMPLE rows
-        return urls.join(F.broadcast(shares), "_suffix", "left").fillna({"f_suffix_share": self.prior})
+    def features(self, urls: DataFrame, own: Column | None = None) -> DataFrame:
+        """Adds the suffix share; ``own`` is the label (0 or 1) of urls that were counted themselves."""
+        n, blocked = F.coalesce("urls", F.lit(0)), F.coalesce("blocked", F.lit(0))
+        if own is not None:
+            n, blocked = n - 1, blocked - own
+        share = (blocked + PRIOR_URLS * self.prior) / (n + PRIOR_URLS)
+        return urls.join(self.suffixes, "suffix", "left").withColumn("f_suffix_share", share).drop("urls", "blocked")
 
     def apply(self, urls: DataFrame) -> DataFrame:
         """Adds ``p_block`` to rows that have the features."""
         if self.trees is None:
             return urls.withColumn("p_block", F.lit(0.0))
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_v").transform(self.features(urls))
-        return self.trees.transform(vectors).withColumn("p_block", vector_to_array("_p")[1])
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(self.features(urls))
+        return self.trees.transform(vectors).withColumn("p_block", vector_to_array("probability")[1])
+
+
+def _sample(labelled: DataFrame, sample: int) -> list:
+    """At most ``sample`` distinct urls of each label, those with the smallest hash; only a little more than these are made distinct."""
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    share = F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(1 << 32)) / float(1 << 32)
+    rows = []
+    for label, n in sorted(counts.items()):
+        some = labelled.where((F.col("label") == label) & (share < min(1.0, (2 * sample + 100) / max(1, n)))).select("url", "label").distinct()
+        rows += some.orderBy(share, "url").limit(sample).collect()  # bounded
+    return rows
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     """Fits the trees; ``labelled`` has url and label (1 block, 0 allow)."""
-    spark = labelled.sparkSession
-    order = (F.xxhash64(F.lit(SEED), "url"), F.col("url"))
-    rows = []
-    for k in (0, 1):
-        rows += labelled.where(F.col("label") == k).select("url", "label").orderBy(*order).limit(sample).collect()  # bounded
+    labelled = labelled.where("url is not null")
+    rows = _sample(labelled, sample)
     prior = sum(r["label"] for r in rows) / max(1, len(rows))
+    suffix = F.element_at(F.split(host_of(F.col("url")), r"\."), -1).alias("suffix")
+    suffixes = materialise(labelled.groupBy(suffix).agg(F.count("*").alias("urls"), F.sum("label").alias("blocked")))
+    model = UrlModel(None, suffixes, prior)
     if prior in (0.0, 1.0):
-        return UrlModel(None, None, prior)
-    sampled = with_features(spark.createDataFrame(rows, "url string, label int").coalesce(1))
-    shares = [tuple(r) for r in _suffix_share(sampled, prior).collect()]  # at most 2 * sample rows
-    model = UrlModel(None, shares, prior)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_v").transform(model.features(sampled))
-    trees = GBTClassifier(featuresCol="_v", labelCol="label", predictionCol="_pred", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
-    model.trees = trees.fit(vectors.select("_v", F.col("label").cast("double").alias("label")).coalesce(1))
-    model.trees.setProbabilityCol("_p").setRawPredictionCol("_raw")
+        return model
+    sampled = with_features(labelled.sparkSession.createDataFrame(rows, "url string, label int").coalesce(1))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.features(sampled, F.col("label")))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", predictionCol="predicted", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
+    model.trees = trees.fit(vectors.select("url", "features", F.col("label").cast("double").alias("label")).coalesce(1).sortWithinPartitions("url").select("features", "label"))
     return model
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """``pages`` with host, path, rule, verdict and p_block (the trees' probability)."""
     made = ("host", "path", "rule", "verdict", "p_block")
-    pages = pages.drop(*made)
-    decided = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-    labelled = pages.select("url", decided.alias("_r")).where("_r is not null").select("url", (F.col("_r.verdict") == "block").cast("int").alias("label"))
+    own = [c for c in pages.columns if c not in made]
+    located = pages.select(F.col("url").alias("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    labelled = with_rules(located, rules).where("ruled is not null").select("url", (F.col("ruled.verdict") == "block").cast("int").alias("label"))
     model = train(labelled, sample)
-    rows = model.apply(with_features(pages)).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
+    rows = model.apply(with_features(pages.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "url")))
+    rows = with_rules(rows, rules).select(F.col("row"), "host", "path", F.col("ruled.rule").alias("rule"), "ruled", "p_block")
     method = F.when(F.col("p_block") > 0.5, "block").otherwise("allow")
-    return rows.select(
-        *pages.columns, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", method).alias("verdict"), "p_block"
-    )
+    return rows.select("row.*", "host", "path", "rule", F.coalesce("ruled.verdict", method).alias("verdict"), "p_block")
 
 
 def op1_url_gbt_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
