@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,11 +17,17 @@ from .blocks import lowest
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that Python workers get at a time, where the session has Spark's default of 10000: whole texts may be long.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when the driver found it through ``sys.path`` only."""
+    """Lets Python workers import this package when the driver found it through ``sys.path`` only, and bounds what they get at a time."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), _ROOT) if x)
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     return spark
 
 
@@ -85,11 +92,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column has it: columns of a caller may have any names."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- words as 64-bit hashes
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
-_SPAN = 1 << 21  # bytes hashed at a time
+_SPAN = 1 << 19  # bytes of texts taken at a time; a longer text is taken whole
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -137,14 +154,27 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_span(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the slices (in order) of ``raw``, by its prefix sums; runs of about ``_SPAN`` bytes at a time, whatever its length."""
     global _UP, _DOWN
-    n = len(raw)
-    if _UP is None or len(_UP) < n:
-        size = max(n, 1 << 16)
-        _UP, _DOWN = _powers(int(_P), size), _powers(pow(int(_P), -1, 1 << 64), size)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_LETTER[raw] * _UP[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, first + _SPAN)))
+        part, at, to = raw[first : int(ends[i:j].max())], starts[i:j] - first, ends[i:j] - first
+        n = len(part)
+        if _UP is None or len(_UP) < n:
+            size = max(n, _SPAN + (1 << 16))
+            up, down = _powers(int(_P), size), _powers(pow(int(_P), -1, 1 << 64), size)
+            if size <= 2 * _SPAN:  # kept for later; those of a very long word are not
+                _UP, _DOWN = up, down
+        else:
+            up, down = _UP, _DOWN
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_LETTER[part] * up[:n], out=total[1:])
+        out[i:j] = mix((total[to] - total[at]) * down[at] + (to - at).astype(np.uint64))
+        i = j
+    return out
 
 
 def _lower_latin(raw: np.ndarray) -> np.ndarray:
@@ -196,6 +226,17 @@ def chunks(texts: pa.Array, span: int = _SPAN):
         j = max(i + 1, int(np.searchsorted(at, at[i] + span, side="right")) - 1)
         yield i, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc only
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between tasks, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 # ---------------------------------------------------------------- connected components
@@ -219,10 +260,10 @@ def _forest(batches):
             continue
         held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
         size += batch.num_rows
-        if size > 1 << 20:
+        if size > 1 << 18:
             held = [reduced(held)]
             size = held[0].shape[1]
-            if size > 1 << 19:
+            if size > 1 << 17:
                 yield out(held[0])
                 held, size = [], 0
     if held:

@@ -9,12 +9,13 @@ in key order. A source's whole epochs come first (every document once each); for
 with the smallest keys are taken, as whole documents, up to the document whose end lies nearest to the budget.
 
 The sort is not done as one: keys fall into ``BINS`` ordered bins, words are summed by source and bin, and only the bin
-in which a source's budget ends is sorted. The outcome is a cut per source, so the documents themselves are never
-shuffled: a join with the table of cuts (broadcast only if its rows are few, by count) says what is taken.
+in which a source's budget ends is sorted. The outcome is a cut per source, so the documents themselves need no
+shuffle: joins with the labels and with the table of cuts (each broadcast only if its rows are few, by count) say what is taken.
 
 Only DataFrame functions are used. Defined results: a null or blank text has size 0 and takes nothing; a null source is
 a source of its own; rows with the same source, doc_id share one key and are taken together; a document with several
-labels has the best of them; an empty table gives an empty result.
+labels has the best of them; an empty table gives an empty result; other columns pass through ``mix``, whatever their names
+(result names are replaced).
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, table
 
-BINS = 1024
+BINS = 2048
 SEED = "mix-1"
 SHARE = 1.5
 MOST_EPOCHS = 2
@@ -32,10 +33,12 @@ MOST_EPOCHS = 2
 GOOD, NONE, BAD = 2.0, 1.0, 0.5
 #: Up to so many sources the table of cuts is broadcast (a row has under 200 bytes besides the name).
 FEW_SOURCES = 20_000
+#: Up to so many labelled documents (two numbers each) the labels are broadcast.
+FEW_LABELS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def _source(c: Column) -> Column:
@@ -67,10 +70,10 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST_EPOCHS) ->
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source key and sampling key of every row; docs must have a column ``_quality``."""
+    """``docs`` (with source, doc_id, quality) with source key, sampling key and its bin."""
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 12), 16, 10)
     uniform = (number.cast("double") + 0.5) / float(1 << 48)
-    weight = F.when(F.col("_quality") > 0, GOOD).when(F.col("_quality") == 0, BAD).otherwise(NONE)
+    weight = F.when(F.col("quality") > 0, GOOD).when(F.col("quality") == 0, BAD).otherwise(NONE)
     return (
         docs.withColumn("_key", -F.log(uniform) / weight)
         .withColumn("_bin", F.floor(BINS * (1 - F.exp(-F.col("_key")))).cast("int"))
@@ -80,9 +83,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _with_quality(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return docs.withColumn("_quality", F.lit(None).cast("int"))
-    best = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    return docs.join(best, "doc_id", "left")
+        return docs.withColumn("quality", F.lit(None).cast("int"))
+    best = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return docs.join(F.broadcast(best) if best.count() <= FEW_LABELS else best, "doc_id", "left")
 
 
 def plan(rows: DataFrame) -> DataFrame:
@@ -115,7 +118,9 @@ def plan(rows: DataFrame) -> DataFrame:
         F.first("_bin").alias("_cut_bin"),
         F.max(F.when(taken, F.struct(F.col("_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")))).alias("_cut"),
     )
-    return materialise(goal.join(cut, "_s", "left"))
+    out = materialise(goal.join(cut, "_s", "left"))
+    forget(goal)
+    return out
 
 
 def taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -130,13 +135,28 @@ def taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
+_MADE = ("size", "source_size", "target", "epochs", "selected", "taken")
+
+
+def _mixed(docs: DataFrame, own: list[str], labels: DataFrame | None) -> DataFrame:
+    """The columns ``own`` as a struct ``row``, with what the mix says of each row."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    rows = _keyed(_with_quality(rows, labels))
+    narrow = materialise(rows.select("doc_id", "source", "size", "_key", "_bin", "_s"))
+    out = taken(rows, plan(narrow)).select("row", *_MADE)
+    forget(narrow)
+    return out
+
+
 def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``docs`` with size, source_size, target, epochs, selected (in the fractional part) and taken."""
-    made = ("size", "source_size", "target", "epochs", "selected", "taken")
-    docs = docs.drop(*[c for c in made if c in docs.columns])
-    rows = _keyed(_with_quality(docs.withColumn("size", words(F.col("text"))), labels))
-    narrow = materialise(rows.select("doc_id", "source", "size", "_key", "_bin", "_s"))
-    return taken(rows, plan(narrow)).select(*docs.columns, *made)
+    return _mixed(docs, [c for c in docs.columns if c not in _MADE], labels).select("row.*", *_MADE)
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    copies = F.col("epochs") + F.col("selected").cast("int")
+    return _mixed(docs, docs.columns, labels).where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +167,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_digest(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The result of ``mix`` without the texts, which are read once only."""
     narrow = materialise(_keyed(_with_quality(docs.select("doc_id", "source", words(F.col("text")).alias("size")), labels)))
-    return taken(narrow, plan(narrow)).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "selected")
+    return taken(narrow, plan(narrow)).select("doc_id", *_MADE, "source")
 
 
 OP9_SQL = r"""
