@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: toxicity, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and
-reads it again as the next stage's docs. All stages but the last return the columns of documents.
+reads it again as the next stage's docs; what only a finished stage read is deleted. All stages but the last return the columns of documents.
 
 1. toxicity: drops documents whose probability of being toxic reaches one half (model fitted on labelled documents).
 2. near_dedup: of each group of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays.
@@ -15,10 +15,9 @@ An empty table passes through all stages as an empty table; null texts are harml
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontam, mixing, neardup, sharding, toxicity
-from tessera.llm.common import materialise, table
+from tessera.llm.common import forget, settle, table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
-    copies = F.col("epochs") + F.col("selected").cast("int")
-    return mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def feistel_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before = written()
+        kept = settle(stage(spark, docs, sf_dir), before)
+        forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
