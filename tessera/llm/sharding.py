@@ -1,8 +1,8 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers (law ``rows``).
 
 Every document gets a global row number from 0 to n - 1 that depends on the rows alone: documents fall into a fixed
-number of buckets by a hash of their id, buckets follow each other, and within a bucket rows are ordered by id (then
-checksum and size of the text). A keyed Feistel network permutes the numbers below a*b >= n, with a = ceil(sqrt(n))
+number of buckets by a hash of their id and text (so rows with a null or repeated id are spread by their texts), buckets follow
+each other, and within a bucket rows are ordered by id (then checksum and size of the text). A keyed Feistel network permutes the numbers below a*b >= n, with a = ceil(sqrt(n))
 and b = ceil(n/a); a number that leaves 0..n-1 is permuted again until it is back. The permuted number is the place in
 the shuffled corpus: shard = place mod shards, slot = place div shards, so counts differ by at most one and slots have
 no gaps. Anyone who knows n, the key and the row number can compute both, and invert them.
@@ -10,8 +10,8 @@ no gaps. Anyone who knows n, the key and the row number can compute both, and in
 Only DataFrame functions are used. One shuffle carries the rows to their bucket; the offsets of buckets are a table of
 at most ``BUCKETS`` rows and are broadcast. Defined results: a null text has size 1 and checksum 0; a null doc_id is
 ordered first; repeated rows are distinct rows with their own slots, and which of equal rows gets which slot does not
-matter; an empty table gives an empty result; further columns pass through ``shard_documents`` (a column of the input
-that is named like a result column is replaced).
+matter; an empty table gives an empty result; further columns pass through ``shard_documents``, whatever their names (a column
+of the input that is named like a result column is replaced).
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
-BUCKETS = 4096
+BUCKETS = 1 << 14
 ROUNDS = 6
 
 
@@ -81,30 +81,28 @@ def place(number: Column, n: int, steps: int, seed: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240607, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int")
-    counts = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_count")).collect()  # at most ``buckets``
+    own = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    bucket, start, inside, at = free_names(docs.columns, "_bucket", "_start", "_inside", "_place")
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)).cast("int").alias(bucket)
+    counts = docs.select(hashed).groupBy(bucket).agg(F.count("*")).collect()  # at most ``buckets``
     n, offsets = 0, []
-    for r in sorted(counts, key=lambda r: r["_bucket"]):
-        offsets.append((r["_bucket"], n))
-        n += r["_count"]
+    for k, rows in sorted(counts):
+        offsets.append((k, n))
+        n += rows
     steps = walk_length(spark, n, seed)
-    starts = spark.createDataFrame(offsets or [(0, 0)], "_bucket int, _start long")
+    starts = spark.createDataFrame(offsets or [(0, 0)], f"{bucket} int, {start} long")
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     rows = docs.select(
-        *own,
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        bucket.alias("_bucket"),
+        *(F.col(f"`{c}`") for c in own), hashed, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32")
     )
-    order = Window.partitionBy("_bucket").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
-    rows = rows.withColumn("_in", F.row_number().over(order) - 1).join(F.broadcast(starts), "_bucket")
-    rows = rows.withColumn("_place", place(F.col("_start") + F.col("_in"), n, steps, seed))
+    order = Window.partitionBy(bucket).orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
+    rows = rows.withColumn(inside, F.row_number().over(order) - 1).join(F.broadcast(starts), bucket)
+    rows = rows.withColumn(at, place(F.col(start) + F.col(inside), n, steps, seed))
     return rows.select(
-        *own, "size", "text_crc32",
+        *(F.col(f"`{c}`") for c in own), "size", "text_crc32",
         F.lit("rows").alias("law"),
-        F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("_place") / shards).cast("long").alias("slot"),
+        F.pmod(F.col(at), F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col(at) / shards).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

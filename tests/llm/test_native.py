@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing as mx
@@ -30,6 +31,39 @@ def test_permutation(spark, n):
     assert sorted(r[0] for r in spark.range(n).select(sh.place(F.col("id"), n, steps, 5)).collect()) == list(range(n))
 
 
+def _hash(seed, *values):
+    """Spark's xxhash64 of integers (seed and round have four bytes, halves eight)."""
+    h = 42
+    for value, size in zip((seed, *values), (4, 4, 8), strict=True):
+        h = xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), h)
+    return h - (h >> 63 << 64)
+
+
+@pytest.mark.parametrize("n", [1, 5, 29, 1000])
+def test_places_against_plain_python(spark, n):
+    """The Feistel network and its cycle walking once more, number by number."""
+    a = next(k for k in range(1, n + 1) if k * k >= n)
+    b = -(-n // a)
+
+    def permute(v):
+        left, right = v % a, v // a
+        for j in range(sh.ROUNDS):
+            if j % 2:
+                right = (right + _hash(9, j, left)) % b
+            else:
+                left = (left + _hash(9, j, right)) % a
+        return left + a * right
+
+    def place(v):
+        v = permute(v)
+        while v >= n:
+            v = permute(v)
+        return v
+
+    got = spark.range(n).select("id", sh.place(F.col("id"), n, sh.walk_length(spark, n, 9), 9).alias("p")).collect()
+    assert {r.id: r.p for r in got} == {v: place(v) for v in range(n)}
+
+
 def test_sharding(spark):
     out = sh.shard_documents(_docs(spark, ODD))
     rows = out.collect()
