@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -25,3 +26,10 @@ def shared_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "spark-shared")
     return base.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: for what several branches of a plan read, so that it is computed once."""
+    path = f"{shared_root(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK, fold_words
+from ..functions.workers import stored
 from ..schema import COUNTS, Catalog, SearchRequest
 from .filters import LONG, MAX_TOKENS, active, apply_filters
 
 #: Up to so many distinct postings (short strings) of a batch's tokens are broadcast.
 FEW_POSTINGS = 100_000
+#: Up to so many are pushed down to the scan of the postings.
+PUSHED_POSTINGS = 200
 #: mode: columns of the order; equal rows are told apart by item_id
 SORTS = {
     "published_desc": ("-published_at", "-item_id"),
@@ -111,7 +115,12 @@ def token_hits(tokens: DataFrame, docs: DataFrame, index: DataFrame | None = Non
     )
     wanted = tokens.select("token", "low", long.alias("verify"), F.explode(F.array_distinct(keys)).alias("posting"))
     asked = wanted.select("posting").distinct()
-    index = (postings(docs) if index is None else index).join(F.broadcast(asked) if asked.count() <= FEW_POSTINGS else asked, "posting", "left_semi")
+    index = postings(docs) if index is None else index
+    names = [r["posting"] for r in asked.limit(PUSHED_POSTINGS + 1).collect()]
+    if 0 < len(names) <= PUSHED_POSTINGS:  # equalities reach the scan, which skips pages of a sorted index
+        index = index.where(reduce(lambda a, b: a | b, (F.col("posting") == n for n in names)))
+    else:
+        index = index.join(F.broadcast(asked) if asked.count() <= FEW_POSTINGS else asked, "posting", "left_semi")
     sizes = wanted.join(index.groupBy("posting").agg(F.count("*").alias("n")), "posting", "left").fillna(0, ["n"])
     rarest = sizes.groupBy("token", "low", "verify").agg(F.min_by("posting", F.struct("n", "posting")).alias("posting"))
     met = rarest.join(index, "posting").select("token", "low", "verify", "item_id")
@@ -141,7 +150,8 @@ def search_batch(catalog: Catalog, requests: DataFrame, docs: DataFrame, index:
     positive = facets.where("mode <> 'not'").select("query_id", "cond").unionByName(texts.select("query_id", "cond")).distinct()
     open_ = requests.select("query_id").join(positive, "query_id", "left_anti").select("query_id", everything)
     needed = positive.unionByName(open_)
-    hits = linked.unionByName(worded)
+    hits = stored(linked.unionByName(worded))
+    barred = facets.where("mode = 'not'").select("query_id", "cond").join(hits, "cond").select("query_id", "item_id").distinct()
     if not open_.isEmpty():
         hits = hits.unionByName(active(catalog.items).select(everything, "item_id"))
     sizes = hits.groupBy("cond").agg(F.count("*").alias("size"))
@@ -151,7 +161,6 @@ def search_batch(catalog: Catalog, requests: DataFrame, docs: DataFrame, index:
     more = found.where(F.size("rest") > 0).select("query_id", "item_id", F.size("rest").alias("due"), F.explode("rest").alias("cond"))
     more = more.join(hits, ["cond", "item_id"]).groupBy("query_id", "item_id", "due").agg(F.count("*").alias("n")).where("n = due").select("query_id", "item_id")
     found = found.where(F.size("rest") == 0).select("query_id", "item_id").unionByName(more)
-    barred = facets.where("mode = 'not'").select("query_id", "cond").join(linked, "cond").select("query_id", "item_id").distinct()
     found = found.join(barred, ["query_id", "item_id"], "left_anti")
     return _in_range(active(catalog.items), found, requests)
 
