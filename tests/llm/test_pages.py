@@ -28,6 +28,33 @@ def test_rules(spark):
     assert ul.judge(df.limit(0)).count() == 0
 
 
+def test_rules_against_plain_python(spark):
+    rnd = random.Random(3)
+    part = lambda xs: rnd.choice(xs)
+    urls = [
+        part(("http", "HTTPS", "", "x:y")) + part(("://", "://", "://", ":/", "")) + part(("", "a.", "B.c.", "not")) + part(("example.net", "EXAMPLE.com", "net", "org", "example.org:8", "é.net", ""))
+        + part(("", "/", "/en", "/en/", "/EN/", "/de/x", "/fr/", "//fr/")) + part(("", "?a=/b://c", "#f?", "/z"))
+        for _ in range(600)
+    ]
+
+    def model(url):
+        host = path = ""
+        if "://" in url:
+            rest = url.split("://", 1)[1]
+            cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+            host, rest = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+            path = rest[: min([rest.index(c) for c in "?#" if c in rest] or [len(rest)])]
+        fits = [(len(r), r, v) for r, v in ul.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith(f".{h}")) and path.startswith(f"/{p}")]
+        return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+    rows = ul.judge(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        host, path, rule, verdict = model(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.p_block > 0.5 else "allow"))
+    assert {r.rule for r in rows} == {None, *(r for r, _ in ul.RULES)}
+
+
 def test_trees_learn_from_labelled_urls(spark):
     rows = [(f"https://shop{k}.example.com/a/{k}", 0) for k in range(200)] + [(f"http://win-{k * 7919}-{k}.example.com/free?id={k}&x=1&y=2", 1) for k in range(200)]
     labelled = spark.createDataFrame(rows, "url string, label int")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+from tessera.llm.common import materialise
 
 
 def test_pipeline(spark, tmp_path):
@@ -27,7 +28,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     frame, seen = cp.table(spark, sf, "documents"), {}
     for name, stage in cp.STAGES:
-        frame = cp.materialise(stage(spark, frame, sf))
+        frame = materialise(stage(spark, frame, sf))
         seen[name] = Counter(r.doc_id for r in frame.collect())
         if name != "sharding":
             assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
