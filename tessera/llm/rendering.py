@@ -2,8 +2,9 @@
 
 A tokenizer feeds a tree builder that supplies the end tags HTML lets authors leave out (p, li, dt, dd, option, tr, td,
 th, thead, tbody, tfoot, caption) and ignores end tags without a start. Rules on tags and attributes say what is visible:
-no head matter, script, style, template, noscript and the like; nothing hidden by ``hidden``, ``aria-hidden`` or an inline
-``display:none`` / ``visibility:hidden``. The renderer walks the tree and emits all visible text: white space collapses
+no head matter, script, style, template, noscript and the like; nothing hidden by ``hidden``, ``aria-hidden``, an inline ``display:none``
+or a ``dialog`` that is not open; ``visibility`` is inherited, so what an element within a hidden one shows again is visible.
+Buttons and text fields show their value. The renderer walks the tree and emits all visible text: white space collapses
 outside ``pre``; blocks begin on new lines and paragraphs, headings, lists and tables are set off by an empty line; list items get
 ``- `` or their number and the indent of their nesting; table cells are padded so that columns align and separated by
 `` | `` (cells keep their own lines, lists and tables); what a table holds outside its cells comes before it.
@@ -30,7 +31,7 @@ from .common import table, with_workers
 WIDEST = 60
 #: Tables within more tables than this are set without columns, each cell on its own lines.
 NESTED = 16
-#: Elements nested deeper than this become siblings.
+#: Elements nested deeper than this become siblings, as in browsers; no text is lost, and what is hidden stays hidden.
 DEEPEST = 512
 # ---- fixed values of HTML
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,19 +58,22 @@ _IMPLIED = {
     "option": ({"option"}, {"select", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: Kinds of input that show their value.
+_FIELDS = frozenset("submit button reset text search email url tel number".split())
 # ---- end of fixed values
 _TABLE_PARTS = frozenset("tr td th thead tbody tfoot".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'){0,2000}+)>|<[!?/][^<>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^<>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*+)*+)>|<[!?/][^<>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([\w-]+)", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "attrs")
+    __slots__ = ("tag", "parts", "attrs", "shown")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.parts = tag, attrs, []
+    def __init__(self, tag: str, attrs: str = "", shown: bool = True):
+        self.tag, self.attrs, self.shown, self.parts = tag, attrs, shown, []
 
     def get(self, name: str) -> str | None:
         for m in _ATTR.finditer(self.attrs):
@@ -78,16 +82,25 @@ class Node:
         return None
 
 
-def _hidden(tag: str, attrs: str) -> bool:
-    if tag in _UNSEEN:
-        return True
-    if not attrs or not any(x in attrs.lower() for x in ("hidden", "style", "dialog")):
-        return False
+def _looks(tag: str, attrs: str) -> tuple[bool, bool | None]:
+    """Whether an element is out of sight with all that it holds; the visibility that it sets, if any."""
+    gone, shown = tag in _UNSEEN or tag == "dialog", None
+    low = attrs.lower()
+    if not any(x in low for x in ("hidden", "style", "open")):
+        return gone, shown
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDES.search(value)):
-            return True
-    return tag == "input"
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return True, shown
+        if name == "open" and tag == "dialog":
+            gone = False
+        if name == "style":
+            display, visibility = _DISPLAY.findall(value), _VISIBILITY.findall(value)  # the last one holds
+            if display and display[-1].lower() == "none":
+                return True, shown
+            if visibility:
+                shown = {"hidden": False, "collapse": False, "visible": True}.get(visibility[-1].lower())
+    return gone, shown
 
 
 def build(html: str) -> Node:
@@ -99,7 +112,7 @@ def build(html: str) -> Node:
     while True:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
-        if text and not unseen:
+        if text and not unseen and stack[-1].shown:
             stack[-1].parts.append(unescape(text) if "&" in text else text)
         if not m:
             return root
@@ -136,9 +149,9 @@ def build(html: str) -> Node:
             if cut:
                 unseen -= sum(n.tag == "-" for n in stack[cut:])
                 del stack[cut:], open_tags[cut:]
-        hidden = _hidden(tag, m[3])
-        node = Node("-" if hidden else tag, m[3])
-        if not unseen and not hidden:
+        hidden, shown = _looks(tag, m[3])
+        node = Node("-" if hidden else tag, m[3], stack[-1].shown if shown is None else shown)
+        if not unseen and not hidden and (node.shown or tag not in ("img", "hr", "input")):
             stack[-1].parts.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK | _RAW:
             continue
@@ -149,14 +162,14 @@ def build(html: str) -> Node:
                 unclosed.add(tag)
             if end < 0 and tag in ("title", "textarea"):
                 continue
-            if not hidden and not unseen:
+            if not hidden and not unseen and node.shown:
                 raw = html[at : end if end >= 0 else len(html)]
                 node.parts.append(unescape(raw) if tag == "textarea" else raw)
             at = html.find(">", end) + 1 if end >= 0 else len(html)
             if not at:
                 return root
             continue
-        if len(stack) >= DEEPEST and (unseen or not hidden):
+        if len(stack) >= DEEPEST and (unseen or not hidden and node.shown == stack[-1].shown):
             below[tag] += bool(unseen)
             continue
         stack.append(node)
@@ -361,6 +374,10 @@ def _lines(root: Node, done: dict[int, list[str]]) -> list[str]:
         elif x.tag == "img":
             if alt := x.get("alt"):
                 out.text(alt)
+        elif x.tag == "input":
+            kind = (x.get("type") or "text").lower()
+            if value := x.get("alt" if kind == "image" else "value") if kind == "image" or kind in _FIELDS else None:
+                out.text(f" {value} ")
         elif x.tag == "table" and id(x) in done:
             out.stop(2)
             for line in done[id(x)]:
