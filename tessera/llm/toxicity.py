@@ -15,7 +15,7 @@ of doc_id, so reruns agree. Executors turn them into hashed features; the driver
 penalty (accelerated proximal gradient). Scoring is one pass over the documents without a shuffle; what is broadcast is the
 list of non-zero weights, at most 2**BITS.
 
-Defined results: a null, empty or blank text has no words and severity 0; unlabelled and null-labelled rows train
+Defined results: of the texts of a repeated id one trains (that with the smallest hash); a null, empty or blank text has no words and severity 0; unlabelled and null-labelled rows train
 nothing; a document whose labels disagree counts as toxic; without both labels in the sample all weights are 0 and
 severity is 0; repeated rows are scored each; other columns pass through ``score`` (``severity``, ``grade`` and
 ``toxic`` of the input are replaced).
@@ -146,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picks = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * sample rows of two numbers
-    texts = docs.select("doc_id", "text").join(picks, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    texts = docs.select("doc_id", "text").join(picks, "doc_id").groupBy("doc_id").agg(  # an id may be repeated
+        F.first(F.col("toxic").cast("int")).alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")
+    )
     rows = texts.mapInArrow(_features, "doc_id long, toxic int, slots array<int>, vals array<float>").toArrow().combine_chunks()
     rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     slots, values = rows["slots"].combine_chunks(), rows["vals"].combine_chunks()
