@@ -172,3 +172,54 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle_manifest(docs, F.col("source"), F.col("doc_id"), leaf(*values), doc_id=F.col("doc_id"), changed=changed)
     made = made.withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("path")))
     return made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: ``paths`` has a row for each node and level; levels of the tree over sources count from 1000 on. The checksum's lowest bit is found bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE fields AS (
+  SELECT *, coalesce('=' || source, '') AS g, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    replace(text, chr(10), '') AS flat,
+    list_reduce(range(8 * strlen(doc_id::VARCHAR)), lambda c, i: xor(
+        xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END) >> 1,
+        xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END) % 2 * 3988292384), 4294967295::BIGINT) AS crc
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+         CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(flat) || ':' || flat, '-')) END AS changed
+  FROM fields
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves),
+nodes AS (
+  SELECT 0 AS level, g, pos, h FROM placed
+  UNION ALL
+  SELECT any_value(level) + 1, g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM nodes) WHERE n > 1 GROUP BY g, pos // 3
+),
+subroots AS (SELECT g, arg_max(h, level) AS h, max(level) AS height, row_number() OVER (ORDER BY g) - 1 AS pos FROM nodes GROUP BY g),
+tops AS (
+  SELECT 1000 AS level, pos, h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY pos // 3
+),
+root AS (SELECT arg_max(h, level) AS root, max(level) AS height FROM tops),
+runs AS (
+  SELECT level, g, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM nodes GROUP BY level, g, pos // 3
+  UNION ALL SELECT level, NULL, pos // 3, list(h ORDER BY pos) FROM tops GROUP BY level, pos // 3
+),
+steps AS (
+  SELECT p.doc_id, p.g, p.pos, r.level, array_to_string(r.hs[:(p.pos // pow(3, r.level)::BIGINT) % 3], '') AS l, array_to_string(r.hs[(p.pos // pow(3, r.level)::BIGINT) % 3 + 2:], '') AS rest
+  FROM placed p JOIN subroots s ON p.g = s.g JOIN runs r ON r.g = p.g AND r.level < s.height AND r.run = p.pos // pow(3, r.level + 1)::BIGINT
+  UNION ALL
+  SELECT p.doc_id, p.g, p.pos, r.level, array_to_string(r.hs[:(s.pos // pow(3, r.level - 1000)::BIGINT) % 3], ''), array_to_string(r.hs[(s.pos // pow(3, r.level - 1000)::BIGINT) % 3 + 2:], '')
+  FROM placed p JOIN subroots s ON p.g = s.g JOIN root ON true JOIN runs r ON r.g IS NULL AND r.level < root.height AND r.run = s.pos // pow(3, r.level - 999)::BIGINT
+),
+paths AS (SELECT g, pos, list({'l': l, 'r': rest} ORDER BY level) AS path FROM steps GROUP BY g, pos),
+folds AS (
+  SELECT p.g, p.pos, 0 AS done, coalesce(changed, h) AS h, coalesce(path, []) AS path FROM placed p LEFT JOIN paths USING (g, pos)
+  UNION ALL
+  SELECT g, pos, done + 1, sha256(path[done + 1].l || h || path[done + 1].r), path FROM folds WHERE done < len(path)
+)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root, sha256(array_to_string(list_transform(f.path, lambda x: x.l || x.r), '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p JOIN subroots s ON p.g = s.g JOIN folds f ON f.g = p.g AND f.pos = p.pos AND f.done = len(f.path) JOIN root ON true
+"""

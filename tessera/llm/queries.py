@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op2_cgk_decontamination
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import OP9_SQL, op9_source_mixing
+from .negatives import OP13_SQL, op13_hard_negatives
 from .neardup import op4_tensored_minhash
 from .oracles import OP4_SQL, OP5_SQL
 from .pii import op3_pii_deobfuscation
+from .planes import op12_bit_planes
 from .rendering import op6_layout_rendering
 from .sharding import op7_feistel_sharding
 from .toxicity import op10_ordinal_toxicity
@@ -31,8 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_source_mixing": op9_source_mixing,
         "op10_ordinal_toxicity": op10_ordinal_toxicity,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_bit_planes": op12_bit_planes,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tensored_minhash": OP4_SQL, "op5_rotation_codes": OP5_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op4_tensored_minhash": OP4_SQL, "op5_rotation_codes": OP5_SQL, "op9_source_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_hard_negatives": OP13_SQL}
