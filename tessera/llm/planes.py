@@ -18,7 +18,9 @@ then the manifest is written, and what is left under temporary names is removed.
 
 Defined results: a null text is an empty one and has the end id only; a null id comes first; rows with equal ids are documents of their
 own in the order of the hashes of their texts; an empty table writes no file; columns but the id and the text are not read, whatever their names.
-Tokenizers see a whole text at once, so the longest text bounds the memory of a task, beside one block and the index of its documents.
+The longest text bounds the memory of a task, beside one block and the index of its documents. Where a tokenizer keeps words apart, as the default one
+does, no token spans two words, or a word and the signs at its end; then each distinct one of a span of texts is encoded once, which gives the same ids
+(a probe decides, tests compare).
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -43,8 +48,8 @@ BLOCK = 1 << 16
 END_ID = 1
 LEVEL = 3
 MAGIC = b"TPL1"
-#: Texts that are encoded at a time, in characters; a longer text is encoded by itself.
-SPAN = 1 << 18
+#: Texts that are encoded at a time, in bytes; a longer text is encoded by itself.
+SPAN = 4 << 20
 _TAIL = struct.Struct("<QQQQII4s")
 _CHUNK = np.dtype([("place", "<u8"), ("ids", "<u4"), ("planes", "<u4"), ("crc", "<u4")])
 _TEMP = "_temporary_ids"
@@ -186,40 +191,121 @@ class PlaneReader:
             yield doc_id, int(start), int(end - start), crc
 
 
-def _encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def _spans(texts: list[str], span: int) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text) > span:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
-
-
-def _writer(out: str, path: str, block: int, bits: int, end_id: int):
+#: ASCII signs that end a word but belong to no mark of a contraction and no special token; and what may stand before them.
+_SIGNS = ".,;:!?*&%$#"
+_BEFORE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\u00e0\u00e1\u00e2\u00e3\u00e4\u00e7\u00e8\u00e9\u00ea\u00eb\u00ed\u00ee\u00ef\u00f1\u00f3\u00f4\u00f6\u00fa\u00fb\u00fc\u00df")
+#: Stands between words that are encoded together; a word that holds it is encoded by itself.
+_MARK = "\0"
+
+
+class Encoder:
+    """Encodes whole texts. Where the tokenizer allows it (``pieces``), words between ASCII white space, and signs that end a
+    word, are encoded by themselves and each distinct one once: most of a corpus are repeated. They are kept, up to ``KEPT`` at a time."""
+
+    KEPT = 600_000
+
+    def __init__(self, path: str, pieces: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), pieces
+        mark = self.ids([_MARK])[0] if pieces else []
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.length, self.start = {"": 0}, [], [np.zeros(1, np.int64)], 0
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of new words, many of which are encoded as one text."""
+        plain = [w for w in words if _MARK not in w] if self.mark is not None else []
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
+            ids = np.array(self.ids([f" {_MARK} ".join(part)])[0], dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("this tokenizer does not keep words apart")
+            self._add(part, np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        rest = [w for w in words if _MARK in w] if self.mark is not None else words
+        if rest:
+            found = self.ids(rest)
+            self._add(rest, np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _add(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.flat.append(ids)
+        self.length.append(length)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (no nulls)."""
+        if not self.pieces:
+            yield from (np.array(ids, dtype="<u4") for ids in self.ids(texts.to_pylist()))
+            return
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > self.KEPT:
+            self._forget()
+        cores = [w.rstrip(_SIGNS) for w in words]
+        cores = [c if c and c[-1] in _BEFORE else w for c, w in zip(cores, words, strict=True)]
+        signs = [w[len(c) :] for c, w in zip(cores, words, strict=True)]
+        if new := list(dict.fromkeys(w for w in chain(cores, signs) if w not in self.known)):
+            self._learn(new)
+            self.flat, self.length = [np.concatenate(self.flat)], [np.concatenate(self.length)]
+        length = self.length[0]
+        start, every = np.cumsum(length) - length, self.flat[0] if self.flat else np.zeros(0, "<u4")
+        pair = np.array([[self.known[w] for w in side] for side in (cores, signs)], dtype=np.int64).reshape(2, -1).T
+        index = pair[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = length[index]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = every[np.repeat(start[index] - end[:-1], n) + np.arange(end[-1])]
+        cuts = end[2 * np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield ids[a:b]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, pieces: bool) -> Encoder:
+    """The encoder of a Python worker: the tasks that it runs one after another share what it knows."""
+    return Encoder(path, pieces)
+
+
+def keeps_words_apart(path: str) -> bool:
+    """Whether the tokenizer file gives for a text what it gives for its words and the signs at their ends, one after another."""
+    encoder = Encoder(path, pieces=False)
+    probe = " It's\tone  \x0b3.5% of\r\n\x0c\x0cdon't. \n\n <|endoftext|>x e\u0301 \u0301a\u00a0b \u6f22\u5b57\u3000\U0001f600 \u03a3\u03a3 . ... 's \0 a\0b " + " ".join(f"Word{x} {y}{x}{x}" for x in _SIGNS for y in "a9\u00e9")
+    whole, split = encoder.ids([probe, *probe.split(" ")])[0], encoder.ids(probe.split())
+    signs = all(encoder.ids([f"{y}{x}{x}"])[0] == [*encoder.ids([y])[0], *encoder.ids([x + x])[0]] for x in _SIGNS for y in sorted(_BEFORE))
+    return signs and whole == [x for ids in split for x in ids]
+
+
+def _spans(texts: pa.Array, span: int) -> Iterator[pa.Array]:
+    """Runs of about ``span`` bytes of whole texts."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + span, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def _writer(out: str, path: str, pieces: bool, block: int, bits: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out)
-        shard, writer, tokenizer = TaskContext.get().partitionId(), None, None
+        shard, writer, encoder = TaskContext.get().partitionId(), None, None
         for batch in batches:
             if writer is None and batch.num_rows:
                 name = f"ids-{shard:06d}.planes"
                 temp = f"{_TEMP}/{name}.{uuid4().hex}"
                 store.create_dir(f"{root}/{_TEMP}", recursive=True)
-                writer, tokenizer = PlaneWriter(store.open_output_stream(f"{root}/{temp}", compression=None), block, bits), _encoder(path)
-            names, n = batch.column("doc_id"), 0
-            for texts in _spans([x or "" for x in batch.column("text").to_pylist()], SPAN):
-                for encoded in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                    writer.add(names[n].as_py(), np.array([*encoded.ids, end_id], dtype="<u4"))
-                    n += 1
+                writer, encoder = PlaneWriter(store.open_output_stream(f"{root}/{temp}", compression=None), block, bits), _encoder(path, pieces)
+            names = iter(batch.column("doc_id").to_pylist())
+            for texts in _spans(batch.column("text").fill_null(""), SPAN):
+                for ids in encoder.encode(texts):
+                    writer.add(next(names), np.append(ids, np.uint32(end_id)))
         rows = []
         if writer:
             writer.close()
@@ -253,7 +339,8 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: i
     # the row number deals equal rows to several tasks; which of them comes first does not matter
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     dealt = keyed.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text")
-    written = materialise(dealt.mapInArrow(_writer(out, tokenizer or tokenizer_path(), block, bits, end_id), MANIFEST))
+    path = tokenizer or tokenizer_path()
+    written = materialise(dealt.mapInArrow(_writer(out, path, keeps_words_apart(path), block, bits, end_id), MANIFEST))
     _dealt(written).mapInArrow(_renamer(out), MANIFEST).write.mode("overwrite").parquet(f"{out}/manifest")
     store, root = fs.FileSystem.from_uri(out)
     if store.get_file_info(f"{root}/{_TEMP}").type != fs.FileType.NotFound:

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,19 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in planes.read_ids(spark, again).orderBy("start").collect()] == [tuple(r) for r in got]
 
 
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_pieces(name, drops):
+    """Encoding word by word gives what encoding whole texts gives, if the tokenizer keeps words apart."""
+    path, rng = planes.tokenizer_path(name), np.random.default_rng(1)
+    assert planes.keeps_words_apart(path) == drops
+    parts = [*"aZ9.'\u0301\u00e9\u03a3\u6f22\U0001f600\x1c\x85\u00a0\u200b\u3000<|>_", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r\n", "'s", "<|endoftext|>", "<|startoftext|>", "word", "don't", "\u2000", "\u0130", "x" * 300, ".", ",", "...", "!?", "\x00", " \x00 ", "'S", "e.", "a'", "%"]
+    texts = ["", " ", *("".join(rng.choice(parts, size=int(rng.integers(1, 60)))) for _ in range(3000))]
+    encoder, whole = planes.Encoder(path, drops), planes.Encoder(path, False)
+    encoder.KEPT = 50
+    got = [ids for span in planes._spans(pa.array(texts), 5000) for ids in encoder.encode(span)]
+    assert [x.tolist() for x in got] == whole.ids(texts)
+
+
 def test_token_files_of_nothing(spark):
     out = common.shared_dir(spark)
     assert planes.write_ids(spark.createDataFrame([], "doc_id long, text string"), out).count() == 0
