@@ -1,10 +1,20 @@
-"""Weighted neighbours of items, for any set of sources at once."""
+"""Weighted neighbours of items, for any set of sources at once.
+
+Pairs of items that share an entity grow with the square of its fan-out, so only *light* entities are expanded into pairs. For the *heavy* ones of a
+source (its ``MOST_HEAVY`` largest; further ones are expanded too) two facts are used. An item that shares no expanded entity with the source scores
+exactly the weight of the heavy entities that both have; and of the items that have the same set of them only the best by popularity can
+be among the first ``limit``. So every item enters the lists of all subsets of its heavy entities, a list keeps ``limit + 1`` items (one
+may be the source itself), and a source looks up the lists of its own subsets. Candidates whose upper bound (what they have, and all
+heavy entities of the source) lies below the ``limit``-th lower bound are dropped, and only the rest are scored in full from the items' arrays of heavy entities.
+Rows before the final ranking are so bounded by the number of sources, whatever the fan-outs; a hot creator, for whom no cap holds, is one list.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import stored
 from ..schema import Catalog
 from .filters import active
 from .scoring import popularity
@@ -12,6 +22,10 @@ from .scoring import popularity
 #: Up to so many sources, or entities of sources, are broadcast to the scan of links.
 FEW = 200_000
 WEIGHTS = {"authors": 10, "characters": 5, "origins": 5, "tags": 1}
+#: Entities on more items are heavy.
+LIGHT = 100
+#: An item enters 2 ** n - 1 lists for n heavy entities; an item with more than so many is no member of lists but met by each entity.
+MOST_HEAVY = 6
 
 
 def fanout_cap(catalog: Catalog) -> DataFrame:
@@ -23,26 +37,95 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
-def related_items(catalog: Catalog, sources: DataFrame | None = None, limit: int = 12) -> DataFrame:
-    """(source_id, rank, item_id, score): items that share a creator (10), characters, origins (5 each) and tags (1).
+def _code() -> Column:
+    """A kind and an entity as one number, whose last two bits are the kind (ids have 53 bits at most)."""
+    return F.coalesce(*(F.when(F.col("kind") == k, F.col("entity_id") * len(WEIGHTS) + n) for n, k in enumerate(WEIGHTS)))
 
-    With ``sources`` only the links of their entities are read on. Entities but creators on more active items than the cap are ignored; they are filtered before the self-join, so an entity makes
-    at most its own fan-out of rows for each source. Scores are summed with partial aggregation; the best of a
-    source are kept by a window that Spark prunes early (WindowGroupLimit).
-    """
-    items = active(catalog.items).select("item_id", popularity().alias("popularity"))
+
+def _weight(code: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(w) for w in WEIGHTS.values())), (F.pmod(code, F.lit(len(WEIGHTS))) + 1).cast("int"))
+
+
+def _weights(codes: Column) -> Column:
+    return F.aggregate(codes, F.lit(0), lambda total, c: total + _weight(c))
+
+
+def _subsets(codes: str) -> Column:
+    """All subsets but the empty one of a short sorted array."""
+    return F.explode(F.expr(f"transform(sequence(1, shiftleft(1, size({codes})) - 1), m -> filter({codes}, (x, i) -> shiftright(m, i) % 2 = 1))"))
+
+
+def usable_links(catalog: Catalog, sources: DataFrame | None) -> DataFrame:
+    """(item_id, code, n) of active items: entities on more active items (``n``) than the cap are left out but for creators, so are those on one item,
+    and with ``sources`` those of no source."""
     links = catalog.links
     if sources is not None:
-        sources = sources.select("item_id").distinct()
         links = links.join(_few(links.join(_few(sources), "item_id", "left_semi").select("kind", "entity_id").distinct()), ["kind", "entity_id"], "left_semi")
-    links = links.join(items.select("item_id"), "item_id", "left_semi")
-    sizes = links.where("kind <> 'authors'").groupBy("kind", "entity_id").agg(F.count("*").alias("n"))
-    cap = fanout_cap(catalog)
-    hot = sizes.join(F.broadcast(cap), F.col("n") > F.col("cap")).select("kind", "entity_id")  # ``cap`` is one row
-    links = links.join(hot, ["kind", "entity_id"], "left_anti")
+    links = links.join(active(catalog.items).select("item_id"), "item_id", "left_semi").where(F.col("kind").isin(*WEIGHTS))
+    sizes = links.groupBy("kind", "entity_id").agg(F.count("*").alias("n")).where("n > 1")
+    usable = sizes.join(F.broadcast(fanout_cap(catalog)), (F.col("kind") == "authors") | (F.col("n") <= F.col("cap")))  # ``cap`` is one row
+    return links.join(usable.select("kind", "entity_id", "n"), ["kind", "entity_id"]).select("item_id", _code().alias("code"), "n")
+
+
+def heavy_entities(links: DataFrame, light: int) -> DataFrame:
+    """(item_id, codes): an item's heavy entities, the largest first."""
+    sized = F.sort_array(F.collect_list(F.struct("n", "code")), asc=False)
+    return links.where(F.col("n") > light).groupBy("item_id").agg(sized.getField("code").alias("codes"))
+
+
+def candidates(links: DataFrame, items: DataFrame, sources: DataFrame | None, limit: int, light: int = LIGHT, most: int = MOST_HEAVY) -> tuple[DataFrame, DataFrame]:
+    """Pairs (source_id, item_id, known, met) among which the first ``limit`` of every source are, and (source_id, kept, may) of the sources with heavy entities.
+
+    ``known`` is the weight of shared entities that were expanded, ``met`` a part of what else they share; ``kept`` are the
+    entities of a source that were not expanded, ``may`` is their weight.
+    """
+    profile = heavy_entities(links, light)
+    rich = profile.where(F.size("codes") > most)
+    asking = (profile if sources is None else profile.join(sources, "item_id", "left_semi")).withColumnRenamed("item_id", "source_id")
     wanted = links if sources is None else links.join(sources, "item_id", "left_semi")
-    weight = F.coalesce(*(F.when(F.col("kind") == k, w) for k, w in WEIGHTS.items()))
-    pairs = wanted.withColumnRenamed("item_id", "source_id").join(links, ["kind", "entity_id"]).where("item_id <> source_id")
-    scores = pairs.groupBy("source_id", "item_id").agg(F.sum(weight).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("score").desc(), F.col("popularity").desc(), F.col("item_id").desc()))
-    return scores.join(items, "item_id").withColumn("rank", rank).where(F.col("rank") <= limit).select("source_id", "rank", "item_id", "score")
+    opened = wanted.where(F.col("n") <= light).select(F.col("item_id").alias("source_id"), "code")
+    crowded = not rich.isEmpty()
+    if crowded:
+        opened = opened.unionByName(asking.select("source_id", F.explode(F.slice("codes", most + 1, 1 << 30)).alias("code")))
+    others = links.select("item_id", "code")
+    pairs = opened.join(others, "code").where("item_id <> source_id")
+    found = pairs.groupBy("source_id", "item_id").agg(F.sum(_weight(F.col("code"))).alias("known")).withColumn("met", F.lit(0))
+
+    asking = asking.select("source_id", F.sort_array(F.slice("codes", 1, most)).alias("kept"))
+    asked = asking.select("source_id", _subsets("kept").alias("subset"))
+    owned = profile.where(F.size("codes") <= most).select("item_id", F.sort_array("codes").alias("codes")).select("item_id", _subsets("codes").alias("subset"))
+    if sources is not None:
+        owned = owned.join(_few(asked.select("subset").distinct()), "subset", "left_semi")
+    best = F.row_number().over(Window.partitionBy("subset").orderBy(F.desc("popularity"), F.desc("item_id")))
+    tops = owned.join(items, "item_id").withColumn("_rank", best).where(F.col("_rank") <= limit + 1)
+    lists = tops.groupBy("subset").agg(F.collect_list("item_id").alias("ids"))
+    listed = asked.join(lists, "subset").select("source_id", F.explode("ids").alias("item_id"), F.lit(0).alias("known"), _weights(F.col("subset")).alias("met"))
+    found = found.unionByName(listed.where("item_id <> source_id"))
+    if crowded:
+        near = rich.select("item_id", F.explode("codes").alias("code"))
+        met = asking.select("source_id", F.explode("kept").alias("code")).join(near, "code").where("item_id <> source_id")
+        found = found.unionByName(met.select("source_id", "item_id", F.lit(0).alias("known"), _weight(F.col("code")).alias("met")))
+    found = found.groupBy("source_id", "item_id").agg(F.sum("known").alias("known"), F.max("met").alias("met"))
+    return found, asking.withColumn("may", _weights(F.col("kept")))
+
+
+def related_items(catalog: Catalog, sources: DataFrame | None = None, limit: int = 12, light: int = LIGHT, most: int = MOST_HEAVY) -> DataFrame:
+    """(source_id, rank, item_id, score): items that share a creator (10), characters, origins (5 each) and tags (1); by score, popularity and id.
+
+    Entities but creators on more active items than the cap are ignored. With ``sources`` only the links of their entities are read on.
+    """
+    items = active(catalog.items).select("item_id", popularity().alias("popularity"))
+    if sources is not None:
+        sources = sources.select("item_id").distinct().join(items.select("item_id"), "item_id", "left_semi")
+    links = stored(usable_links(catalog, sources))
+    found, asking = candidates(links, items, sources, limit, light, most)
+    low = F.col("known") + F.col("met")
+    of_source = Window.partitionBy("source_id")
+    found = found.join(asking, "source_id", "left").withColumn("_place", F.row_number().over(of_source.orderBy(low.desc())))
+    line = F.max(F.when(F.col("_place") == limit, low)).over(of_source)
+    found = found.withColumn("_line", line).where(F.col("known") + F.coalesce("may", F.lit(0)) >= F.coalesce("_line", F.lit(0)))
+    whole = found.join(items, "item_id").join(heavy_entities(links, light), "item_id", "left")
+    shared = F.coalesce(_weights(F.array_intersect("kept", "codes")), F.lit(0))
+    scored = whole.select("source_id", "item_id", "popularity", (F.col("known") + shared).cast("long").alias("score"))
+    rank = F.row_number().over(of_source.orderBy(F.col("score").desc(), F.col("popularity").desc(), F.col("item_id").desc()))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("source_id", "rank", "item_id", "score")

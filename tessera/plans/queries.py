@@ -328,9 +328,16 @@ scored AS (SELECT s.item_id AS source_id, o.item_id, sum(CASE s.kind WHEN 'autho
 SELECT source_id, rank, item_id, score FROM (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, popularity DESC, c.item_id DESC) AS rank FROM scored c JOIN active a ON a.item_id = c.item_id) WHERE rank <= 12"""
 
 
-@query("related_items", _RELATED.format(with_=WITH, where="s.item_id = 101"))
+@query("related_items", _RELATED.format(with_=WITH, where="s.item_id = (SELECT min(item_id) FROM active WHERE item_id > 100)"))
 def related_one(spark, sf_dir):
-    return related_items(b.catalog(spark, sf_dir), table(spark, sf_dir, "orders").where("o_orderkey = 101").select(F.col("o_orderkey").alias("item_id")))
+    c = b.catalog(spark, sf_dir)
+    return related_items(c, fl.active(c.items).where("item_id > 100").agg(F.min("item_id").alias("item_id")))
+
+
+@query("related_catalogue", _RELATED.format(with_=WITH, where="true"))
+def related_catalogue(spark, sf_dir):
+    """The neighbours of every item."""
+    return related_items(b.catalog(spark, sf_dir))
 
 
 @query("related_all", _RELATED.format(with_=WITH, where="s.item_id % 50 = 0"))

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 import pytest
 
 from tessera.operators import rankings as rk
-from tessera.operators.related import related_items
+from tessera.operators.filters import active
+from tessera.operators.related import candidates, related_items, usable_links
+from tessera.operators.scoring import popularity
 from tessera.schema import KINDS
 
 from .catalog import NOW, WEIGHTS, World, build
@@ -84,10 +86,11 @@ def test_top_items(world):
     assert got == {c: v[:2] for c, v in want.items()}
 
 
-def test_related(world):
+@pytest.mark.parametrize(("light", "most"), [(100, 6), (1, 12), (3, 2), (0, 1), (5, 3)])
+def test_related(world, light, most):
     w, _ = world
     active, got = set(w.active()), defaultdict(list)
-    for r in related_items(w.catalog, limit=5).orderBy("source_id", "rank").collect():
+    for r in related_items(w.catalog, limit=5, light=light, most=most).orderBy("source_id", "rank").collect():
         got[r.source_id].append((r.item_id, r.score))
     want = {}
     for a in active:
@@ -102,3 +105,38 @@ def test_related_ignores_entities_on_too_many_items(spark):
     links = [(k, "tags", 8) for k in range(n)] + [(k, "characters", 9) for k in (3, 50, 77, 90)]
     out = related_items(build(spark, items, [("tags", 8, "everywhere"), ("characters", 9, "rare")], links)).collect()
     assert {(r.source_id, r.item_id, r.score) for r in out} == {(a, b, 5) for a in (3, 50, 77, 90) for b in (3, 50, 77, 90) if a != b}
+
+
+def test_related_sources_with_more_heavy_entities_than_lists_take(spark):
+    """Source 0 is no member of lists; what shares two of its entities is alone in its list."""
+    links = [(k, "characters", e) for e in range(5) for k in [0, *range(10 * e + 1, 10 * e + 9)]] + [(99, "characters", 1), (99, "characters", 2)]
+    items = [(k, "x", None, None, k, 0, "active") for k in sorted({i for i, _, _ in links})]
+    c = build(spark, items, [("characters", e, f"c{e}") for e in range(5)], links)
+    out = related_items(c, spark.createDataFrame([(0,)], "item_id long"), limit=3, light=2, most=3).orderBy("rank").collect()
+    assert [(r.item_id, r.score) for r in out] == [(99, 10), (48, 5), (47, 5)]
+
+
+def test_related_rows_grow_with_sources(spark):
+    """A creator of a third of all items, a tag at the cap and characters on many: a bounded number of candidates for each source."""
+    n = 3000
+    items = [(k, f"item {k}", 7 if k % 3 == 0 else 1000 + k, None, k * 7919 % n, 0, "active") for k in range(n)]
+    links = [(k, "tags", 1) for k in range(150)] + [(k, "characters", k * 31 % 11) for k in range(n) if k % 20 == 0] + [(k, "tags", 10 + k // 5) for k in range(n)]
+    c = build(spark, items, [("authors", 7, "hot")], links)
+    c.links = c.links.distinct()
+    made = active(c.items).select("item_id", popularity().alias("popularity"))
+    found, _ = candidates(usable_links(c, None), made, None, 12)
+    assert found.count() < 40 * n  # a third of the items alone makes n * n / 9 pairs
+    got = defaultdict(list)
+    for r in related_items(c).orderBy("source_id", "rank").collect():
+        got[r.source_id].append((r.item_id, r.score))
+    owners, counts = defaultdict(set), Counter((kind, e) for _, kind, e in {(i, k, e) for i, k, e in links})
+    for i, kind, e in {*links, *((r[0], "authors", r[2]) for r in items)}:
+        if kind == "authors" or counts[kind, e] <= n // 20:
+            owners[kind, e].add(i)
+    for source in range(0, n, 97):
+        score = Counter()
+        for (kind, _), members in owners.items():
+            if source in members:
+                score.update(dict.fromkeys(members - {source}, WEIGHTS[kind]))
+        want = sorted(score.items(), key=lambda x: (-x[1], -(x[0] * 7919 % n), -x[0]))[:12]
+        assert got[source] == want
