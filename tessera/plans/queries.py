@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..functions.workers import share_path
+from ..functions.workers import share_path, shared_root, stored
+from ..operators import commits as cm
 from ..operators import filters as fl
 from ..operators import incremental as inc
 from ..operators import merge as mg
@@ -19,11 +22,12 @@ from ..operators import search as se
 from ..operators.documents import build_search_docs, search_document
 from ..operators.related import related_items
 from ..operators.scoring import ntz, with_scores
-from ..schema import Catalog, SearchRequest
+from ..schema import FAILURES, Catalog, SearchRequest
 from ..sources import html as hx
 from ..sources.tables import table
 from ..streaming.access import access_rollup
-from ..streaming.apply import apply_outcomes
+from ..streaming import apply
+from ..streaming.apply import apply_outcomes, create_store
 from . import base as b
 from .base import AS_OF, EVENTS_NOW, FAIL_SQL, LOG_SQL, PAGES_SQL, RICH_SQL, WITH
 
@@ -361,17 +365,32 @@ def classify_listing(spark, sf_dir):
     return mg.classify_listing(rich, b.listing_batch(rich))
 
 
-@query("merge_listing", f"""{RICH_SQL} SELECT coalesce(r.item_id, b.item_id) AS item_id, coalesce(b.url, r.url) AS url, CASE WHEN b.item_id IS NULL THEN r.title ELSE b.title END AS title, r.creator_id,
+_MERGED_LISTING = f"""{RICH_SQL} SELECT coalesce(r.item_id, b.item_id) AS item_id, coalesce(b.url, r.url) AS url, CASE WHEN b.item_id IS NULL THEN r.title ELSE b.title END AS title, r.creator_id,
   CASE WHEN b.item_id IS NULL THEN r.creator_display_name ELSE b.creator_name END AS creator_display_name, coalesce(b.thumbnail_url, r.thumbnail_url) AS thumbnail_url, r.published_at,
   CASE WHEN b.item_id IS NULL THEN r.view_count ELSE b.view_count END AS view_count, CASE WHEN b.item_id IS NULL THEN r.favorite_count ELSE b.favorite_count END AS favorite_count, r.comment,
   coalesce(r.status, 'active') AS status, CASE WHEN b.item_id IS NULL THEN r.list_seen_at ELSE {_NOW} END AS list_seen_at, r.detail_fetched_at,
   CASE WHEN r.item_id IS NULL THEN {_NOW} ELSE r.created_at END AS created_at, CASE WHEN b.item_id IS NULL THEN r.updated_at ELSE {_NOW} END AS updated_at
-FROM rich r FULL JOIN batch b ON r.item_id = b.item_id""")
+FROM rich r FULL JOIN batch b ON r.item_id = b.item_id"""
+
+
+@query("merge_listing", _MERGED_LISTING)
 def merge_listing(spark, sf_dir):
     rich = b.rich_items(b.catalog(spark, sf_dir))
     return mg.merge_listing(rich, b.listing_batch(rich), NOW).select(*_ITEM_COLS)
 
 
+@query("merge_listing_parts", _MERGED_LISTING)
+def merge_listing_parts(spark, sf_dir):
+    """The same listing, merged into the parts of a stored table that it touches."""
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    log = cm.CommitLog(spark, f"{shared_root(spark)}/parts-{uuid.uuid4().hex}")
+    part = cm.id_part(width=1 << 14)
+    base = cm.create_parts(log, "items", rich, part)
+    batch = b.listing_batch(rich)
+    changes, _ = cm.merge_parts(log, base, "items", batch, part, lambda old: mg.merge_listing(old, batch, NOW))
+    return log.read("items", log.commit(base, {"items": changes})).select(*_ITEM_COLS)
+
+
 def _details(rich: DataFrame) -> DataFrame:
     """Detail records: for high ones again with one view more and no comment, for unspecified ones under new ids."""
     cols = lambda df, shift: df.select(
@@ -579,6 +598,45 @@ def stream_apply(spark, sf_dir):
     return apply_outcomes(rich, ledger, outcomes, NOW)[0].select("item_id", "status", "view_count", "detail_fetched_at")
 
 
+_STREAM_STEPS = 3
+
+
+@query("stream_commits", f"""{_DETAILS}, gone AS (SELECT item_id, url FROM rich WHERE title LIKE '3-%'), state AS (SELECT coalesce(r.item_id, d.item_id) AS item_id,
+  CASE WHEN d.item_id IS NOT NULL THEN 'active' WHEN g.item_id IS NOT NULL THEN 'missing' ELSE r.status END AS status, CASE WHEN d.item_id IS NULL THEN r.view_count ELSE d.view_count END AS view_count,
+  CASE WHEN d.item_id IS NOT NULL OR g.item_id IS NOT NULL THEN {_NOW} ELSE r.detail_fetched_at END AS detail_fetched_at FROM rich r FULL JOIN details d ON d.item_id = r.item_id LEFT JOIN gone g ON g.item_id = r.item_id)
+SELECT state.*, coalesce(u.n, 0)::INT AS attempts, {_STREAM_STEPS}::BIGINT AS runs FROM state LEFT JOIN (SELECT o_orderkey AS item_id, 1 AS n FROM orders WHERE o_orderpriority = '5-LOW') u USING (item_id)""")
+def stream_commits(spark, sf_dir):
+    """Outcomes as a stream of three micro-batches; the second is stopped between two writes, and the stream is started again."""
+    rich = b.rich_items(b.catalog(spark, sf_dir))
+    ok = _details(rich).withColumn("outcome", F.lit("ok"))
+    gone = rich.where("title like '3-%'").select("item_id", "url", F.lit("missing").alias("outcome"))
+    failed = rich.where("title like '5-LOW%'").select("item_id", "url", F.lit("error").alias("outcome"))
+    outcomes = ok.unionByName(gone, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True).withColumn("seq", F.col("item_id"))
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    parts = stored(outcomes.withColumn("_step", F.pmod(F.xxhash64("item_id"), F.lit(_STREAM_STEPS))))
+    for step in range(_STREAM_STEPS):
+        parts.where(F.col("_step") == step).drop("_step").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    create_store(cm.CommitLog(spark, f"{root}/store"), rich, spark.createDataFrame([], FAILURES))
+    source = lambda: spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def stop(epoch: int, step: str) -> None:
+        if (epoch, step) == (1, "items"):
+            raise RuntimeError("stopped between two writes")
+
+    broken = apply.stream_commits(source(), f"{root}/store", f"{root}/checkpoint", NOW, between=stop)
+    try:
+        broken.awaitTermination()
+    except StreamingQueryException:  # as asked for
+        pass
+    apply.stream_commits(source(), f"{root}/store", f"{root}/checkpoint", NOW).awaitTermination()
+    log = cm.CommitLog(spark, f"{root}/store")
+    head = log.head()
+    attempts = log.read("ledger", head).select(F.col("entity_id").cast("long").alias("item_id"), "attempts")
+    runs = log.read("runs", head).agg(F.count("*").alias("runs"))
+    items = log.read("items", head).select("item_id", "status", "view_count", "detail_fetched_at").join(attempts, "item_id", "left").fillna(0, ["attempts"])
+    return items.join(F.broadcast(runs))  # one row
+
+
 # ---------------------------------------------------------------- monitoring
 
 
