@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -102,8 +103,8 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("item_id", F.explode(F.array_distinct(grams)).alias("posting"))
 
 
-def token_hits(tokens: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(token, item_id) for distinct ``tokens`` (token), each by the rarest of its postings; ids only are joined until texts verify them."""
+def token_postings(tokens: DataFrame) -> DataFrame:
+    """(token, low, verify, posting): all postings that an item with the token has; ``verify`` if texts must be looked at besides."""
     low = F.lower("token")
     flat = F.filter(F.split(fold_words(F.col("token")), r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "")
     tokens = tokens.select("token", low.alias("low"), F.try_element_at(flat, F.lit(1)).alias("head"), F.col("token").rlike(f"^[{CJK}]+$").alias("cjk"))
@@ -113,7 +114,12 @@ def token_hits(tokens: DataFrame, docs: DataFrame, index: DataFrame | None = Non
         .when(F.col("cjk"), F.array(F.concat(F.lit("c:"), "token")))
         .when(F.col("head").isNotNull(), F.array(F.concat(F.lit("p:"), "head")))
     )
-    wanted = tokens.select("token", "low", long.alias("verify"), F.explode(F.array_distinct(keys)).alias("posting"))
+    return tokens.select("token", "low", long.alias("verify"), F.explode(F.array_distinct(keys)).alias("posting"))
+
+
+def token_hits(tokens: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(token, item_id) for distinct ``tokens`` (token), each by the rarest of its postings; ids only are joined until texts verify them."""
+    wanted = token_postings(tokens)
     asked = wanted.select("posting").distinct()
     index = postings(docs) if index is None else index
     names = [r["posting"] for r in asked.limit(PUSHED_POSTINGS + 1).collect()]
@@ -129,14 +135,16 @@ def token_hits(tokens: DataFrame, docs: DataFrame, index: DataFrame | None = Non
     return checked.select("token", "item_id").unionByName(met.where("not verify").select("token", "item_id"))
 
 
-def search_batch(catalog: Catalog, requests: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def search_batch(catalog: Catalog, requests: DataFrame, docs: DataFrame | None = None, index: DataFrame | None = None, hits_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, item_id) for ``requests``: query_id, tokens (array), title_mode, facets (array of kind, mode, ids) and, if there,
     published_from, published_to, min_views, max_views, min_favorites, max_favorites.
 
     Equal conditions of many requests are one condition, whose items are found once: a set of tokens through ``token_hits``, a facet through
-    links by id. A request begins with the condition that fewest items meet and looks its other conditions up by (condition, item);
+    links by id. ``hits_of`` gives (token, item_id) for a table of tokens, such as ``SegmentIndex.hits``; without it ``docs`` are searched. A request begins with the condition that fewest items meet and looks its other conditions up by (condition, item);
     ranges and barred facets come last. A request without text and positive facets begins with all active items.
     """
+    requests = stored(requests)  # read by every branch below
+    hits_of = hits_of or (lambda t: token_hits(t, docs, index))
     ids = F.array_sort(F.array_distinct("x.ids"))
     facets = requests.select("query_id", F.explode("facets").alias("x")).where(F.size("x.ids") > 0).select("query_id", F.xxhash64("x.kind", "x.mode", ids).alias("cond"), "x.kind", "x.mode", ids.alias("ids"))
     tokens = F.slice(F.array_distinct("tokens"), 1, MAX_TOKENS)
@@ -145,7 +153,7 @@ def search_batch(catalog: Catalog, requests: DataFrame, docs: DataFrame, index:
     each_facet = facets.dropDuplicates(["cond"]).select("cond", "kind", "mode", F.size("ids").alias("n_ids"), F.explode("ids").alias("entity_id"))
     linked = each_facet.join(catalog.links, ["kind", "entity_id"]).groupBy("cond", "item_id", "mode", "n_ids").agg(F.countDistinct("entity_id").alias("n")).where("mode <> 'all' or n = n_ids").select("cond", "item_id")
     each_text = texts.dropDuplicates(["cond"]).select("cond", "title_mode", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
-    worded = each_text.join(token_hits(each_text.select("token").distinct(), docs, index), "token").groupBy("cond", "item_id", "title_mode", "n_tokens").agg(F.count("*").alias("n")).where("title_mode = 'any' or n = n_tokens").select("cond", "item_id")
+    worded = each_text.join(hits_of(each_text.select("token").distinct()), "token").groupBy("cond", "item_id", "title_mode", "n_tokens").agg(F.count("*").alias("n")).where("title_mode = 'any' or n = n_tokens").select("cond", "item_id")
     everything = F.lit(0).cast("long").alias("cond")
     positive = facets.where("mode <> 'not'").select("query_id", "cond").unionByName(texts.select("query_id", "cond")).distinct()
     open_ = requests.select("query_id").join(positive, "query_id", "left_anti").select("query_id", everything)

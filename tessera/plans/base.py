@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.workers import shared_root
 from ..operators import merge as mg
+from ..operators.commits import CommitLog
 from ..operators.documents import build_search_docs
 from ..operators.rankings import entity_stats
 from ..operators.search import postings
+from ..operators.segments import SegmentIndex
 from ..schema import Catalog
 from ..sources.tables import load_catalog, orders_catalog, save_catalog, table
 
@@ -88,6 +90,14 @@ class ReadModel:
     def docs(self) -> DataFrame:
         return self._published("docs", lambda: build_search_docs(self.catalog()))
 
+    def segments(self) -> SegmentIndex:
+        """The search documents in an index of segments."""
+        index = SegmentIndex(CommitLog(self.spark, f"{self.root}/segments"))
+        if "segments" not in self._stored:
+            index.add(self.docs())
+            self._stored.add("segments")
+        return index
+
     def index(self) -> DataFrame:
         return self._published("index", lambda: postings(self.docs()).repartitionByRange("posting").sortWithinPartitions("posting"))
 

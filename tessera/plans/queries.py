@@ -22,6 +22,7 @@ from ..operators import search as se
 from ..operators.documents import build_search_docs, search_document
 from ..operators.related import related_items
 from ..operators.scoring import ntz, with_scores
+from ..operators.segments import SegmentIndex
 from ..schema import FAILURES, Catalog, SearchRequest
 from ..sources import html as hx
 from ..sources.tables import table
@@ -99,7 +100,6 @@ for _name, _request, _where in (
     ("facet_tag_any", SearchRequest(facets={("tags", "any"): [10, 11, 12]}), f"item_id IN {_ids('tags', '10, 11, 12')}"),
     ("facet_creator_not", SearchRequest(facets={("authors", "not"): [1, 2, 3]}), f"item_id NOT IN {_ids('authors', '1, 2, 3')}"),
     ("facet_tag_not", SearchRequest(facets={("tags", "not"): [10, 11, 12]}), f"item_id NOT IN {_ids('tags', '10, 11, 12')}"),
-    ("facet_tag_all", SearchRequest(facets={("tags", "all"): [5, 7]}), f"item_id IN {_ids('tags', '5')} AND item_id IN {_ids('tags', '7')}"),
     ("facet_origin_any_character_not", SearchRequest(facets={("origins", "any"): [3, 4], ("characters", "not"): [1, 2, 3], ("tags", "not"): [9]}, counts={"view_count": (1000, None)}), f"item_id IN {_ids('origins', '3, 4')} AND item_id NOT IN {_ids('characters', '1, 2, 3')} AND item_id NOT IN {_ids('tags', '9')} AND view_count >= 1000"),
     ("range_date", SearchRequest(days=("1998-03-01", "1998-03-31")), "published_at >= DATE '1998-03-01' AND published_at < DATE '1998-04-01'"),
     ("range_counts", SearchRequest(counts={"view_count": (50_000, 150_000), "favorite_count": (None, 80)}), "coalesce(view_count, 0) BETWEEN 50000 AND 150000 AND coalesce(favorite_count, 0) <= 80"),
@@ -110,6 +110,17 @@ for _name, _request, _where in (
     query(_name, f"{WITH} SELECT item_id FROM active WHERE {_where}")(_found(_request))
 
 
+@query("facet_tag_all", f"""{WITH}, pair AS (SELECT min(entity_id) AS a, max(entity_id) AS b FROM links WHERE kind = 'tags' AND item_id = (SELECT min(item_id) FROM (SELECT item_id FROM links JOIN active USING (item_id) WHERE kind = 'tags' GROUP BY 1 HAVING count(*) > 1)))
+SELECT item_id FROM active, pair WHERE item_id IN (SELECT item_id FROM links WHERE kind = 'tags' AND entity_id = a) AND item_id IN (SELECT item_id FROM links WHERE kind = 'tags' AND entity_id = b)""")
+def facet_tag_all(spark, sf_dir):
+    """Two tags of the first active item that has several."""
+    c = b.catalog(spark, sf_dir)
+    tags = c.links.where("kind = 'tags'").join(fl.active(c.items).select("item_id"), "item_id", "left_semi")
+    pair = tags.groupBy("item_id").agg(F.min("entity_id").alias("a"), F.max("entity_id").alias("b")).where("a < b").orderBy("item_id").limit(1).collect()
+    ids = [pair[0]["a"], pair[0]["b"]] if pair else [0, 1]
+    return fl.apply_filters(c, SearchRequest(facets={("tags", "all"): ids})).select("item_id")
+
+
 @query("lookup_keys", f"{WITH} SELECT item_id, title, status FROM items WHERE item_id IN (3, 5, 8, 1200)")
 def lookup_keys(spark, sf_dir):
     return fl.lookup(b.catalog(spark, sf_dir).items, [3, 5, 8, 1200]).select("item_id", "title", "status")
@@ -175,7 +186,7 @@ batch AS (SELECT k || ':' || seg AS query_id, k, a.* FROM requests r JOIN words_
 @query("search_batch", f"{_BATCH_SQL} SELECT query_id, item_id FROM batch")
 def search_batch(spark, sf_dir):
     model = b.read_model(spark, sf_dir)
-    return se.search_batch(model.catalog(), _requests(spark, sf_dir), model.docs(), model.index())
+    return se.search_batch(model.catalog(), _requests(spark, sf_dir), hits_of=model.segments().hits)
 
 
 @query("search_batch_pages", f"{_BATCH_SQL} SELECT query_id, rank, item_id FROM ("
@@ -183,11 +194,45 @@ def search_batch(spark, sf_dir):
 def search_batch_pages(spark, sf_dir):
     model, requests = b.read_model(spark, sf_dir), _requests(spark, sf_dir)
     c = model.catalog()
-    found = se.search_batch(c, requests, model.docs(), model.index())
+    found = se.search_batch(c, requests, hits_of=model.segments().hits)
     c.items = with_scores(c.items, AS_OF)
     return se.batch_pages(c, found, requests)
 
 
+_TOKENS = ("relisted", "building", "ur", "urgent", "#", "customer#00000001")
+
+
+@query("search_after_delta", f"""{RICH_SQL}, names AS (SELECT item_id, string_agg(name, ' ') AS names FROM links JOIN entities USING (kind, entity_id) WHERE kind <> 'authors' GROUP BY 1),
+texts AS (SELECT coalesce(r.item_id, b.item_id) AS item_id, lower(CASE WHEN b.item_id IS NULL THEN r.title ELSE 'Relisted ' || b.title END) AS t,
+  lower(coalesce(c.c_name, CASE WHEN b.item_id IS NULL THEN r.creator_display_name ELSE b.creator_name END, '') || ' ' || coalesce(names, '')) AS kw
+  FROM rich r FULL JOIN batch b ON r.item_id = b.item_id LEFT JOIN customer c ON c.c_custkey = r.creator_id LEFT JOIN names n ON n.item_id = coalesce(r.item_id, b.item_id))
+SELECT token, item_id FROM texts, (VALUES {', '.join(f"('{t}')" for t in _TOKENS)}) v(token)
+WHERE CASE WHEN length(token) > 2 THEN contains(t, token) OR contains(kw, token) ELSE token = 'ur' AND regexp_matches(t || ' ' || kw, '(^|[^a-z0-9])ur') END""")
+def search_after_delta(spark, sf_dir):
+    """A listing with new titles and new items is merged and indexed as a delta; tokens are then searched in all segments."""
+    model = b.read_model(spark, sf_dir)
+    c = model.catalog()
+    rich = b.rich_items(c)
+    batch = stored(b.listing_batch(rich).withColumn("title", F.concat(F.lit("Relisted "), "title")))
+    merged = Catalog(mg.merge_listing(rich, batch, NOW), c.entities, c.links)
+    index = SegmentIndex(cm.CommitLog(spark, f"{shared_root(spark)}/segments-{uuid.uuid4().hex}"))
+    index.add(model.docs())
+    index.add(build_search_docs(merged, batch.select("item_id")))
+    return index.hits(spark.createDataFrame([(t,) for t in _TOKENS], "token string"))
+
+
+_CJK_TOKENS = ("漢", "한漢", "東", "エ東", "ウ한")
+
+
+@query("search_cjk", f"""{WITH} SELECT token, item_id FROM (SELECT item_id, translate(lower(coalesce(title, '')), '{_LETTERS}', '{_SIGNS}') AS t FROM items), (VALUES {', '.join(f"('{t}')" for t in _CJK_TOKENS)}) v(token) WHERE contains(t, token)""")
+def search_cjk(spark, sf_dir):
+    """Short CJK tokens in titles that have CJK characters for some of their letters."""
+    c = b.catalog(spark, sf_dir)
+    index = SegmentIndex(cm.CommitLog(spark, f"{shared_root(spark)}/segments-{uuid.uuid4().hex}"))
+    index.add(build_search_docs(Catalog(c.items.withColumn("title", F.translate(F.lower("title"), _LETTERS, _SIGNS)), c.entities, c.links)))
+    return index.hits(spark.createDataFrame([(t,) for t in _CJK_TOKENS], "token string"))
+
+
 _RAW = """raw AS (SELECT event_id AS query_id, '  Foo,' || event_type || ' bar' AS q, CASE event_type WHEN 'view' THEN 'any' WHEN 'click' THEN 'some' ELSE 'all' END AS title_mode,
   user_id || ',x, ' || user_id || ',7' AS tag_any, CASE WHEN event_type = 'error' THEN 'abc' ELSE user_id || ',000' END AS min_views,
   CASE event_type WHEN 'view' THEN 'hot' WHEN 'click' THEN 'sideways' WHEN 'error' THEN 'views_asc' ELSE 'popularity' END AS sort, user_id AS page FROM events)"""
