@@ -7,8 +7,9 @@ Spark ML trains gradient-boosted trees on lexical features: lengths, depth, digi
 statistics of the host's suffix. The trees judge the other urls.
 
 The features and the trees are JVM expressions. Suffix statistics (the smoothed share of blocked urls for each top-level
-domain) are counted over all labelled urls and written as a table, which Spark joins as its size commands; a url of the sample
-does not count for its own statistic, and a suffix without labels has the prior.
+domain) are counted over all distinct labelled urls by ``FOLDS`` folds and written as a table, which Spark joins as its size commands. A url
+of the sample gets the share of the other folds, so its own label never tells in its features; other urls get the share of all folds, and a suffix
+without labels has the prior.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is judged by the trees like any
 other; if the sample lacks one of the verdicts the method allows everything; repeated rows are judged each, and train as one; other
@@ -36,6 +37,10 @@ TREES, DEPTH = 12, 4
 INLINE_RULES = 500
 #: Weight of the prior in a suffix's statistic, in urls.
 PRIOR_URLS = 4
+#: A labelled url's fold is a hash of it; shares for training come from the other folds.
+FOLDS = 5
+#: Shares are rounded to multiples of this.
+STEP = 0.05
 
 FEATURES = (
     "f_length", "f_host_length", "f_path_length", "f_host_depth", "f_path_depth", "f_digit_ratio", "f_entropy",
@@ -117,19 +122,33 @@ def with_features(urls: DataFrame) -> DataFrame:
     )
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), "url"), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, urls, blocked): arrays of the numbers of distinct urls, and of blocked ones, in each fold."""
+    suffix = F.element_at(F.split(host_of(F.col("url")), r"\."), -1).alias("suffix")
+    once = labelled.groupBy("url").agg(F.max("label").alias("label")).select(suffix, _fold().alias("fold"), "label")
+    each = lambda value: F.array(*(F.sum(F.when(F.col("fold") == k, value).otherwise(0)) for k in range(FOLDS)))
+    return once.groupBy("suffix").agg(each(F.lit(1)).alias("urls"), each(F.col("label")).alias("blocked"))
+
+
 class UrlModel:
-    """Trees, the table of suffixes (suffix, urls, blocked) and the prior; without trees (one verdict only) it allows all."""
+    """Trees, the table of suffixes (``suffix_counts``) and the prior; without trees (one verdict only) it allows all."""
 
     def __init__(self, trees, suffixes: DataFrame, prior: float):
         self.trees, self.suffixes, self.prior = trees, suffixes, prior
 
-    def features(self, urls: DataFrame, own: Column | None = None) -> DataFrame:
-        """Adds the suffix share; ``own`` is the label (0 or 1) of urls that were counted themselves."""
-        n, blocked = F.coalesce("urls", F.lit(0)), F.coalesce("blocked", F.lit(0))
-        if own is not None:
-            n, blocked = n - 1, blocked - own
-        share = (blocked + PRIOR_URLS * self.prior) / (n + PRIOR_URLS)
-        return urls.join(self.suffixes, "suffix", "left").withColumn("f_suffix_share", share).drop("urls", "blocked")
+    def features(self, urls: DataFrame, labelled: bool = False) -> DataFrame:
+        """Adds the suffix share: of all folds, or for ``labelled`` urls of all but their own."""
+        def counted(name: str) -> Column:
+            total = F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
+            return F.coalesce(total - F.element_at(name, _fold() + 1) if labelled else total, F.lit(0))
+
+        share = (counted("blocked") + PRIOR_URLS * self.prior) / (counted("urls") + PRIOR_URLS)
+        step = F.round(share / STEP) * STEP  # what folds of one suffix differ by is chance
+        return urls.join(self.suffixes, "suffix", "left").withColumn("f_suffix_share", step).drop("urls", "blocked")
 
     def apply(self, urls: DataFrame) -> DataFrame:
         """Adds ``p_block`` to rows that have the features."""
@@ -154,14 +173,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     """Fits the trees; ``labelled`` has url and label (1 block, 0 allow)."""
     labelled = labelled.where("url is not null")
     rows = _sample(labelled, sample)
-    prior = sum(r["label"] for r in rows) / max(1, len(rows))
-    suffix = F.element_at(F.split(host_of(F.col("url")), r"\."), -1).alias("suffix")
-    suffixes = materialise(labelled.groupBy(suffix).agg(F.count("*").alias("urls"), F.sum("label").alias("blocked")))
+    suffixes = materialise(suffix_counts(labelled))
+    total = lambda name: F.sum(F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x))
+    urls, blocked = suffixes.agg(total("urls"), total("blocked")).first()
+    prior = (blocked or 0) / max(1, urls or 0)
     model = UrlModel(None, suffixes, prior)
     if prior in (0.0, 1.0):
         return model
     sampled = with_features(labelled.sparkSession.createDataFrame(rows, "url string, label int").coalesce(1))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.features(sampled, F.col("label")))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.features(sampled, labelled=True))
     trees = GBTClassifier(featuresCol="features", labelCol="label", predictionCol="predicted", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
     model.trees = trees.fit(vectors.select("url", "features", F.col("label").cast("double").alias("label")).coalesce(1).sortWithinPartitions("url").select("features", "label"))
     return model

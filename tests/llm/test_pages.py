@@ -63,6 +63,41 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum((r.p_block > 0.5) == (r.label == 1) for r in held_out) / len(held_out) > 0.95
 
 
+def _accuracy(rows):
+    return sum((r.p_block > 0.5) == (r.label == 1) for r in rows) / len(rows)
+
+
+def test_labels_do_not_leak_into_suffix_shares(spark):
+    """Random labels on three suffixes cannot be learnt, not even on the urls that the trees were fitted on."""
+    rnd = random.Random(5)
+    rows = [(f"http://h{rnd.randrange(10**9)}.{rnd.choice(('com', 'net', 'org'))}/p", rnd.randrange(2)) for _ in range(1500)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = ul.train(labelled)
+    trained = ul.VectorAssembler(inputCols=list(ul.FEATURES), outputCol="features").transform(model.features(ul.with_features(labelled), labelled=True))
+    fitted = model.trees.transform(trained).select("label", ul.vector_to_array("probability")[1].alias("p_block")).collect()
+    applied = model.apply(ul.with_features(labelled)).select("label", "p_block").collect()
+    assert _accuracy(fitted) < 0.68  # trees of this size fit some noise in the other features; a leak gives 1.00
+    assert abs(_accuracy(fitted) - _accuracy(applied)) < 0.1  # what the trees were fitted on looks like what they judge
+
+
+def test_repeated_urls_count_once_in_shares(spark):
+    rows = [("http://a.x/1", 1)] * 3000 + [(f"http://a{k}.x/1", 0) for k in range(30)]
+    counts = ul.suffix_counts(spark.createDataFrame(rows, "url string, label int")).first()
+    assert (sum(counts.urls), sum(counts.blocked)) == (31, 1)
+
+
+def test_a_lexical_rule_is_found_on_held_out_urls(spark):
+    """All suffixes have both labels: only digits and parameters tell them apart."""
+    rnd = random.Random(6)
+    suffix = lambda: rnd.choice(("com", "net", "org", "info", "de"))
+    rows = [(f"https://site{rnd.randrange(99)}.{suffix()}/news/article-{rnd.choice('abcdef') * rnd.randint(3, 12)}", 0) for _ in range(500)]
+    rows += [(f"https://s{rnd.randrange(99)}.{suffix()}/{rnd.randrange(10**6)}?id={rnd.randrange(10**9)}&ref={rnd.randrange(10**5)}", 1) for _ in range(500)]
+    labelled = spark.createDataFrame(sorted(set(rows)), "url string, label int")
+    model = ul.train(labelled.where("xxhash64(url) % 2 = 0"))
+    assert _accuracy(model.apply(ul.with_features(labelled.where("xxhash64(url) % 2 <> 0"))).select("label", "p_block").collect()) > 0.97
+    assert model.trees.featureImportances[len(ul.FEATURES) - 1] < 0.2
+
+
 def _records(rows):
     """Plain Python: (page_id, bytes, digest, type, refers_to) of every record."""
     key = lambda p: (p is not None, p or 0)
