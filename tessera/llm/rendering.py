@@ -1,9 +1,9 @@
 """HTML extraction by layout-aware rendering.
 
 A tokenizer feeds a tree builder that supplies the end tags HTML lets authors leave out (p, li, dt, dd, option, tr, td,
-th, thead, tbody, tfoot, caption) and ignores end tags without a start. Rules on tags and attributes say what is visible:
+th, thead, tbody, tfoot, caption; the head ends before the first content) and ignores end tags without a start. Rules on tags and attributes say what is visible:
 no head matter, script, style, template, noscript and the like; nothing hidden by ``hidden``, ``aria-hidden``, an inline ``display:none``
-or a ``dialog`` that is not open; ``visibility`` is inherited, so what an element within a hidden one shows again is visible.
+or a ``dialog`` that is not open, and of closed ``details`` the summary only; ``visibility`` is inherited, so what an element within a hidden one shows again is visible.
 Buttons and text fields show their value. The renderer walks the tree and emits all visible text: white space collapses
 outside ``pre``; blocks begin on new lines and paragraphs, headings, lists and tables are set off by an empty line; list items get
 ``- `` or their number and the indent of their nesting; table cells are padded so that columns align and separated by
@@ -34,6 +34,7 @@ NESTED = 16
 #: Elements nested deeper than this become siblings, as in browsers; no text is lost, and what is hidden stays hidden.
 DEEPEST = 512
 # ---- fixed values of HTML
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 _UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base audio video canvas datalist desc metadata defs annotation annotation-xml".split())
@@ -62,7 +63,8 @@ _IMPLIED = {
 _FIELDS = frozenset("submit button reset text search email url tel number".split())
 # ---- end of fixed values
 _TABLE_PARTS = frozenset("tr td th thead tbody tfoot".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^<>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*+)*+)>|<[!?/][^<>]*>", re.S)
+#: A quote counts where a value begins only, so a stray one swallows nothing; a tag that nothing closes reaches to the end, as in browsers.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)|<[!?/][^<>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([\w-]+)", re.I)
@@ -109,17 +111,31 @@ def build(html: str) -> Node:
     stack, open_tags, at, low = [root], ["html"], 0, None
     unseen, unclosed = 0, set()  # depth of open hidden elements; raw tags that end nowhere
     below: Counter = Counter()  # open elements too deep for the stack, within a hidden one
+    begun, closed = False, []  # whether the body has begun; closed details
+
+    def end_head() -> int:
+        """The head ends before what is no head matter, with an end tag or without; returns the depth of hidden elements left."""
+        left = unseen - sum(n.tag == "-" for n in stack[1:])
+        del stack[1:], open_tags[1:]
+        return left
+
     while True:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
+        if text and not begun and (open_tags[-1] == "head" or len(open_tags) == 1) and _WS.sub("", text):
+            unseen, begun = end_head(), True
         if text and not unseen and stack[-1].shown:
             stack[-1].parts.append(unescape(text) if "&" in text else text)
         if not m:
-            return root
+            break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and tag not in _HEAD and tag not in ("html", "head") and not begun:
+            unseen, begun = end_head(), True
+        if tag == "head" and (m[1] and "head" not in open_tags or not m[1] and (begun or len(open_tags) > 1)):
+            continue  # a head within the body is none
         below = below if unseen else Counter()
         if m[1]:
             if below[tag]:
@@ -153,6 +169,8 @@ def build(html: str) -> Node:
         node = Node("-" if hidden else tag, m[3], stack[-1].shown if shown is None else shown)
         if not unseen and not hidden and (node.shown or tag not in ("img", "hr", "input")):
             stack[-1].parts.append(node)
+        if tag == "details" and node.get("open") is None:
+            closed.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK | _RAW:
             continue
         if tag in _RAW:
@@ -167,7 +185,7 @@ def build(html: str) -> Node:
                 node.parts.append(unescape(raw) if tag == "textarea" else raw)
             at = html.find(">", end) + 1 if end >= 0 else len(html)
             if not at:
-                return root
+                break
             continue
         if len(stack) >= DEEPEST and (unseen or not hidden and node.shown == stack[-1].shown):
             below[tag] += bool(unseen)
@@ -175,6 +193,9 @@ def build(html: str) -> Node:
         stack.append(node)
         open_tags.append(tag)
         unseen += hidden
+    for node in closed:  # of closed details the first summary is in sight
+        node.parts = [p for p in node.parts if isinstance(p, Node) and p.tag == "summary"][:1]
+    return root
 
 
 class _Lines:
@@ -395,9 +416,12 @@ def _lines(root: Node, done: dict[int, list[str]]) -> list[str]:
                     start = x.get("start") if tag == "ol" else None
                     lists.append([tag == "ol", int(start) if start and re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
                     if len(lists) > 1:
-                        out.indent = "  " * min(len(lists) - 1, 20)
+                        out.indent = (out.indent + "  ")[:40]
                 elif tag == "li":
                     if lists and lists[-1][0]:
+                        value = x.get("value")
+                        if value and re.fullmatch(r"-?[0-9]{1,9}", value):
+                            lists[-1][1] = int(value)
                         out.mark = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
                     else:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -242,6 +243,30 @@ def test_render_what_is_visible(html, text):
     assert rd.render_page(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<head><title>t</title><p>visible", "visible"), ("<html><head><style>x</style>text", "text"), ("<head><meta charset=utf-8>\n <link rel=x>\n<div>a</div></head><p>b", "a\n\nb"),
+        ("<!doctype html><title>t</title>a<head>b</head><title>u</title>c", "abc"), ("<head></head> <title>t</title><body>a", "a"), ("<p>a<head hidden>b", "ab"),
+        ("<head><script>no</script><noscript>no</noscript><template><p>no</p></template><base>yes", "yes"),
+        ('<div class="a"">lost</div>kept<p title="x">z', "lost\nkept\n\nz"), ("<a href=x<y>z</a>", "z"), ("<p title=it's>a <b title=\"x>y\">c</b> d's", "a c d's"), ("a<b x='>' y=\">\" z>c", "ac"),
+        ("a<b", "a"), ("a <p title='unclosed>b <i>c</i>", "a\n\nb c"), ("x<a =\">\">y", "xy"),
+        ("<details>no<summary>head</summary>no</details><details open>yes<summary>s</summary></details>", "head\nyes\ns"),
+        ("<blockquote>q<ul><li>a<ul><li>b</ul></ul></blockquote>c", "  q\n\n  - a\n    - b\n\nc"), ("<ol><li value=7>a<li>b<li value=x>c</ol>", "7. a\n8. b\n9. c"),
+    ],
+)
+def test_render_as_browsers_do(html, text):
+    assert rd.render_page(html) == text
+
+
+def test_broken_tags_take_time_in_proportion():
+    """Tags that nothing closes, and quotes without an end."""
+    for piece in ("<a ", "<a x=\"", "<a x='", "<a =", "<p title=it's ", "<a b=c\"d", "<a \"", "</a "):
+        began = time.monotonic()
+        rd.render_page(piece * 100_000)
+        assert time.monotonic() - began < 10
+
+
 def _page(rnd, depth, shown, gone, out):
     """Random html; notes the words in sight in ``out``."""
     parts = []
