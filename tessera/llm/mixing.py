@@ -4,7 +4,7 @@ Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and s
 at twice its source's words and the excess is shared again by weight until no target is above (water filling, solved
 by sorting sources by words per weight).
 
-Selection: a document's key is an exponential variate divided by its quality weight. Within a source documents stand
+Selection: a document's key is an exponential variate, from a hash of its id and text, divided by its quality weight. Within a source documents stand
 in key order. A source's whole epochs come first (every document once each); for the rest of the budget the documents
 with the smallest keys are taken, as whole documents, up to the document whose end lies nearest to the budget.
 
@@ -13,7 +13,8 @@ in which a source's budget ends is sorted. The outcome is a cut per source, so t
 shuffle: joins with the labels and with the table of cuts (each broadcast only if its rows are few, by count) say what is taken.
 
 Only DataFrame functions are used. Defined results: a null or blank text has size 0 and takes nothing; a null source is
-a source of its own; rows with the same source, doc_id share one key and are taken together; a document with several
+a source of its own; rows with the same source, doc_id and text share one key and are taken together (documents
+with one id, or none, and different texts are drawn by themselves); a document with several
 labels has the best of them; an empty table gives an empty result; other columns pass through ``mix``, whatever their names
 (result names are replaced).
 """
@@ -70,17 +71,23 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST_EPOCHS) ->
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` (with source, doc_id, quality) with source key, sampling key and its bin."""
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 12), 16, 10)
+    """``docs`` (with source, doc_id, quality, digest) with source key, sampling key and its bin, without digest."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_digest")), 1, 12), 16, 10)
     uniform = (number.cast("double") + 0.5) / float(1 << 48)
     weight = F.when(F.col("quality") > 0, GOOD).when(F.col("quality") == 0, BAD).otherwise(NONE)
     return (
         docs.withColumn("_key", -F.log(uniform) / weight)
         .withColumn("_bin", F.floor(BINS * (1 - F.exp(-F.col("_key")))).cast("int"))
         .withColumn("_s", _source(F.col("source")))
+        .drop("_digest")
     )
 
 
+def _text_digest() -> Column:
+    """Tells documents with one id, or none, apart by their texts."""
+    return F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_digest")
+
+
 def _with_quality(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return docs.withColumn("quality", F.lit(None).cast("int"))
@@ -140,7 +147,7 @@ _MADE = ("size", "source_size", "target", "epochs", "selected", "taken")
 
 def _mixed(docs: DataFrame, own: list[str], labels: DataFrame | None) -> DataFrame:
     """The columns ``own`` as a struct ``row``, with what the mix says of each row."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), _text_digest())
     rows = _keyed(_with_quality(rows, labels))
     narrow = materialise(rows.select("doc_id", "source", "size", "_key", "_bin", "_s"))
     out = taken(rows, plan(narrow)).select("row", *_MADE)
@@ -166,7 +173,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_digest(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The result of ``mix`` without the texts, which are read once only."""
-    narrow = materialise(_keyed(_with_quality(docs.select("doc_id", "source", words(F.col("text")).alias("size")), labels)))
+    narrow = materialise(_keyed(_with_quality(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _text_digest()), labels)))
     return taken(narrow, plan(narrow)).select("doc_id", *_MADE, "source")
 
 
@@ -175,7 +182,7 @@ WITH best AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT N
 rows_ AS (
   SELECT d.doc_id, d.source, coalesce('=' || d.source, '') AS s,
          coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '-')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+         -ln((('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '-') || '|' || md5(coalesce(d.text, ''))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
            / (CASE WHEN q > 0 THEN 2.0::DOUBLE WHEN q = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS k
   FROM documents d LEFT JOIN best USING (doc_id)
 ),

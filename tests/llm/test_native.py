@@ -118,6 +118,19 @@ def test_mixing(spark):
     assert all(r.taken >= r["size"] for r in out if r.epochs >= 1)  # whole epochs come first
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mixing_of_rows_without_own_ids(spark, doc_id):
+    """Targets are met within half a document where ids are null or all the same."""
+    rows = [(doc_id, f"text {k} " + "w " * (k % 9), "one", "en", None) for k in range(1000)] + [(k, f"other {k}", "two", "en", None) for k in range(2000, 2300)]
+    out = mx.mix(_docs(spark, rows)).collect()
+    taken, goal, largest = Counter(), {}, Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+    assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 for s in goal)
+
+
 def test_mixing_sql(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     got = mx.op9_source_mixing(spark, sf)
