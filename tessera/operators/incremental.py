@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import retry_delay_seconds
 from .filters import any_seen_since
+from .scans import RANGES, in_ranges, running
 from .scoring import ntz
 
 MOST_FAILURES = 3
@@ -15,18 +16,19 @@ DRIFT_DETAILS = 5
 COUNTERS = ("pages_checked", "failed_pages", "items_seen", "new_items", "changed_items", "details_fetched", "missing_items", "failed_details", "drift_errors")
 
 
-def scan_cutoff(pages: DataFrame, stable: int = 3, max_pages: int | None = None) -> DataFrame:
+def scan_cutoff(pages: DataFrame, stable: int = 3, max_pages: int | None = None, ranges: int = RANGES) -> DataFrame:
     """One row (cutoff, reason) for ``pages`` (page, has_new, failed, last_page), a table of pages, not of items.
 
     A scan stops after ``stable`` consecutive successful pages without new items (failed pages neither count nor reset),
     after three failed pages in a row, at the last page known from the latest successful one, or after ``max_pages``.
     """
-    by_page = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ok, new = ~F.col("failed"), ~F.col("failed") & F.col("has_new")
-    p = pages.withColumn("_new", F.sum(new.cast("int")).over(by_page)).withColumn("_ok", F.sum(ok.cast("int")).over(by_page))
-    p = p.withColumn("_last", F.last(F.when(ok, F.col("last_page")), ignorenulls=True).over(by_page))
-    p = p.withColumn("_stable", F.sum((ok & ~F.col("has_new")).cast("int")).over(by_page.partitionBy("_new")))
-    p = p.withColumn("_fails", F.sum(F.col("failed").cast("int")).over(by_page.partitionBy("_ok")))
+    p = in_ranges(pages, "page", ranges)
+    p = running(p, "page", {"_quiet": (ok & ~F.col("has_new")).cast("int"), "_failed": F.col("failed").cast("int")}, {"_known": F.when(ok, F.struct("page", "last_page"))})
+    # running counts never fall, so the count at the latest page with new items is the largest of those at such pages
+    p = running(p, "page", maxima={"_quiet_at_new": F.when(new, F.col("_quiet")), "_failed_at_ok": F.when(ok, F.col("_failed"))})
+    p = p.withColumn("_last", F.col("_known.last_page"))
+    p = p.withColumn("_stable", F.col("_quiet") - F.coalesce("_quiet_at_new", F.lit(0))).withColumn("_fails", F.col("_failed") - F.coalesce("_failed_at_ok", F.lit(0)))
     reason = (
         F.when(ok & (F.col("_stable") >= stable), "stable")
         .when(F.col("failed") & (F.col("_fails") >= MOST_FAILURES), "failures")
@@ -52,8 +54,8 @@ def resume_page(pages: DataFrame, items: DataFrame, round_started, checkpoint: i
 
 def contiguous_checkpoint(pages: DataFrame) -> DataFrame:
     """One row (checkpoint): the highest page before the first failed one, 0 if there is none."""
-    by_page = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clean = pages.withColumn("_gap", F.max(F.col("failed").cast("int")).over(by_page)).where("_gap = 0")
+    gap = pages.agg(F.min(F.when(F.col("failed"), F.col("page"))).alias("_gap"))
+    clean = pages.join(F.broadcast(gap)).where(F.col("_gap").isNull() | (F.col("page") < F.col("_gap")))  # one row
     return clean.agg(F.coalesce(F.max("page"), F.lit(0)).cast("long").alias("checkpoint"))
 
 

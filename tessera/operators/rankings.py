@@ -27,6 +27,31 @@ def entity_stats(catalog: Catalog, as_of) -> DataFrame:
     )
 
 
+MEASURES = ("item_count", "total_views", "total_favorites", "popularity", "hot")
+
+
+def entity_changes(before: Catalog, after: Catalog, touched: DataFrame, as_of) -> DataFrame:
+    """What the ``touched`` items (item_id) add to every entity's statistics: their new rows count, their old ones are taken back. Only their links are read."""
+    ids = touched.select("item_id").distinct()
+
+    def signed(catalog: Catalog, sign: int) -> DataFrame:
+        items = with_scores(active(catalog.items.join(ids, "item_id", "left_semi")), as_of)
+        links = catalog.links.join(ids, "item_id", "left_semi")
+        values = {"item_count": F.lit(1), "total_views": F.col("view_count"), "total_favorites": F.col("favorite_count"), "popularity": F.col("popularity"), "hot": F.col("hot_score")}
+        return links.join(items, "item_id").select("kind", "entity_id", *((F.coalesce(c, F.lit(0)) * sign).alias(n) for n, c in values.items()))
+
+    return signed(after, 1).unionByName(signed(before, -1)).groupBy("kind", "entity_id").agg(*(F.sum(c).alias(c) for c in MEASURES))
+
+
+def updated_stats(stats: DataFrame, changes: DataFrame, entities: DataFrame) -> DataFrame:
+    """``entity_stats`` after ``entity_changes``, whose scores are of the same moment: sums are added, entities without active items leave."""
+    key = ["kind", "entity_id"]
+    named = changes.join(entities.select(*key, "name"), key)
+    both = stats.alias("o").join(named.alias("c"), key, "full_outer")
+    sums = {m: F.coalesce(f"o.{m}", F.lit(0)) + F.coalesce(f"c.{m}", F.lit(0)) for m in MEASURES}
+    return both.select(*key, F.coalesce("c.name", "o.name").alias("name"), *(v.alias(m) for m, v in sums.items())).where("item_count > 0")
+
+
 def kinds_of(board: str) -> tuple[str, ...]:
     return CATEGORIES if board == "categories" else (board,)
 

@@ -458,6 +458,22 @@ def merge_detail(spark, sf_dir):
     return mg.merge_detail(rich, _details(rich), NOW).select(*_ITEM_COLS)
 
 
+@query("entity_stats_delta", f"""{_DETAILS}, items2 AS (SELECT item_id, view_count, favorite_count, published_at FROM rich WHERE status = 'active' AND item_id NOT IN (SELECT item_id FROM details) UNION ALL SELECT item_id, view_count, favorite_count, published_at FROM details),
+scored AS (SELECT *, coalesce(view_count, 0) + coalesce(favorite_count, 0) * 50 AS p FROM items2), links2 AS (SELECT * FROM links UNION ALL SELECT item_id, 'authors', creator_id FROM details WHERE item_id > 20000000 AND creator_id IS NOT NULL)
+SELECT l.kind, l.entity_id, e.name, count(*) AS item_count, coalesce(sum(view_count), 0)::BIGINT AS total_views, coalesce(sum(favorite_count), 0)::BIGINT AS total_favorites, sum(p)::BIGINT AS popularity,
+  round(sum(p / (greatest((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(coalesce(published_at, TIMESTAMP '1970-01-01')))::DOUBLE / 3.6e9, 0.0) + 6.0)), 3) AS hot
+FROM links2 l JOIN scored USING (item_id) JOIN entities e ON e.kind = l.kind AND e.entity_id = l.entity_id GROUP BY 1, 2, 3""")
+def entity_stats_delta(spark, sf_dir):
+    """Stored statistics after a merge of details, from the merged items' old and new rows only."""
+    c = b.catalog(spark, sf_dir)
+    rich = b.rich_items(c)
+    details = stored(_details(rich))
+    new = details.where("item_id > 20000000 and creator.id is not null").select("item_id", F.lit("authors").alias("kind"), F.col("creator.id").alias("entity_id"))
+    after = Catalog(mg.merge_detail(rich, details, NOW), c.entities, c.links.unionByName(new))
+    changes = rk.entity_changes(c, after, details, AS_OF)
+    return rk.updated_stats(_stats(spark, sf_dir), changes, c.entities).withColumn("hot", F.round("hot", 3))
+
+
 @query("merge_missing", f"""{RICH_SQL}, gone AS (SELECT item_id + CASE WHEN title LIKE '3-%' THEN 0 ELSE 30000000 END AS item_id, url FROM rich WHERE title LIKE '3-%' OR title LIKE '5-LOW%')
 SELECT coalesce(r.item_id, g.item_id) AS item_id, coalesce(g.url, r.url) AS url, coalesce(r.title, '') AS title, CASE WHEN g.item_id IS NULL THEN r.status ELSE 'missing' END AS status,
   CASE WHEN g.item_id IS NULL THEN r.detail_fetched_at ELSE {_NOW} END AS detail_fetched_at, CASE WHEN r.item_id IS NULL THEN {_NOW} ELSE r.created_at END AS created_at FROM rich r FULL JOIN gone g ON r.item_id = g.item_id""")

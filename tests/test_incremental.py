@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental as inc
 from tessera.operators import merge as mg
 from tessera.operators.monitoring import alerts, dataset_status, latency_histogram, latency_quantile
+from tessera.operators.scans import RANGE, in_ranges, running
 from tessera.schema import FAILURES, ITEMS
 
 T0 = "2030-02-03 00:00:00"
@@ -41,6 +43,47 @@ def test_checkpoint_and_resume(spark):
     assert go(9, checkpoint=10, target=10) == 1 and go(9, checkpoint=0, target=10) == 1
 
 
+def test_scans_split_into_ranges(spark):
+    """Random scans, cut into ranges at random, against a loop over the pages; no window without partitions is in the plan."""
+    rnd = random.Random(12)
+    for ranges in (1, 2, 5, 40):
+        n = rnd.randint(1, 60)
+        rows = [(p, rnd.random() < 0.3, rnd.random() < 0.4, rnd.choice((n + 5, n, max(1, n - 3)))) for p in range(1, n + 1)]
+        stable = fails = last = 0
+        want = (n, "end")
+        for page, has_new, failed, known in rows:
+            fails = fails + 1 if failed else 0
+            if not failed:
+                stable, last = 0 if has_new else stable + 1, known
+            why = "stable" if not failed and stable >= 3 else "failures" if failed and fails >= 3 else "last_page" if last and page >= last else None
+            if why:
+                want = (page, why)
+                break
+        pages = _pages(spark, rows).repartition(3)
+        cut = inc.scan_cutoff(pages, ranges=ranges)
+        assert tuple(cut.first()) == want
+        assert inc.contiguous_checkpoint(pages).first().checkpoint == next((p - 1 for p, _, failed, _ in rows if failed), n)
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.split("\n") if "Window [" in line]
+        assert ranges == 1 or len(windows) >= 2 and all(f"windowspecdefinition({RANGE}#" in line and f"[{RANGE}#" in line for line in windows)
+        assert "Window [" not in inc.contiguous_checkpoint(pages)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_sums_and_maxima(spark):
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([None, rnd.randint(-5, 5)]), rnd.choice([None, rnd.randint(0, 99)])) for k in rnd.sample(range(10**6), 300)]
+    df = in_ranges(spark.createDataFrame(rows, "k long, a int, b int").repartition(4), "k", 17)
+    got = sorted((r.k, r.total, r.top) for r in running(df, "k", {"total": F.col("a")}, {"top": F.col("b")}).collect())
+    total, top, want = 0, None, []
+    for k, a, b in sorted(rows, key=lambda r: r[0]):
+        total += a or 0
+        top = b if top is None else max(top, b if b is not None else top)
+        want.append((k, total, top))
+    assert got == want
+    assert df.select("_range").distinct().count() == 17
+    assert running(in_ranges(spark.createDataFrame([], "k long, a int"), "k"), "k", {"total": F.col("a")}).count() == 0
+
+
 def test_failure_ledger(spark):
     """Attempts add up, waits double up to a week, the newest failure's words stay, and what is done leaves."""
     key = "entity_type string, entity_id string, operation string, url string, error_type string, error_message string, seq int"

@@ -8,7 +8,7 @@ from tessera.operators import rankings as rk
 from tessera.operators.filters import active
 from tessera.operators.related import candidates, related_items, usable_links
 from tessera.operators.scoring import popularity
-from tessera.schema import KINDS
+from tessera.schema import KINDS, Catalog
 
 from .catalog import NOW, WEIGHTS, World, build
 
@@ -55,6 +55,23 @@ def test_statistics_and_boards(world):
     assert boards == {b: _ranked(w, k)[:3] for b, k in (("authors", ("authors",)), ("characters", ("characters",)), ("categories", ("tags", "origins")))}
 
 
+def test_statistics_by_deltas(world, spark):
+    """Changed, new, gone and revived items: adding their differences gives the statistics of the new catalogue."""
+    w, stats = world
+    other = World(spark, 30, 60)
+    before, after = w.catalog, Catalog(
+        w.catalog.items.where("item_id % 3 <> 0").unionByName(other.catalog.items.where("item_id % 3 = 0")), w.catalog.entities,
+        w.catalog.links.where("item_id % 3 <> 0").unionByName(other.catalog.links.where("item_id % 3 = 0")),
+    )
+    touched = before.items.unionByName(other.catalog.items).where("item_id % 3 = 0").select("item_id")
+    got = rk.updated_stats(stats, rk.entity_changes(before, after, touched, str(NOW)), w.catalog.entities).collect()
+    want = {(r.kind, r.entity_id): r for r in rk.entity_stats(after, str(NOW)).collect()}
+    assert {(r.kind, r.entity_id) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        x = want[r.kind, r.entity_id]
+        assert r[:7] == x[:7] and abs(r.hot - x.hot) < 1e-6
+
+
 def test_autocomplete(world, spark):
     w, stats = world
     popular = {e: s[3] for (k, e), s in _stats(w).items() if k == "tags"}
