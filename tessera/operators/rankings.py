@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Catalog
@@ -10,6 +10,10 @@ from .filters import active
 from .scoring import with_scores
 
 CATEGORIES = ("tags", "origins")
+#: Names of a gram that a task gets, about.
+SHARE = 20_000
+#: Up to so many grams (three characters at most) of a batch of queries are broadcast.
+FEW_GRAMS = 200_000
 
 
 def entity_stats(catalog: Catalog, as_of) -> DataFrame:
@@ -110,13 +114,35 @@ def autocomplete(catalog: Catalog, stats: DataFrame, kind: str, query: str = "",
     return found.orderBy(F.lower("name").startswith(needle).desc(), F.coalesce("popularity", F.lit(0)).desc(), "name", "entity_id").limit(limit).select("entity_id", "name")
 
 
-def autocomplete_batch(catalog: Catalog, stats: DataFrame, kind: str, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Autocomplete for many ``queries`` (query): names meet queries by their first two characters (one, for shorter queries)."""
-    queries = queries.select(F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct().withColumn("gram", F.substring("query", 1, 2))
-    scores = stats.where(F.col("kind") == kind).select("entity_id", "popularity")
+def _grams(text: str, sizes: tuple[int, ...]) -> Column:
+    """All distinct runs of so many characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    run = lambda n: F.transform(at, lambda i: F.substr(F.col(text), i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*map(run, sizes))))
+
+
+def autocomplete_batch(catalog: Catalog, stats: DataFrame, kind: str, queries: DataFrame, limit: int = 10, share: int = SHARE) -> DataFrame:
+    """Autocomplete for many ``queries`` (query).
+
+    A query of one or two characters meets the names that have it, a longer one those that have the rarest of its trigrams. The names of a
+    gram are dealt in shares of about ``share`` names, so one that very many names have (a common prefix) is no task of its own; each
+    task keeps the first names of a query before they are ranked.
+    """
+    queries = queries.select(F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct()
+    asked = queries.select("query", F.explode(F.when(F.length("query") < 3, F.array("query")).otherwise(F.filter(_grams("query", (3,)), lambda g: F.length(g) == 3))).alias("gram"))
     names = catalog.entities.where(F.col("kind") == kind).select("entity_id", "name", F.lower("name").alias("_low"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))), lambda i: F.array(F.substr("_low", i, F.lit(1)), F.substr("_low", i, F.lit(2))))))
-    met = names.withColumn("gram", F.explode(grams)).join(queries, "gram").where(F.contains("_low", F.col("query"))).join(scores, "entity_id", "left")
-    met = met.select("query", "entity_id", "name", F.startswith("_low", "query").alias("_first"), F.coalesce("popularity", F.lit(0)).alias("popularity"))
+    wanted = asked.select("gram").distinct()
+    held = names.withColumn("gram", F.explode(_grams("_low", (1, 2, 3)))).join(F.broadcast(wanted) if wanted.limit(FEW_GRAMS + 1).count() <= FEW_GRAMS else wanted, "gram", "left_semi")
+    sizes = held.groupBy("gram").agg(F.count("*").alias("n"))
+    best = asked.join(sizes, "gram").groupBy("query").agg(F.min(F.struct("n", "gram")).alias("x"), F.count("*").alias("met"))
+    due = asked.groupBy("query").agg(F.count("*").alias("due"))
+    best = best.join(due, "query").where("met = due")  # a gram that no name has
+    best = best.select("query", "x.gram", F.ceil(F.col("x.n") / share).cast("int").alias("shares"))
+    dealt = best.select("query", "gram", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
+    parts = best.select("gram", "shares").distinct()
+    placed = held.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("shares")).cast("int")).drop("shares")
+    met = placed.join(dealt, ["gram", "part"]).where(F.contains("_low", F.col("query")))
+    scores = stats.where(F.col("kind") == kind).select("entity_id", "popularity")
+    met = met.join(scores, "entity_id", "left").select("query", "entity_id", "name", F.startswith("_low", "query").alias("_first"), F.coalesce("popularity", F.lit(0)).alias("popularity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("_first").desc(), F.col("popularity").desc(), "name", "entity_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "rank", "entity_id", "name")

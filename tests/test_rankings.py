@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import rankings as rk
 from tessera.operators.filters import active
@@ -157,3 +158,21 @@ def test_related_rows_grow_with_sources(spark):
                 score.update(dict.fromkeys(members - {source}, WEIGHTS[kind]))
         want = sorted(score.items(), key=lambda x: (-x[1], -(x[0] * 7919 % n), -x[0]))[:12]
         assert got[source] == want
+
+
+def test_autocomplete_of_names_with_a_common_prefix(spark):
+    """A hundred thousand names begin alike: shares are bounded, and the first names are those of a loop over all."""
+    n = 100_000
+    names = spark.range(n).select(F.lit("tags").alias("kind"), F.col("id").alias("entity_id"), F.concat(F.lit("Common "), F.col("id").cast("string")).alias("name"))
+    stats = names.select("kind", "entity_id", "name", (F.col("entity_id") * 7919 % 1009).alias("popularity"))
+    queries = ["common", "c", "co", "common 99", "ommon 5", "77777", "zzz", "n 1", "COMMON 42"]
+    out = rk.autocomplete_batch(Catalog(None, names, None), stats, "tags", spark.createDataFrame([(q,) for q in queries], "query string"), limit=4, share=3000)
+    got = defaultdict(list)
+    for r in out.orderBy("rank").collect():
+        got[r.query].append(r.entity_id)
+    for q in {q.lower() for q in queries}:
+        low = [(k, f"common {k}") for k in range(n)]
+        want = sorted((not name.startswith(q), -(k * 7919 % 1009), f"Common {k}", k) for k, name in low if q in name)[:4]
+        assert got[q] == [x[3] for x in want]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
