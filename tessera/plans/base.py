@@ -12,7 +12,6 @@ from ..operators import merge as mg
 from ..operators.commits import CommitLog
 from ..operators.documents import build_search_docs
 from ..operators.rankings import entity_stats
-from ..operators.search import postings
 from ..operators.segments import SegmentIndex
 from ..schema import Catalog
 from ..sources.tables import load_catalog, orders_catalog, save_catalog, table
@@ -67,7 +66,7 @@ batch AS (
 
 class ReadModel:
     """Tables that readers use, derived once from the tables of a folder and published: the catalogue, entity statistics, search documents
-    and their postings. Each is written when it is first asked for; ``read_model`` makes a new one when the tables change."""
+    and their index. Each is written when it is first asked for; ``read_model`` makes a new one when the tables change."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, root: str):
         self.spark, self.sf_dir, self.root, self._stored = spark, sf_dir, root, set()
@@ -98,9 +97,6 @@ class ReadModel:
             self._stored.add("segments")
         return index
 
-    def index(self) -> DataFrame:
-        return self._published("index", lambda: postings(self.docs()).repartitionByRange("posting").sortWithinPartitions("posting"))
-
 
 _TABLES = ("orders", "lineitem", "customer", "part", "supplier", "nation")
 _models: dict[tuple, ReadModel] = {}

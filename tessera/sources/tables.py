@@ -66,18 +66,3 @@ def orders_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     links = by_line.select("item_id", "x.kind", "x.entity_id").where("entity_id is not null").distinct()
     creators = read("orders").where("o_custkey is not null").select(F.col("o_orderkey").alias("item_id"), F.lit("authors").alias("kind"), F.col("o_custkey").alias("entity_id"))
     return Catalog(items, entities, links.unionByName(creators))
-
-
-def documents_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Documents as items with their first line's words as title; sources and languages are tags."""
-    docs = table(spark, sf_dir, "documents")
-    items = docs.select(
-        F.col("doc_id").alias("item_id"), F.substring("text", 1, 80).alias("title"), F.col("source").alias("creator_display_name"),
-        F.lit(None).cast("long").alias("creator_id"), F.lit(None).cast("timestamp_ntz").alias("published_at"),
-        F.col("n_chars").alias("view_count"), F.lit(None).cast("long").alias("favorite_count"), F.lit("active").alias("status"),
-    )
-    langs = docs.select("lang").where("lang is not null").distinct().select(
-        F.lit("tags").alias("kind"), F.abs(F.xxhash64("lang")).alias("entity_id"), F.col("lang").alias("name")
-    )
-    links = docs.where("lang is not null").select(F.col("doc_id").alias("item_id"), F.lit("tags").alias("kind"), F.abs(F.xxhash64("lang")).alias("entity_id"))
-    return Catalog(items, langs, links)
