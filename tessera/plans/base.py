@@ -12,6 +12,8 @@ from ..operators import merge as mg
 from ..operators.commits import CommitLog
 from ..operators.documents import build_search_docs
 from ..operators.rankings import entity_stats
+from ..operators.ranks import RankFiles
+from ..operators.scoring import with_scores
 from ..operators.segments import SegmentIndex
 from ..schema import Catalog
 from ..sources.tables import load_catalog, orders_catalog, save_catalog, table
@@ -65,11 +67,12 @@ batch AS (
 
 
 class ReadModel:
-    """Tables that readers use, derived once from the tables of a folder and published: the catalogue, entity statistics, search documents
-    and their index. Each is written when it is first asked for; ``read_model`` makes a new one when the tables change."""
+    """Tables that readers use, derived once from the tables of a folder and published: the catalogue, entity statistics, search documents,
+    their index, and items laid out by each order. Each is written when it is first asked for; ``read_model`` makes a new one when the tables change."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, root: str):
         self.spark, self.sf_dir, self.root, self._stored = spark, sf_dir, root, set()
+        self._ranks = RankFiles(CommitLog(spark, f"{root}/ranks"))
 
     def catalog(self) -> Catalog:
         if "catalog" not in self._stored:
@@ -97,6 +100,13 @@ class ReadModel:
             self._stored.add("segments")
         return index
 
+    def ranks(self) -> RankFiles:
+        """Items with their scores, laid out by each order."""
+        if "ranks" not in self._stored:
+            self._ranks.build(with_scores(self.catalog().items, AS_OF))
+            self._stored.add("ranks")
+        return self._ranks
+
 
 _TABLES = ("orders", "lineitem", "customer", "part", "supplier", "nation")
 _models: dict[tuple, ReadModel] = {}

@@ -20,6 +20,7 @@ from ..operators import monitoring as mon
 from ..operators import rankings as rk
 from ..operators import search as se
 from ..operators.documents import build_search_docs, search_document
+from ..operators.ranks import RankFiles
 from ..operators.related import related_items
 from ..operators.scoring import ntz, with_scores
 from ..operators.segments import SegmentIndex
@@ -65,17 +66,51 @@ _ORDER = {
 }
 
 
-def _sorted(mode: str) -> Query:
+def _sorted(mode: str, offset: int = 36) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = b.catalog(spark, sf_dir)
-        c.items = with_scores(c.items, AS_OF)
-        return fl.apply_filters(c, SearchRequest()).orderBy(*se.sort_columns(mode)).offset(36).limit(36).select("item_id", "title", "view_count", "favorite_count")
+        ranks = b.read_model(spark, sf_dir).ranks()
+        return ranks.first(mode, 36, offset).rows.select("item_id", "title", "view_count", "favorite_count")
 
     return run
 
 
 for _mode, _by in _ORDER.items():
     query(f"search_{_mode}", f"{WITH} SELECT item_id, title, view_count, favorite_count FROM active ORDER BY {_by} LIMIT 36 OFFSET 36")(_sorted(_mode))
+@query("search_deepest_page", f"""{WITH}, r AS (SELECT *, row_number() OVER (ORDER BY {_ORDER['views_desc']}) AS n, least(count(*) OVER (), 10000) AS total FROM active)
+SELECT item_id, title, view_count, favorite_count FROM r WHERE n > (greatest(total, 1) - 1) // 36 * 36 AND n <= (greatest(total, 1) - 1) // 36 * 36 + 36""")
+def search_deepest_page(spark, sf_dir):
+    """The last page within the cap of 10,000 results."""
+    ranks = b.read_model(spark, sf_dir).ranks()
+    last = (max(min(ranks.count("views_desc"), 10_000), 1) - 1) // 36
+    return ranks.first("views_desc", 36, last * 36).rows.select("item_id", "title", "view_count", "favorite_count")
+
+
+
+@query("search_top_filtered", f"""{WITH} SELECT item_id, title, view_count, favorite_count FROM active WHERE item_id NOT IN (SELECT item_id FROM links WHERE kind = 'origins' AND entity_id IN (3, 4))
+  AND view_count <= 150000 ORDER BY {_ORDER['hot_desc']} LIMIT 36""")
+def search_top_filtered(spark, sf_dir):
+    """The first page of a filtered order, from as many files as it takes."""
+    model = b.read_model(spark, sf_dir)
+    c, request = model.catalog(), SearchRequest(facets={("origins", "not"): [3, 4]}, counts={"view_count": (None, 150_000)}, order="hot_desc")
+    top = model.ranks().first("hot_desc", 36, keep=lambda rows: fl.apply_filters(Catalog(rows, c.entities, c.links), request))
+    return top.rows.select("item_id", "title", "view_count", "favorite_count")
+
+
+@query("search_top_after_delta", f"""{RICH_SQL}, now AS (SELECT i.* REPLACE (coalesce(b.view_count, i.view_count) AS view_count) FROM items i LEFT JOIN batch b USING (item_id) WHERE status = 'active'
+  UNION ALL BY NAME SELECT item_id, title, view_count, favorite_count, NULL::TIMESTAMP AS published_at FROM batch WHERE item_id NOT IN (SELECT item_id FROM items))
+SELECT item_id, title, view_count, favorite_count FROM now ORDER BY {_ORDER['favorites_desc']} LIMIT 500""")
+def search_top_after_delta(spark, sf_dir):
+    """A listing enters a layout as a segment of its own; older copies of its items are passed over."""
+    items = b.catalog(spark, sf_dir).items
+    batch = b.listing_batch(b.rich_items(b.catalog(spark, sf_dir))).select("item_id", F.col("title").alias("_title"), F.col("view_count").alias("_views"), F.col("favorite_count").alias("_favorites"))
+    changed = batch.join(items, "item_id", "left").select(
+        "item_id", F.col("_title").alias("title"), "creator_id", "creator_display_name", "published_at", F.col("_views").alias("view_count"), F.col("_favorites").alias("favorite_count"), F.coalesce("status", F.lit("active")).alias("status")
+    )
+    ranks = RankFiles(cm.CommitLog(spark, f"{shared_root(spark)}/ranks-{uuid.uuid4().hex}"))
+    scored = lambda rows: with_scores(rows.select(*changed.columns), AS_OF)
+    ranks.build(scored(items), ["favorites_desc"])
+    ranks.update(scored(changed))
+    return ranks.first("favorites_desc", 500).rows.select("item_id", "title", "view_count", "favorite_count")
 
 
 @query("capped_count", f"{WITH} SELECT least(count(*), 5000)::BIGINT AS total, count(*) > 5000 AS is_capped, greatest(1, ceil(least(count(*), 5000) / 36.0))::BIGINT AS page_count FROM active")
