@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from ..schema import FAILURES, Catalog, SearchRequest
 from ..sources import html as hx
 from ..sources.tables import table
 from ..streaming.access import access_rollup
+from ..streaming.alerts import late_rows, stream_alerts
 from ..streaming import apply
 from ..streaming.apply import apply_outcomes, create_store
 from . import base as b
@@ -800,6 +802,37 @@ def alerts(spark, sf_dir):
     return mon.alerts(status, windows, throttled, EVENTS_NOW)
 
 
+_STEPS_OF = lambda n: ", ".join(f"WHEN le_{k} >= 0.95::DOUBLE * {n} THEN {low}::DOUBLE + ({x}::DOUBLE - {low}::DOUBLE) * (0.95::DOUBLE * {n} - {f'le_{k - 1}' if k else 0}) / (le_{k} - {f'le_{k - 1}' if k else 0})" for k, (low, x) in enumerate(zip((0.0, *mon.BUCKETS), mon.BUCKETS))).replace(", WHEN", " WHEN")
+
+
+@query("alert_stream", f"""{LOG_SQL}, mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS w FROM log),
+rolled AS (SELECT route, time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) AS n, {', '.join(f'count(*) FILTER (duration <= {x}) AS le_{k}' for k, x in enumerate(mon.BUCKETS))} FROM log GROUP BY 1, 2),
+c AS (SELECT route, s, n, CASE {_STEPS_OF('n')} ELSE {mon.BUCKETS[-1]} END AS quantile FROM rolled, mark WHERE s + INTERVAL 1 HOUR <= w),
+g AS (SELECT *, s - row_number() OVER (PARTITION BY route ORDER BY s) * INTERVAL 1 HOUR AS g FROM c WHERE quantile > 0.2),
+bad AS (SELECT route, s, n, quantile, CASE WHEN s - min(s) OVER (PARTITION BY route, g) >= INTERVAL 2 HOUR THEN 'firing' ELSE 'pending' END AS state FROM g),
+late AS (SELECT route, time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) AS late FROM log WHERE status = 500 AND ts < (SELECT min(ts) FROM log) + INTERVAL 1 DAY GROUP BY 1, 2),
+states AS (SELECT * FROM bad UNION ALL SELECT c.*, CASE WHEN p.state = 'firing' THEN 'resolved' ELSE 'ok' END FROM c LEFT JOIN bad p ON p.route = c.route AND p.s = c.s - INTERVAL 1 HOUR WHERE NOT c.quantile > 0.2
+UNION ALL SELECT p.route, p.s + INTERVAL 1 HOUR, 0, NULL, CASE WHEN p.state = 'firing' THEN 'resolved' ELSE 'ok' END FROM bad p, mark WHERE p.s + INTERVAL 2 HOUR <= w AND NOT EXISTS (SELECT 1 FROM c WHERE c.route = p.route AND c.s = p.s + INTERVAL 1 HOUR))
+SELECT route, s AS window_start, n AS requests, round(quantile, 6) AS quantile, state, coalesce(late, 0) AS late FROM states LEFT JOIN late USING (route, s)""")
+def alert_stream(spark, sf_dir):
+    """Events in order as a stream in three runs, each going on where the last one stopped; the errors of the first day come once more with the third, too late."""
+    log = b.access_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    ends = log.agg(F.percentile_approx(at, [1 / 3, 2 / 3], 1000).alias("cuts"), F.min("ts").cast("string").alias("first"), (F.max("ts") - F.expr("interval 10 minutes")).cast("string").alias("mark")).first()
+    first, second = ends["cuts"] or (0, 0)
+    again = log.where((F.col("status") == 500) & (F.col("ts") < F.lit(ends["first"]).cast("timestamp") + F.expr("interval 1 day")))
+    root = f"{shared_root(spark)}/alerts-{uuid.uuid4().hex}"
+    hour = timedelta(hours=1)
+    for part in (log.where(at <= first), log.where((at > first) & (at <= second)), log.where(at > second).unionByName(again)):
+        part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(log.schema).parquet(f"{root}/in")
+        stream_alerts(source, f"{root}/out", f"{root}/checkpoint", window=hour, hold=2 * hour, limit=0.2).awaitTermination()
+    states = spark.read.parquet(f"{root}/out")
+    late = late_rows(spark.read.schema(log.schema).parquet(f"{root}/in"), states, ends["mark"] or "1970-01-01", hour)
+    out = states.join(late, ["route", "window_start"], "left").fillna(0, ["late"])
+    return out.select("route", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", F.round("quantile", 6).alias("quantile"), "state", "late")
+
+
 # ---------------------------------------------------------------- extraction and clean-up
 
 
