@@ -7,10 +7,16 @@ be among the first ``limit``. So every item enters the lists of all subsets of i
 may be the source itself), and a source looks up the lists of its own subsets. Candidates whose upper bound (what they have, and all
 heavy entities of the source) lies below the ``limit``-th lower bound are dropped, and only the rest are scored in full from the items' arrays of heavy entities.
 Rows before the final ranking are so bounded by the number of sources, whatever the fan-outs; a hot creator, for whom no cap holds, is one list.
+
+Where the sources' pairs are few, which the sizes of their entities tell, all that is not needed: they are expanded at once, with the same result.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +27,11 @@ from .scoring import popularity
 
 #: Up to so many sources, or entities of sources, are broadcast to the scan of links.
 FEW = 200_000
+#: Up to so many sources or entities are pushed down to scans.
+PUSHED = 200
 WEIGHTS = {"authors": 10, "characters": 5, "origins": 5, "tags": 1}
+#: Sources that share up to so many entities with other items, counted pair by pair beforehand, are expanded without bounds and lists.
+PAIRS = 4_000_000
 #: Entities on more items are heavy.
 LIGHT = 100
 #: An item enters 2 ** n - 1 lists for n heavy entities; an item with more than so many is no member of lists but met by each entity.
@@ -33,6 +43,25 @@ def fanout_cap(catalog: Catalog) -> DataFrame:
     return active(catalog.items).agg(F.greatest(F.lit(100), F.expr("count(*) div 20")).alias("cap"))
 
 
+def _local(rows: DataFrame) -> DataFrame:
+    """Up to ``PUSHED`` rows as a local table, so that plans that use them several times need not find them again; more stay as they are."""
+    first = rows.limit(PUSHED + 1).collect()
+    return rows.sparkSession.createDataFrame(first, rows.schema) if len(first) <= PUSHED else rows
+
+
+def _of(links: DataFrame, keys: DataFrame) -> DataFrame:
+    """The links that have one of ``keys`` (item_id; or kind, entity_id); few keys reach the scan as equalities."""
+    first = keys.limit(PUSHED + 1).collect()
+    if len(first) > PUSHED:
+        return links.join(_few(keys), keys.columns, "left_semi")
+    *fixed, last = keys.columns
+    groups = defaultdict(list)
+    for r in first:
+        groups[r[:-1]].append(r[-1])
+    fits = (reduce(and_, (F.col(c) == v for c, v in zip(fixed, values)), F.col(last).isin(ids)) for values, ids in groups.items())
+    return links.where(reduce(or_, fits, F.lit(False)))
+
+
 def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
@@ -60,7 +89,7 @@ def usable_links(catalog: Catalog, sources: DataFrame | None) -> DataFrame:
     and with ``sources`` those of no source."""
     links = catalog.links
     if sources is not None:
-        links = links.join(_few(links.join(_few(sources), "item_id", "left_semi").select("kind", "entity_id").distinct()), ["kind", "entity_id"], "left_semi")
+        links = _of(links, _of(links, sources.select("item_id")).select("kind", "entity_id").distinct())
     links = links.join(active(catalog.items).select("item_id"), "item_id", "left_semi").where(F.col("kind").isin(*WEIGHTS))
     sizes = links.groupBy("kind", "entity_id").agg(F.count("*").alias("n")).where("n > 1")
     usable = sizes.join(F.broadcast(fanout_cap(catalog)), (F.col("kind") == "authors") | (F.col("n") <= F.col("cap")))  # ``cap`` is one row
@@ -109,15 +138,26 @@ def candidates(links: DataFrame, items: DataFrame, sources: DataFrame | None, li
     return found, asking.withColumn("may", _weights(F.col("kept")))
 
 
-def related_items(catalog: Catalog, sources: DataFrame | None = None, limit: int = 12, light: int = LIGHT, most: int = MOST_HEAVY) -> DataFrame:
+def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+    """(source_id, rank, item_id, score) of (source_id, item_id, popularity, score)."""
+    order = Window.partitionBy("source_id").orderBy(F.col("score").desc(), F.col("popularity").desc(), F.col("item_id").desc())
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("source_id", "rank", "item_id", "score")
+
+
+def related_items(catalog: Catalog, sources: DataFrame | None = None, limit: int = 12, light: int = LIGHT, most: int = MOST_HEAVY, pairs: int = PAIRS) -> DataFrame:
     """(source_id, rank, item_id, score): items that share a creator (10), characters, origins (5 each) and tags (1); by score, popularity and id.
 
     Entities but creators on more active items than the cap are ignored. With ``sources`` only the links of their entities are read on.
     """
     items = active(catalog.items).select("item_id", popularity().alias("popularity"))
     if sources is not None:
-        sources = sources.select("item_id").distinct().join(items.select("item_id"), "item_id", "left_semi")
+        sources = _local(sources.select("item_id").distinct().join(items.select("item_id"), "item_id", "left_semi"))
     links = stored(usable_links(catalog, sources))
+    if sources is not None:
+        wanted = links.join(sources, "item_id", "left_semi")
+        if (wanted.agg(F.sum("n")).first()[0] or 0) <= pairs:
+            met = wanted.select(F.col("item_id").alias("source_id"), "code").join(links.select("item_id", "code"), "code").where("item_id <> source_id")
+            return _ranked(met.groupBy("source_id", "item_id").agg(F.sum(_weight(F.col("code"))).alias("score")).join(items, "item_id"), limit)
     found, asking = candidates(links, items, sources, limit, light, most)
     low = F.col("known") + F.col("met")
     of_source = Window.partitionBy("source_id")
@@ -127,5 +167,4 @@ def related_items(catalog: Catalog, sources: DataFrame | None = None, limit: int
     whole = found.join(items, "item_id").join(heavy_entities(links, light), "item_id", "left")
     shared = F.coalesce(_weights(F.array_intersect("kept", "codes")), F.lit(0))
     scored = whole.select("source_id", "item_id", "popularity", (F.col("known") + shared).cast("long").alias("score"))
-    rank = F.row_number().over(of_source.orderBy(F.col("score").desc(), F.col("popularity").desc(), F.col("item_id").desc()))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("source_id", "rank", "item_id", "score")
+    return _ranked(scored, limit)

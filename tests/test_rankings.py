@@ -117,6 +117,16 @@ def test_related(world, light, most):
     assert got == {a: v for a, v in want.items() if v}
 
 
+@pytest.mark.parametrize("share", [2, 7])
+def test_related_of_sources_at_once_and_by_lists(world, spark, share):
+    w, _ = world
+    sources = spark.createDataFrame([(i,) for i in sorted(w.items) if i % share == 0] * 2, "item_id long")
+    rows = lambda **how: sorted(map(tuple, related_items(w.catalog, sources, limit=4, **how).collect()))
+    want = sorted(tuple(r) for r in related_items(w.catalog, limit=4).collect() if r.source_id % share == 0)
+    assert want and rows() == rows(pairs=0) == rows(pairs=0, light=1) == want
+    assert related_items(w.catalog, sources.limit(0)).collect() == []
+
+
 def test_related_ignores_entities_on_too_many_items(spark):
     n = 140
     items = [(k, f"item {k}", None, None, k, 0, "active") for k in range(n)]
@@ -125,12 +135,13 @@ def test_related_ignores_entities_on_too_many_items(spark):
     assert {(r.source_id, r.item_id, r.score) for r in out} == {(a, b, 5) for a in (3, 50, 77, 90) for b in (3, 50, 77, 90) if a != b}
 
 
-def test_related_sources_with_more_heavy_entities_than_lists_take(spark):
+@pytest.mark.parametrize("pairs", [0, 10_000])
+def test_related_sources_with_more_heavy_entities_than_lists_take(spark, pairs):
     """Source 0 is no member of lists; what shares two of its entities is alone in its list."""
     links = [(k, "characters", e) for e in range(5) for k in [0, *range(10 * e + 1, 10 * e + 9)]] + [(99, "characters", 1), (99, "characters", 2)]
     items = [(k, "x", None, None, k, 0, "active") for k in sorted({i for i, _, _ in links})]
     c = build(spark, items, [("characters", e, f"c{e}") for e in range(5)], links)
-    out = related_items(c, spark.createDataFrame([(0,)], "item_id long"), limit=3, light=2, most=3).orderBy("rank").collect()
+    out = related_items(c, spark.createDataFrame([(0,)], "item_id long"), limit=3, light=2, most=3, pairs=pairs).orderBy("rank").collect()
     assert [(r.item_id, r.score) for r in out] == [(99, 10), (48, 5), (47, 5)]
 
 
