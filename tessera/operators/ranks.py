@@ -54,9 +54,8 @@ class RankFiles:
     def __init__(self, log: CommitLog):
         self.log, self._heads = log, {}
 
-    def _write(self, name: str, columns: tuple[str, ...], rows: DataFrame, segment: int, per_file: int) -> dict[str, dict[str, str]]:
+    def _write(self, name: str, columns: tuple[str, ...], rows: DataFrame, segment: int, files: int) -> dict[str, dict[str, str]]:
         rows = rows.withColumn(SEGMENT, F.lit(segment))
-        files = max(1, -(-rows.count() // per_file))
         part = self.log.write(name, rows.repartitionByRange(files, *columns).sortWithinPartitions(*columns), str(segment))
         folder = part[str(segment)]
         there = self.log.spark.read.schema(rows.schema).parquet(f"{self.log.path}/{folder}")
@@ -75,12 +74,13 @@ class RankFiles:
         """Lays out active items for ``modes``, in place of what was there."""
         names = {layout(m)[0]: layout(m)[1] for m in modes}
         items = active(items)
+        files = max(1, -(-items.count() // per_file))
 
         def attempt() -> Entry:
             base = self.log.head()
             changes = {t: {p: None for p in parts} for t, parts in base.tables.items() if t == "gone" or t.removesuffix("_bounds") in names}
             for name, columns in names.items():
-                for table, part in self._write(name, columns, items, base.number + 1, per_file).items():
+                for table, part in self._write(name, columns, items, base.number + 1, files).items():
                     changes[table] = changes.get(table, {}) | part
             return self.log.commit(base, changes, self._schemas(items, names), per_file=per_file)
 
@@ -89,14 +89,16 @@ class RankFiles:
     def update(self, changed: DataFrame) -> Entry:
         """Takes the present state of changed and of new items, one row an item; those that are not active leave the layouts."""
         changed = stored(changed)
+        rows = active(changed).count()
 
         def attempt() -> Entry:
             base = self.log.head()
+            files = max(1, -(-rows // int(base.notes["per_file"])))
             segment, changes = base.number + 1, {}
             for name in [n for n in base.tables if f"{n}_bounds" in base.tables]:
                 columns = next(c for n, c, _ in map(layout, SORTS) if n == name)
                 order = [f["name"] for f in base.schemas[name]["fields"] if f["name"] != SEGMENT]
-                changes |= self._write(name, columns, active(changed).select(*order), segment, int(base.notes["per_file"]))
+                changes |= self._write(name, columns, active(changed).select(*order), segment, files)
             changes["gone"] = self.log.write("gone", changed.select("item_id", F.lit(segment).alias("before")), str(segment))
             return self.log.commit(base, changes)
 
