@@ -10,6 +10,8 @@ Equal sets are one class, found by their hash; only classes are compared. Bucket
 a bucket, in blocks, sketches (one byte of every minhash) tell which classes may belong together: what agrees with a pivot in
 nearly all bytes is close to it, and ties reach as far as a pair at the threshold can lie from a close one (agreement is a
 metric), so no pair above the threshold is left untied but with a chance of 1e-6. No pairs are made: a task returns one tie a class.
+m of the tables are screened first and their ties followed; of the others only buckets that hold classes which these have not yet brought
+together are screened, and return only what joins them, so that a large group is not tied anew by every table that it shares.
 Tied classes form a cluster. Within a cluster all sets are compared exactly, in blocks of bounded size, by tasks that return
 one edge a class. Connected components of those edges are the result. No bucket, cluster or number of partners is capped.
 
@@ -156,17 +158,19 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _screener(close: int, near: int):
+    """Ties within the buckets of rows (key, _i, _j, node, sketch, top), between classes whose ``top`` differs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for rows in groups(batches, ("key", "_i", "_j")):
-            node = rows["node"].to_numpy()
+            node, top = rows["node"].to_numpy(), rows["top"].to_numpy()
             if len(node) < 2:
                 continue
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
             low = tied(sketch, close, near) if len(node) > 2 else np.array([0, 1 - ((sketch[0] == sketch[1]).sum() >= near)])
-            some = np.flatnonzero(low != np.arange(len(node)))
-            left.append(node[some])
-            right.append(node[low[some]])
+            some = np.flatnonzero(top != top[low])
+            ends = np.unique(np.stack([top[some], top[low[some]]]), axis=1)
+            left.append(ends[0])
+            right.append(ends[1])
             if len(left) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=_EDGES)
                 left, right = [], []
@@ -280,17 +284,28 @@ def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     tables = materialise(
         per_node.withColumn("a", F.explode(F.filter("hits", lambda x: x["pos"] < m)))
         .withColumn("b", F.explode(F.filter("hits", lambda x: x["pos"] >= m)))
-        .select("node", F.xxhash64("a.pos", "a.sub", "b.pos", "b.sub").alias("key"))
+        .select("node", F.xxhash64("a.pos", "a.sub", "b.pos", "b.sub").alias("key"), (F.col("a.pos") == F.col("b.pos") - m).alias("first"))
     )
     # of buckets with the same members one is compared
-    members = tables.groupBy("key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_all"), F.min("node").alias("_low")).where("_n > 1")
-    buckets = members.groupBy("_n", "_all", "_low").agg(F.min("key").alias("key")).select("key", "_n")
-    sketches = tables.join(buckets, "key").join(classes.select("node", "sketch"), "node")
+    members = tables.groupBy("key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_all"), F.min("node").alias("_low"), F.first("first").alias("first")).where("_n > 1")
+    buckets = materialise(members.groupBy("_n", "_all", "_low").agg(F.min("key").alias("key"), F.bool_or("first").alias("first")).select("key", "_n", "first"))
     screen = _screener(*reach(percent / 100, 2 * m * ROWS))
-    ties = materialise(deal_blocks(sketches, "key", "node", F.col("_n") / SCREEN).select("key", "_i", "_j", "node", "sketch").mapInArrow(screen, "a long, b long"))
-    tops = components(ties)
+
+    def ties_of(rows: DataFrame) -> DataFrame:  # (key, _n, node, top)
+        sketches = deal_blocks(rows.join(classes.select("node", "sketch"), "node"), "key", "node", F.col("_n") / SCREEN)
+        return materialise(sketches.select("key", "_i", "_j", "node", "sketch", "top").mapInArrow(screen, "a long, b long"))
+
+    rows = tables.select("key", "node").join(buckets, "key")
+    begun = ties_of(rows.where("first").select("key", "_n", "node", F.col("node").alias("top")))
+    tops = components(begun)
+    rows = rows.where("not first").join(tops.withColumnRenamed("id", "node"), "node", "left").select("key", "_n", "node", F.coalesce("component", "node").alias("top"))
+    rows = materialise(rows)
+    mixed = rows.groupBy("key").agg(F.min("top").alias("_least"), F.max("top").alias("_most")).where("_least < _most").select("key")
+    ties = ties_of(rows.join(mixed, "key", "left_semi"))
+    forget(tops, rows)
+    tops = components(begun.unionByName(ties))
     clusters = materialise(tops.withColumnRenamed("id", "node").withColumnRenamed("component", "cluster"))
-    forget(tables, ties, tops)
+    forget(tables, buckets, begun, ties, tops)
     # exact comparison within clusters
     members = clusters.join(classes.select("node", "least", "n"), "node")
     sizes = members.groupBy("cluster").agg(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("_parts_"))

@@ -173,3 +173,15 @@ def test_estimates_and_bounds():
     maybe = vc.may_reach(*(np.concatenate(v) for v in zip(vc.encode(x), vc.encode(near), strict=True)), 0.98)
     assert maybe[np.arange(200), 200 + np.arange(200)].all() and maybe[:200, :200].mean() < 0.05
     assert vc.table_keys(x, np.zeros(200, np.int64), 12, 20).shape == (200, 20)
+
+
+def test_a_group_of_near_copies_is_not_tied_by_every_table(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randint(0, 300)}" for _ in range(200)]
+    texts = [" ".join(f"x{k}" if j == k % 200 else w for j, w in enumerate(base)) for k in range(400)]
+    tied, follow = [], nd.components
+    monkeypatch.setattr(nd, "components", lambda edges: tied.append(edges.count()) or follow(edges))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in nd.near_duplicates(rows).collect()} == {0}
+    m = nd.collections(0.8)
+    assert max(tied[:2]) < m * len(texts)  # of m * m tables
