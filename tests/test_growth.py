@@ -19,3 +19,9 @@ def test_bitmaps_are_the_postings(spark):
     assert len(got) == len(want) and {(r.posting, r.item_id) for r in got} == {(r.posting, r.item_id) for r in want}
     plan = sg.bitmaps(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan and "RepartitionByExpression" in plan  # documents are dealt, not postings
+
+
+def test_only_texts_beyond_ascii_go_to_python(spark):
+    seen = spark.createDataFrame([("Plain words",), ("Café",), (None,)], "t string")
+    assert [sorted(r[0]) for r in seen.select(tx.words(F.col("t"))).collect()] == [["plain", "words"], ["cafe"], []]
+    assert "rlike" in seen.select(tx.words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
