@@ -21,7 +21,23 @@ def test_bitmaps_are_the_postings(spark):
     assert "Generate explode" not in plan and "RepartitionByExpression" in plan  # documents are dealt, not postings
 
 
+def test_links_are_dealt_once_before_they_are_exploded(spark):
+    plan = orders_catalog(spark, "/root/testdata/sf0.001").links._jdf.queryExecution().executedPlan().toString()
+    exploded = plan[: plan.index("Generate explode")]
+    assert "Exchange hashpartitioning" not in exploded
+
+
 def test_only_texts_beyond_ascii_go_to_python(spark):
     seen = spark.createDataFrame([("Plain words",), ("Café",), (None,)], "t string")
     assert [sorted(r[0]) for r in seen.select(tx.words(F.col("t"))).collect()] == [["plain", "words"], ["cafe"], []]
     assert "rlike" in seen.select(tx.words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_partitions_follow_the_tables(spark, monkeypatch):
+    before = spark.conf.get(b._INITIAL, None)
+    monkeypatch.setattr(b, "PER_PARTITION", 1 << 12)
+    try:
+        b.read_model(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(b._INITIAL)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set(b._INITIAL, before) if before else spark.conf.unset(b._INITIAL)
