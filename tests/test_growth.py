@@ -1,11 +1,13 @@
 """What must not grow with the tables: rows that the index shuffles, memory of a task."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import segments as sg
 from tessera.operators.search import postings
 from tessera.plans import base as b
+from tessera.plans.queries import queries
 from tessera.sources.tables import orders_catalog
 
 from .test_segments import _docs
@@ -41,3 +43,18 @@ def test_partitions_follow_the_tables(spark, monkeypatch):
         assert int(spark.conf.get(b._INITIAL)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.set(b._INITIAL, before) if before else spark.conf.unset(b._INITIAL)
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        queries()["page_outcomes"](spark, "/root/testdata/sf0.001")
+        long = spark.range(400).select(F.repeat(F.lit("x"), 100_000).alias("t")).coalesce(1)
+        sizes = long.mapInArrow(lambda batches: (b.select(["t"]).slice(0, 1).set_column(0, "n", pa.array([b.num_rows])) for b in batches), "n long").collect()
+        assert len(sizes) > 5 and sum(r.n for r in sizes) == 400 and max(r.n for r in sizes) < 100
+        spark.conf.set(name, "1m")
+        queries()["page_outcomes"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
