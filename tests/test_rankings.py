@@ -171,6 +171,26 @@ def test_related_rows_grow_with_sources(spark):
         assert got[source] == want
 
 
+def test_related_rows_of_items_with_seven_heavy_entities(spark):
+    """Every item has seven entities that are on about a hundred items each: the first of each, not all that share one, are candidates."""
+    n, each = 3000, 160
+    links = sorted({(k, "tags", (k * 7919 + j * j * 613 + k // 160 * j) % each) for k in range(n) for j in range(7)})
+    items = [(k, "x", None, None, k * 7919 % n, 0, "active") for k in range(n)]
+    c = build(spark, items, [("tags", e, f"t{e}") for e in range(each)], links)
+    made = active(c.items).select("item_id", popularity().alias("popularity"))
+    found, _ = candidates(usable_links(c, None), made, None, 12)
+    assert found.count() < 250 * n  # all that share an entity are about 900 for an item
+    got, owners, of = defaultdict(list), defaultdict(set), defaultdict(set)
+    for r in related_items(c).orderBy("source_id", "rank").collect():
+        got[r.source_id].append((r.item_id, r.score))
+    for i, _, e in links:
+        owners[e].add(i)
+        of[i].add(e)
+    for source in range(0, n, 37):
+        score = Counter(o for e in of[source] if len(owners[e]) <= n // 20 for o in owners[e] - {source})
+        assert got[source] == sorted(score.items(), key=lambda x: (-x[1], -(x[0] * 7919 % n), -x[0]))[:12]
+
+
 def test_autocomplete_of_names_with_a_common_prefix(spark):
     """A hundred thousand names begin alike: shares are bounded, and the first names are those of a loop over all."""
     n = 100_000
