@@ -1,5 +1,7 @@
 """What must not grow with the tables: rows that the index shuffles, memory of a task."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tessera.operators import segments as sg
 from tessera.operators.search import postings
 from tessera.plans import base as b
 from tessera.plans.queries import queries
+from tessera.sources import html as hx
 from tessera.sources.tables import orders_catalog
 
 from .test_segments import _docs
@@ -58,3 +61,30 @@ def test_batches_for_python_are_bounded_by_bytes(spark):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.unset(name)
+
+
+def test_plain_pages_are_read_without_the_general_parser():
+    """The short way makes the tree that ``HTMLParser`` makes, and takes the pages of the queries; other markup goes to the parser."""
+    def general(html):
+        builder = hx._Builder()
+        builder.feed(html)
+        builder.close()
+        return builder.root
+
+    flat = lambda e: [x if isinstance(x, str) else (x.tag, x.attrs, list(x.classes), flat(x)) for x in e.children]
+    rnd = random.Random(3)
+    plain = ["<p>", "</p>", '<a class="box  big" href="/x?a=1">', "</a>", "<br>", "</div>", '<div class="video-h1">', "x > y ", "A &amp; B", "&lt", "&"]
+    odd = ["<!-- <b> -->", "<br/>", "<", "</", "<a href='x'>", '<a title="<b>">', "<p x>", "</div >", "<script>", "</script>", "<title>", "<P>", '</p class="x">', '<i a="&amp;">']
+    for k in range(3000):
+        page = "".join(rnd.choice(plain if k % 2 or rnd.random() < 0.9 else odd) for _ in range(rnd.randrange(40)))
+        assert flat(hx._tree(page)) == flat(general(page))
+        assert k % 2 == 0 or hx._plain_tree(page) is not None
+    deep = "<p>" * (hx.DEEPEST + 9) + "x" + "</p>" * 20 + "<b>y</b>"
+    assert flat(hx._plain_tree(deep)) == flat(general(deep))
+
+
+def test_a_kind_of_page_is_read_by_itself(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string")
+    assert hx._read(pages, "detail").columns == ["page_id", "url", "detail"]
+    plans = [hx.extract_listings(pages, "https://example.com", ("example.com",)), hx.extract_details(pages, "https://example.com", ("example.com",), ()).select("title", "tags", "outcome")]
+    assert not any("ArrowEvalPython" in x._jdf.queryExecution().executedPlan().toString() for x in plans)  # one pass of Python, no second one for NFKC
