@@ -1,12 +1,14 @@
 """What must not grow with the tables: rows that the index shuffles, memory of a task."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import segments as sg
+from tessera.operators.related import related_items
 from tessera.operators.search import postings
 from tessera.plans import base as b
 from tessera.plans.queries import queries
@@ -88,3 +90,12 @@ def test_a_kind_of_page_is_read_by_itself(spark):
     assert hx._read(pages, "detail").columns == ["page_id", "url", "detail"]
     plans = [hx.extract_listings(pages, "https://example.com", ("example.com",)), hx.extract_details(pages, "https://example.com", ("example.com",), ()).select("title", "tags", "outcome")]
     assert not any("ArrowEvalPython" in x._jdf.queryExecution().executedPlan().toString() for x in plans)  # one pass of Python, no second one for NFKC
+
+
+def test_related_pairs_are_in_no_hash_table(spark):
+    """What a task holds of pairs must not grow with its share of the links."""
+    sources = spark.range(0, 600, 2).select(F.col("id").alias("item_id"))
+    out = related_items(orders_catalog(spark, "/root/testdata/sf0.001"), sources, pairs=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "DenseRank" in plan or "dense_rank" in plan
+    assert not re.search(r"Aggregate\(keys=\[source_id#\d+L?, item_id", plan)
