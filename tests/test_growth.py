@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import related
 from tessera.operators import segments as sg
 from tessera.operators.related import related_items
 from tessera.operators.search import postings
@@ -15,6 +16,7 @@ from tessera.plans.queries import queries
 from tessera.sources import html as hx
 from tessera.sources.tables import orders_catalog
 
+from .catalog import build
 from .test_segments import _docs
 
 
@@ -99,3 +101,40 @@ def test_related_pairs_are_in_no_hash_table(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "DenseRank" in plan or "dense_rank" in plan
     assert not re.search(r"Aggregate\(keys=\[source_id#\d+L?, item_id", plan)
+
+
+def test_links_of_a_crowded_entity_are_not_one_tasks(spark, monkeypatch):
+    """Neither those of a hot creator nor those of an origin that the cap leaves out (at a join on entities they would be sorted in one task)."""
+    monkeypatch.setattr(related, "CROWD", 150, raising=False)
+    monkeypatch.setattr(related, "FEW", 0)
+    monkeypatch.setattr(related, "PUSHED", 0)
+    items = [(k, "x", 7 if k < 300 else None, None, k, 0, "active") for k in range(400)]
+    c = build(spark, items, [("authors", 7, "hot")], [(k, "origins", 3) for k in range(400)] + [(k, "tags", k // 4) for k in range(400)])
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as for large tables
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
+    try:
+        for sources in (None, spark.range(0, 400, 2).select(F.col("id").alias("item_id"))):
+            rows = related.usable_links(c, sources).select("*", F.spark_partition_id().alias("task")).collect()
+            assert sorted((r.item_id, r.code // 4, r.n) for r in rows) == sorted([(k, 7, 300) for k in range(300)] + [(k, k // 4, 4) for k in range(400)])
+            assert len({r.task for r in rows if r.n == 300}) > 1
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def test_what_a_task_reads_is_bounded(spark):
+    """A task that takes more of a larger table holds more: Spark joins partitions up to 64 MB again, and files up to 128 MB, unless told."""
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for asked, want in (("64MB", 8 << 20), ("1MB", 1 << 20)):
+            for n in names:
+                spark.conf.set(n, asked)
+            b.read_model(spark, "/root/testdata/sf0.001")
+            got = [spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(n)) for n in names]
+            assert max(got) <= want and (asked == "64MB" or min(got) == want)
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
