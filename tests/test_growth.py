@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import related
 from tessera.operators import segments as sg
+from tessera.operators.commits import CommitLog
 from tessera.operators.related import related_items
 from tessera.operators.search import postings
 from tessera.plans import base as b
@@ -138,3 +139,18 @@ def test_what_a_task_reads_is_bounded(spark):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+def test_hits_of_frequent_tokens_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A bitmap of a few bytes is thousands of items, so what Spark knows of its size must not decide on a broadcast of the items."""
+    index = sg.SegmentIndex(CommitLog(spark, f"file://{tmp_path}/index"))
+    index.add(_docs(spark, {k: ("harbour", "x") for k in range(300)}))
+    tokens = spark.createDataFrame([("harbour",), ("x",)], "token string")
+    plans = []
+    for most in (299, 300):
+        monkeypatch.setattr(sg, "FEW_HITS", most, raising=False)
+        out = index.hits(tokens)
+        assert sorted((r.token, r.item_id) for r in out.collect()) == [(t, k) for t in ("harbour", "x") for k in range(300)]
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"SortMergeJoin \[segment#\d+, item_id", plans[0]) and not re.search(r"HashJoin \[segment#\d+, item_id", plans[0])
+    assert "BroadcastHashJoin [segment#" in plans[1]
