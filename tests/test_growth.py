@@ -10,7 +10,9 @@ from tessera.functions import text as tx
 from tessera.operators import related
 from tessera.operators import segments as sg
 from tessera.operators.commits import CommitLog
+from tessera.operators.filters import active
 from tessera.operators.related import related_items
+from tessera.operators.scoring import popularity
 from tessera.operators.search import postings
 from tessera.plans import base as b
 from tessera.plans.queries import queries
@@ -154,3 +156,22 @@ def test_hits_of_frequent_tokens_are_not_broadcast(spark, tmp_path, monkeypatch)
         plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert re.search(r"SortMergeJoin \[segment#\d+, item_id", plans[0]) and not re.search(r"HashJoin \[segment#\d+, item_id", plans[0])
     assert "BroadcastHashJoin [segment#" in plans[1]
+
+
+def test_related_rows_below_the_floor_stay_where_they_are_met(spark, monkeypatch):
+    """Who has enough neighbours by a creator is told nothing of a tag on many items; rounds give the same rows."""
+    n = 600
+    items = [(k, "x", k // 20, None, k * 7919 % n, 0, "active") for k in range(n)]
+    c = build(spark, items, [("authors", k, f"a{k}") for k in range(n // 20)], [(k, "tags", k % 6) for k in range(n)])
+    made = active(c.items).select("item_id", popularity().alias("popularity"))
+    found, _ = related.candidates(related.usable_links(c, None), made, None, 12, light=50)
+    assert found.count() == 12 * n
+    rows = lambda: sorted(map(tuple, related_items(c, limit=12, light=50).collect()))
+    want = []
+    for s in range(n):
+        score = {o: 10 * (o // 20 == s // 20) + (o % 6 == s % 6) for o in range(n) if o != s}
+        first = sorted((o for o in score if score[o]), key=lambda o: (-score[o], -(o * 7919 % n), -o))[:12]
+        want += [(s, r, o, score[o]) for r, o in enumerate(first, 1)]
+    assert rows() == want
+    monkeypatch.setattr(related, "ROUND", 250)
+    assert rows() == want
