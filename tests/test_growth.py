@@ -175,3 +175,13 @@ def test_related_rows_below_the_floor_stay_where_they_are_met(spark, monkeypatch
     assert rows() == want
     monkeypatch.setattr(related, "ROUND", 250)
     assert rows() == want
+
+
+def test_an_index_leaves_little_on_disk(spark, tmp_path):
+    """Words are not dealt whole, and texts are packed."""
+    index = sg.SegmentIndex(CommitLog(spark, f"file://{tmp_path}/index"))
+    docs = _docs(spark, {k: ("harbour lantern", "x") for k in range(20)})
+    assert "substring" in sg.bitmaps(docs)._jdf.queryExecution().optimizedPlan().toString()
+    index.add(docs)
+    files = [f.name for f in tmp_path.rglob("part-*.parquet")]
+    assert files and all(".zstd." in f for f in files)
